@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import substring_dedup
+from . import jaccard_join, substring_dedup
 
-QUERIES = {"op1_substring_dedup": substring_dedup.op1_substring_dedup}
-SQL = {"op1_substring_dedup": substring_dedup.SQL}
+QUERIES = {"op1_substring_dedup": substring_dedup.op1_substring_dedup, "op9_jaccard_join": jaccard_join.op9_jaccard_join}
+SQL = {"op1_substring_dedup": substring_dedup.SQL, "op9_jaccard_join": jaccard_join.SQL}

@@ -2,7 +2,16 @@
 
 from __future__ import annotations
 
-from . import jaccard_join, substring_dedup
+from . import decontaminate, jaccard_join, substring_dedup, token_count
 
-QUERIES = {"op1_substring_dedup": substring_dedup.op1_substring_dedup, "op9_jaccard_join": jaccard_join.op9_jaccard_join}
-SQL = {"op1_substring_dedup": substring_dedup.SQL, "op9_jaccard_join": jaccard_join.SQL}
+QUERIES = {
+    "op1_substring_dedup": substring_dedup.op1_substring_dedup,
+    "op2_decontaminate": decontaminate.op2_decontaminate,
+    "op3_token_counts": token_count.op3_token_counts,
+    "op9_jaccard_join": jaccard_join.op9_jaccard_join,
+}
+SQL = {
+    "op1_substring_dedup": substring_dedup.SQL,
+    "op2_decontaminate": decontaminate.SQL,
+    "op9_jaccard_join": jaccard_join.SQL,
+}

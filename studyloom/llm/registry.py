@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard_join, substring_dedup, token_count
+from . import chat_format, decontaminate, jaccard_join, quality_rules, substring_dedup, token_count
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_token_counts": token_count.op3_token_counts,
+    "op7_quality_rules": quality_rules.op7_quality_rules,
     "op9_jaccard_join": jaccard_join.op9_jaccard_join,
+    "op10_chat_format": chat_format.op10_chat_format,
 }
 SQL = {
     "op1_substring_dedup": substring_dedup.SQL,
     "op2_decontaminate": decontaminate.SQL,
     "op9_jaccard_join": jaccard_join.SQL,
+    "op10_chat_format": chat_format.SQL,
 }

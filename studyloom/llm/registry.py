@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, jaccard_join, quality_rules, source_mix, substring_dedup, token_count, toxicity, warc_audit
+from . import chat_format, decontaminate, jaccard_join, line_dedup, quality_rules, source_mix, substring_dedup, token_count, toxicity, warc_audit
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_source_mix": source_mix.op6_source_mix,
     "op7_quality_rules": quality_rules.op7_quality_rules,
+    "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_jaccard_join": jaccard_join.op9_jaccard_join,
     "op10_chat_format": chat_format.op10_chat_format,
 }

@@ -8,11 +8,12 @@ A document's set is its distinct word shingles, hashed. Equal sets are one node
 2. Index. A set lists its shingles rarest first; with ``s`` shingles the first ``s - need(s) + 1``
    hold a shingle in common with any set it links with. Index lists are grouped into blocks of equal
    (set size, position), and whole blocks are skipped by the size and position bounds.
-3. Leaders. Each list's members are verified against the list's least set only; a member's verified
-   leader with the largest overlap is its anchor, and |set - anchor| its slack.
+3. Leaders. Each list's members are verified against one leader only, the set with the fewest shingles
+   of its own (of near copies the least changed one); a member's verified leader with the largest
+   overlap is its anchor, and its slack the shared shingles that the anchor lacks.
 4. Answers from similar sets. What is left are pairs in different components. For such pairs only
-   their anchors' overlap is computed; |A & B| <= |anchor(A) & anchor(B)| + slack(A) + slack(B) decides
-   most of them, and the rest are verified exactly. So a group of near copies costs one verification
+   their anchors' overlap is computed; anchors that link join their components, |A & B| <=
+   |anchor(A) & anchor(B)| + slack(A) + slack(B) rules out most others, and the rest are verified. So a group of near copies costs one verification
    a member, and no link between different components is lost.
 
 Defined results: null or blank texts have an empty set, link with nothing and are their own
@@ -32,7 +33,7 @@ from pyspark.sql import types as T
 from .arrow import bounded_batches, with_computed
 from .components import components
 from .kernels import BLOCK_DDL, NON_SPACE, U64, _expand, _squeeze, buffers, byte_table, mix, pack, row_of, slices, span_hashes, unpack, window_hashes, words
-from .shared import n_partitions, table, written
+from .shared import bucket_keys, n_partitions, table, written
 
 SHINGLE, NUM, DEN = 5, 80, 100
 
@@ -81,7 +82,7 @@ def shared_shingles(docs: DataFrame, text_col: str, width: int, num: int, den: i
     lone: how many of the set's n shingles occur in no other set."""
     bounded_batches(docs)
     parts = n_partitions(docs, text_col)
-    n_buckets, n_groups = 2 * parts, 3 * parts
+    keys = np.array(bucket_keys(docs.sparkSession, parts))
 
     def blocks(batches):
         for batch in batches:
@@ -95,9 +96,8 @@ def shared_shingles(docs: DataFrame, text_col: str, width: int, num: int, den: i
                 mask[kept] = True
                 mask &= sizes > 0
                 take = mask[row]
-                new = np.cumsum(mask) - 1
                 first = np.concatenate([[0], np.cumsum(sizes[mask])])[:-1]
-                out = pack(hashes[take], np.arange(int(take.sum())), first, digests[mask], sizes[mask].astype(np.int64), n_buckets) if new.size else None
+                out = pack(hashes[take], np.arange(int(take.sum())), first, digests[mask], sizes[mask].astype(np.int64), keys)
                 if out is not None:
                     yield out
 
@@ -111,12 +111,14 @@ def shared_shingles(docs: DataFrame, text_col: str, width: int, num: int, den: i
         which = np.cumsum(head) - 1
         freq = np.bincount(which)[which]
         keep = freq > 1
-        hashes, ids, sizes, freq = hashes[keep] ^ (U64(key[0].as_py()) << U64(56)), ids[keep], sizes[keep], freq[keep]
-        group = (mix(ids.astype(U64)) % U64(n_groups)).astype(np.int64)
-        order = np.lexsort((ids, group))
-        group, ids, sizes, hashes, freq = (x[order] for x in (group, ids, sizes, hashes, freq))
+        # a shared shingle is from now on its number in the bucket, which packs better than its hash
+        rank = (np.cumsum(head & (freq > 1)) - 1)[keep] + (key[0].as_py() << 40)
+        ids, sizes, freq = ids[keep], sizes[keep], freq[keep]
+        group = keys[(mix(ids.astype(U64)) % U64(parts)).astype(np.int64)]
+        order = np.lexsort((rank, ids, group))
+        group, ids, sizes, rank, freq = (x[order] for x in (group, ids, sizes, rank, freq))
         edges = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [len(group)]]) if len(group) else [0]
-        rows = [(int(group[a]), _squeeze(ids[a:b]), _squeeze(sizes[a:b]), _squeeze(hashes[a:b].view(np.int64)), _squeeze(freq[a:b].astype(np.int64))) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        rows = [(int(group[a]), _squeeze(ids[a:b]), _squeeze(sizes[a:b]), _squeeze(rank[a:b]), _squeeze(freq[a:b].astype(np.int64))) for a, b in zip(edges[:-1], edges[1:], strict=True)]
         return pa.table(dict(zip(("g", "ids", "sizes", "hashes", "freq"), (pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, (pa.int32(), *(pa.binary(),) * 4), strict=True)), strict=True)))
 
     def assemble(key, batch):
@@ -150,38 +152,40 @@ def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def linked_components(sets: DataFrame, num: int, den: int) -> DataFrame:
     """(node, root) for every set that links with another one; sets: a written table of shared_shingles."""
     size_ok = "{den} * least({x}, {y}) >= {num} * greatest({x}, {y})"
-    index = written(
-        sets.select("sid", "n", F.posexplode(F.expr(f"slice(tokens, 1, cast(greatest(0, n - ceil(n * {num} / {den}) + 1 - lone) as int))")).alias("p", "token"), "lone").select("token", "sid", "n", (F.col("p") + F.col("lone")).alias("pos")),
-        "index",
-    )
-    # leaders: the least set of each list's smallest size
-    lead = index.groupBy("token").agg(F.min(F.struct("n", "sid", "pos")).alias("l"), F.count("*").alias("c")).where("c > 1").select("token", F.col("l.n").alias("ln"), F.col("l.sid").alias("b"), F.col("l.pos").alias("lpos"))
+    cut = F.expr(f"slice(tokens, 1, cast(greatest(0, n - ceil(n * {num} / {den}) + 1 - lone) as int))")
+    listed = sets.select("sid", "n", "lone", F.posexplode(cut).alias("p", "token"))
+    index = written(listed.select("token", "sid", "n", "lone", (F.col("p") + F.col("lone")).alias("pos")), "index")
+    # leaders: in each list the set with the fewest shingles of its own
+    lead = index.groupBy("token").agg(F.min(F.struct("lone", "n", "sid", "pos")).alias("l"), F.count("*").alias("c")).where("c > 1").select("token", F.col("l.n").alias("ln"), F.col("l.sid").alias("b"), F.col("l.pos").alias("lpos"))
     near = index.join(lead, "token").where("sid != b").where(size_ok.format(x="n", y="ln", num=num, den=den)).where(F.least(F.col("n") - F.col("pos"), F.col("ln") - F.col("lpos")) >= _need("n", "ln", num, den))
     first = written(_overlaps(near.select(F.col("sid").alias("a"), "b").distinct(), sets).where(F.col("o") >= _need("na", "nb", num, den)), "links")
     comps = written(components(first.select("a", "b")), "components")
 
-    # each member's anchor: its verified leader with the largest overlap; a set without one is its own
-    anchor = first.groupBy("a").agg(F.max(F.struct("o", "b")).alias("x"), F.max("na").alias("na")).select(F.col("a").alias("sid"), F.col("x.b").alias("anchor"), (F.col("na") - F.col("x.o")).alias("slack"))
-    known = index.join(comps.select(F.col("node").alias("sid"), "root"), "sid", "left").join(anchor, "sid", "left").select("token", "sid", "n", "pos", F.coalesce("root", "sid").alias("comp"), F.coalesce("anchor", "sid").alias("anchor"), F.coalesce("slack", F.lit(0)).alias("slack"))
-    known = written(known, "known")
+    # each member's anchor: its verified leader with the largest overlap; a set without one is its own.
+    # Shingles of one set only are in no overlap, so they don't count as slack.
+    anchor = first.groupBy("a").agg(F.max(F.struct("o", "b")).alias("x")).select(F.col("a").alias("sid"), F.col("x.b").alias("anchor"), F.col("x.o").alias("o"))
+    known = index.join(comps.select(F.col("node").alias("sid"), "root"), "sid", "left").join(anchor, "sid", "left")
+    slack = F.coalesce(F.col("n") - F.col("lone") - F.col("o"), F.lit(0))
+    known = written(known.select("token", "sid", "n", "pos", F.coalesce("root", "sid").alias("comp"), F.coalesce("anchor", "sid").alias("anchor"), slack.alias("slack")), "known")
     mixed = known.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
-    blocks = written(known.join(mixed, "token").groupBy("token", "comp", "anchor", "n", "pos").agg(F.max("slack").alias("slack")), "blocks")
+    blocks = written(known.join(mixed, "token").select("token", "comp", "anchor", "n", "pos").distinct(), "blocks")
     x, y = (blocks.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("comp", "anchor", "n", "pos"))) for s in "xy")
     met = x.join(y, "token").where("comp_x < comp_y").where(size_ok.format(x="n_x", y="n_y", num=num, den=den)).where(F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y")) >= _need("n_x", "n_y", num, den))
     anchors = written(_overlaps(met.select(F.col("anchor_x").alias("a"), F.col("anchor_y").alias("b")).distinct(), sets), "anchors")
-    member = known.select("sid", "n", "anchor", "slack").distinct()
+    more = anchors.where(F.col("o") >= _need("na", "nb", num, den)).select("a", "b")
+    joined = written(components(comps.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)), "components")
+
+    # members of anchors that didn't link, in different components still, unless the bound rules them out
+    member = known.select("sid", "n", "anchor", "slack").distinct().join(joined.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    member = written(member, "members")
     mx, my = (member.select(*(F.col(c).alias(f"{c}_{s}") for c in member.columns)) for s in "xy")
     slackest = member.groupBy("anchor").agg(F.max("slack").alias("most"), F.min("n").alias("least_n"))
     sx, sy = (slackest.select(F.col("anchor").alias(k), F.col("most").alias(f"most_{k}"), F.col("least_n").alias(f"n_{k}")) for k in "ab")
     open_pairs = anchors.join(sx, "a").join(sy, "b").where(F.col("o") + F.col("most_a") + F.col("most_b") >= _need("n_a", "n_b", num, den)).select("a", "b", "o")
-    rest = (
-        open_pairs.join(mx, F.col("a") == F.col("anchor_x")).join(my, F.col("b") == F.col("anchor_y"))
-        .where(size_ok.format(x="n_x", y="n_y", num=num, den=den))
-        .where(F.col("o") + F.col("slack_x") + F.col("slack_y") >= _need("n_x", "n_y", num, den))
-        .select(F.col("sid_x").alias("a"), F.col("sid_y").alias("b")).distinct()
-    )
-    more = _overlaps(rest, sets).where(F.col("o") >= _need("na", "nb", num, den)).select("a", "b")
-    return components(comps.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
+    bound = F.col("o") + F.col("slack_x") + F.col("slack_y") >= _need("n_x", "n_y", num, den)
+    rest = open_pairs.join(mx, F.col("a") == F.col("anchor_x")).join(my, (F.col("b") == F.col("anchor_y")) & (F.col("root_x") != F.col("root_y")) & F.expr(size_ok.format(x="n_x", y="n_y", num=num, den=den)) & bound)
+    last = _overlaps(rest.select(F.col("sid_x").alias("a"), F.col("sid_y").alias("b")).distinct(), sets).where(F.col("o") >= _need("na", "nb", num, den)).select("a", "b")
+    return components(joined.select(F.col("node").alias("a"), F.col("root").alias("b")).union(last))
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:

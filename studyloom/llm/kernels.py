@@ -160,8 +160,10 @@ def _expand(raw: bytes, dtype) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(size, -1).T).reshape(-1).view(dtype)
 
 
-def pack(hashes: np.ndarray, at: np.ndarray, row_first: np.ndarray, ids: np.ndarray, extra: np.ndarray, n_buckets: int) -> pa.RecordBatch | None:
-    """Blocks, one for each bucket that has hashes. at: ascending word indexes; ids, extra: int64 by row."""
+def pack(hashes: np.ndarray, at: np.ndarray, row_first: np.ndarray, ids: np.ndarray, extra: np.ndarray, keys: np.ndarray) -> pa.RecordBatch | None:
+    """Blocks, one for each bucket that has hashes. at: ascending word indexes; ids, extra: int64 by row;
+    keys: the buckets' partition keys."""
+    n_buckets = len(keys)
     if not len(hashes):
         return None
     bucket = ((hashes >> U64(32)) % U64(n_buckets)).astype(np.int64)
@@ -174,7 +176,7 @@ def pack(hashes: np.ndarray, at: np.ndarray, row_first: np.ndarray, ids: np.ndar
     shared = [_squeeze(np.diff(firsts, prepend=0).astype(np.int32)), _squeeze(np.diff(ids[used], prepend=0)), _squeeze(extra[used])]
     out: list[list] = [[], [], [], []]
     for a, b in zip(edges[:-1], edges[1:], strict=True):
-        out[0].append(int(bucket[a]))
+        out[0].append(int(keys[bucket[a]]))
         out[1].append(int(b - a))
         out[2].append(seven[a:b].tobytes())
         out[3].append(_squeeze(np.diff(at[a:b], prepend=0).astype(np.int32)))

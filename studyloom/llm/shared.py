@@ -58,3 +58,11 @@ def small(df: DataFrame, row_bytes: int) -> bool:
 def hinted(df: DataFrame, row_bytes: int) -> DataFrame:
     """``df``, a written table, with a broadcast hint if its size allows it; else Spark joins by shuffle."""
     return F.broadcast(df) if small(df, row_bytes) else df
+
+
+def bucket_keys(spark: SparkSession, parts: int) -> list[int]:
+    """For each of ``parts`` partitions one key that Spark's hash partitioning sends there, so that buckets are even."""
+    place = F.pmod(F.hash("k"), F.lit(parts))
+    keys = spark.range(24 * parts).select(F.col("id").cast("int").alias("k")).groupBy(place.alias("p")).agg(F.min("k").alias("k"))
+    found = {r.p: r.k for r in keys.collect()}
+    return [found.get(p, p) for p in range(parts)]

@@ -25,20 +25,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrow import bounded_batches, with_computed
-from .kernels import BLOCK, BLOCK_DDL, NON_SPACE, U64, _expand, _squeeze, buffers, byte_table, pack, row_of, slices, span_hashes, spans, unpack, window_hashes, words
-from .shared import n_partitions, table
+from .kernels import BLOCK, BLOCK_DDL, NON_SPACE, U64, _expand, _squeeze, buffers, byte_table, mix, pack, row_of, slices, span_hashes, spans, unpack, window_hashes, words
+from .shared import bucket_keys, n_partitions, table
 
 WIDTH = 50
 _TAG = "__text_tag"
 
 
-def _pack_hits(ids: np.ndarray, tags: np.ndarray, at: np.ndarray, n_groups: int) -> pa.RecordBatch | None:
-    """Hits (document, position) in blocks by group of documents; the bucket of group g is -1 - g."""
+def _pack_hits(ids: np.ndarray, tags: np.ndarray, at: np.ndarray, keys: np.ndarray) -> pa.RecordBatch | None:
+    """Hits (document, position) in blocks by group of documents; their bucket is -1 - key."""
     if not len(ids):
         return None
-    from .kernels import mix
-
-    group = (mix(ids.astype(U64)) % U64(n_groups)).astype(np.int64)
+    group = keys[(mix(ids.astype(U64)) % U64(len(keys))).astype(np.int64)]
     order = np.lexsort((at, tags, ids, group))
     group, ids, tags, at = group[order], ids[order], tags[order], at[order]
     edges = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [len(group)]])
@@ -60,7 +58,7 @@ def removal_intervals(docs: DataFrame, id_col: str, text_col: str, width: int) -
     """(id, tag, starts, ends): maximal intervals of words covered by windows of documents with a lesser id."""
     bounded_batches(docs)
     parts = n_partitions(docs, text_col)
-    n_buckets, n_groups = 2 * parts, 3 * parts
+    keys = np.array(bucket_keys(docs.sparkSession, parts))
     table64 = byte_table()
 
     def blocks(batches):
@@ -76,17 +74,18 @@ def removal_intervals(docs: DataFrame, id_col: str, text_col: str, width: int) -
                 row = row_of(at, first)
                 ids, tags = ids_all[a:b], tags_all[a:b]
                 later, least = _later(hashes, ids[row])
-                for out in (_pack_hits(ids[row[later]], tags[row[later]], (at - first[row])[later], n_groups), pack(hashes[least], at[least], first[:-1], ids, tags, n_buckets)):
+                for out in (_pack_hits(ids[row[later]], tags[row[later]], (at - first[row])[later], keys), pack(hashes[least], at[least], first[:-1], ids, tags, keys)):
                     if out is not None:
                         yield out
 
     def resolve(key, batch):
-        if key[0].as_py() < 0:
-            return batch
+        if key[0].as_py() < 0:  # hits already: on to their group of documents
+            return batch.set_column(0, "bucket", pa.array([-1 - key[0].as_py()] * len(batch), pa.int32()))
         hashes, at, ids, tags = unpack(batch)
         later, _ = _later(hashes, ids)
-        out = _pack_hits(ids[later], tags[later], at[later], n_groups)
-        return pa.Table.from_batches([out] if out is not None else [], BLOCK)
+        out = _pack_hits(ids[later], tags[later], at[later], keys)
+        found = pa.Table.from_batches([out] if out is not None else [], BLOCK)
+        return found.set_column(0, "bucket", pa.array([-1 - b for b in found.column("bucket").to_pylist()], pa.int32()))
 
     def merge(key, batch):
         got = [(np.cumsum(_expand(i, np.int64)), _expand(t, np.int64), np.cumsum(_expand(g, np.int32).astype(np.int64))) for i, t, g in zip(*(batch.column(c).to_pylist() for c in ("ids", "extra", "gaps")), strict=True)]

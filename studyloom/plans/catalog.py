@@ -2,5 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from ..operators import activity, catalog, folds, graph, loads, search, temporal, texts
+from ..streaming import incremental
+
+_MODULES = (activity, catalog, temporal, graph, search, folds, texts, loads, incremental)
+QUERIES: dict = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
+SQL: dict[str, str] = {name: s for m in _MODULES for name, s in m.SQL.items()} | {"stream_reviews": folds.SQL["sm2"]}

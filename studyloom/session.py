@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: str = "8", name: str = "studyloom") -> SparkSession:
@@ -36,3 +36,11 @@ def ship(spark: SparkSession) -> None:
             out.write(file, file.relative_to(package.parent))
     context.addPyFile(path)
     context._studyloom_shipped = True
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` with its lineage cut in ``spark.checkpoint.dir``; a folder of our own only where that is unset."""
+    context = df.sparkSession.sparkContext
+    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and context.getCheckpointDir() is None:
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="studyloom-"))
+    return df.checkpoint()

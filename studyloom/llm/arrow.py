@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from . import kernels
 from .kernels import buffers, slices
 
 
@@ -29,12 +30,13 @@ def with_computed(df: DataFrame, text: str, compute: Callable[[pa.RecordBatch],
     kept = [f.name for f in df.schema.fields if f.name.lower() not in new]
     schema = T.StructType([f for f in df.schema.fields if f.name.lower() not in new] + fields)
     arrow = to_arrow_schema(T.StructType(fields))
+    limit = kernels.SLICE_BYTES
     names = df.columns
 
     def run(batches):
         for batch in batches:
             _, offsets = buffers(batch.column(names.index(text)))
-            for a, b in slices(offsets):
+            for a, b in slices(offsets, limit):
                 part = batch.slice(a, b - a)
                 got = compute(part)
                 arrays = [part.column(names.index(c)) for c in kept] + [got[f.name].cast(f.type) for f in arrow]

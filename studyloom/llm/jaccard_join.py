@@ -32,6 +32,7 @@ from pyspark.sql import types as T
 
 from .arrow import bounded_batches, with_computed
 from .components import components
+from . import kernels
 from .kernels import BLOCK_DDL, NON_SPACE, U64, _expand, _squeeze, buffers, byte_table, mix, pack, row_of, slices, span_hashes, unpack, window_hashes, words
 from .shared import bucket_keys, n_partitions, table, written
 
@@ -83,11 +84,12 @@ def shared_shingles(docs: DataFrame, text_col: str, width: int, num: int, den: i
     bounded_batches(docs)
     parts = n_partitions(docs, text_col)
     keys = np.array(bucket_keys(docs.sparkSession, parts))
+    limit_bytes = kernels.SLICE_BYTES
 
     def blocks(batches):
         for batch in batches:
             data, offsets = buffers(batch.column(0))
-            for a, b in slices(offsets):
+            for a, b in slices(offsets, limit_bytes):
                 text, off = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
                 hashes, row = _sets(text, off, width)
                 sizes, digests = _digests(hashes, row, b - a)

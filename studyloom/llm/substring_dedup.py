@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrow import bounded_batches, with_computed
+from . import kernels
 from .kernels import BLOCK, BLOCK_DDL, NON_SPACE, U64, _expand, _squeeze, buffers, byte_table, mix, pack, row_of, slices, span_hashes, spans, unpack, window_hashes, words
 from .shared import bucket_keys, n_partitions, table
 
@@ -59,13 +60,14 @@ def removal_intervals(docs: DataFrame, id_col: str, text_col: str, width: int) -
     bounded_batches(docs)
     parts = n_partitions(docs, text_col)
     keys = np.array(bucket_keys(docs.sparkSession, parts))
+    limit = kernels.SLICE_BYTES
     table64 = byte_table()
 
     def blocks(batches):
         for batch in batches:
             data, offsets = buffers(batch.column(1))
             ids_all, tags_all = batch.column(0).to_numpy(), batch.column(2).to_numpy().astype(np.int64)
-            for a, b in slices(offsets):
+            for a, b in slices(offsets, limit):
                 text, off = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
                 starts, ends, first = words(text, off, NON_SPACE)
                 hashes, at = window_hashes(span_hashes(text, starts, ends, table64), first, width)

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrow import bounded_batches
+from . import kernels
 from .kernels import U64, _expand, _squeeze, buffers, byte_table, mix, row_of, slices, span_hashes
 from .shared import n_partitions, table
 
@@ -83,13 +84,14 @@ def token_counts(docs: DataFrame, path: str, text_col: str = "text", limit: int
     n_buckets = 2 * parts
     with open(path, "rb") as f:
         model = f.read()  # half a megabyte, goes out with the function
+    limit_bytes = kernels.SLICE_BYTES
     table64 = byte_table()
 
     def blocks(batches):
         for batch in batches:
             data, offsets = buffers(batch.column(1))
             keys_all = batch.column(0).to_numpy()
-            for a, b in slices(offsets):
+            for a, b in slices(offsets, limit_bytes):
                 text, starts, ends, row = _pretokens(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 if not len(starts):
                     continue

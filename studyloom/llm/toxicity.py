@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrow import bounded_batches, with_computed
+from . import kernels
 from .kernels import ALNUM, U64, buffers, byte_table, mix, row_of, slices, span_hashes, words
 from .shared import table, written
 
@@ -106,10 +107,11 @@ def train_chain(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     sample = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("t")).join(F.broadcast(marks), "__id").dropDuplicates(["__id"])
     columns = [f"y{k}" for k in range(len(categories))]
 
+    limit = kernels.SLICE_BYTES
     def encode(batches):
         for batch in batches:
             data, offsets = buffers(batch.column(1))
-            for a, b in slices(offsets):
+            for a, b in slices(offsets, limit):
                 rows, feature, value = features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 at = np.searchsorted(rows, np.arange(b - a + 1))
                 yield pa.RecordBatch.from_arrays(

@@ -66,7 +66,7 @@ def fit(rows: np.ndarray, feature: np.ndarray, value: np.ndarray, extra: np.ndar
     y = label.astype(float)
     share = y[use].mean() if use.any() else 0.0
     if share in (0.0, 1.0):
-        w[-1] = -30.0 if share == 0 else 30.0
+        w[-1] = -30.0
         return w
     pos, neg = np.bincount(f, y[r], size), np.bincount(f, 1 - y[r], size)
     ratio = np.log((pos + 1) / (y[use].sum() + 2)) - np.log((neg + 1) / ((1 - y[use]).sum() + 2))
@@ -87,8 +87,10 @@ def fit(rows: np.ndarray, feature: np.ndarray, value: np.ndarray, extra: np.ndar
 
 
 def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
-    """The probability from which a row counts as positive, by the best F1; ties: the middle of the gap."""
-    if not y.any():
+    """The probability from which a row counts as positive, by the best F1; ties: the middle of the gap.
+
+    Without rows of both kinds there is nothing to choose by, and no row counts as positive."""
+    if not y.any() or y.all():
         return 1.1
     order = np.argsort(-p, kind="stable")
     hits = np.cumsum(y[order])

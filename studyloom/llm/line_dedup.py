@@ -1,9 +1,10 @@
 """8. Line dedup: fuzzy lines by MinHash, with DataFrame and SQL functions only.
 
 A line is compared trimmed and lower-cased, by its character shingles: at least SHINGLE characters from the
-start of every word, with what follows, and within words of over LONG bytes (codes, scripts written without
-spaces) SHINGLE characters every STEP, or at every character of the latter. So every character is covered,
-and a line's set grows with its words, not with its bytes.
+start of every word, with what follows, and within words of over LONG bytes (codes, lists, addresses, scripts
+written without spaces) SHINGLE characters from every character on. So every character is covered, and one put
+in or left out changes only the shingles it is in. Of shorter words only the shingle at their start is taken:
+this is a sample of the shingles at every character, and similarities near the threshold differ from theirs.
 
 1. Signatures. Lines explode to shingles and shrink again by hash aggregation to 16 minima per distinct
    line (minima don't mind repeats, so equal lines merge before the shuffle).
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .shared import BROADCAST_BYTES, hinted, table, written
 
-SHINGLE, STEP, LONG, NUM, DEN, BANDS = 12, 8, 16, 80, 100, 16
+SHINGLE, STEP, LONG, NUM, DEN, BANDS = 12, 1, 16, 80, 100, 16
 GROUPS = 32
 _BLANKS = " \t\r\f\u000b "
 
@@ -53,7 +54,7 @@ def _words(key) -> F.Column:
 
 def _pieces(a, b, c) -> F.Column:
     """The shingles that start in word ``a``."""
-    inside = rf"(?s)(?=(.{{1,{SHINGLE}}}))(?:[\p{{IsHan}}\p{{IsHiragana}}\p{{IsKatakana}}\p{{IsThai}}]|.{{1,{STEP}}})"
+    inside = rf"(?s)(?=(.{{1,{SHINGLE}}})).{{{STEP}}}"
     after = F.concat(F.lit(" "), F.coalesce(b, F.lit("")), F.lit(" "), F.coalesce(c, F.lit("")))
     whole = F.concat(a, F.substring(after, F.lit(1), F.greatest(F.lit(0), F.lit(SHINGLE) - F.octet_length(a))))
     return F.when(F.octet_length(a) > LONG, F.regexp_extract_all(a, F.lit(inside), F.lit(1))).otherwise(F.array(whole))

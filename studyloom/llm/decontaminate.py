@@ -10,8 +10,9 @@ shard, so nothing is shuffled; the benchmark goes out in blocks of at most ITEM_
 of the documents per block (one block up to 32 MB), and the blocks' hits are merged per document.
 
 Words are compared by 64-bit hashes of their lower-cased bytes. Defined results: null or blank texts
-have no words and are clean; items without words or without an id match nothing; items that repeat an
-id count once; repeated documents are each judged; an empty benchmark leaves every document clean;
+have no words and are clean; items without words match nothing; every text of an id is searched and the id
+counts once; items without an id count together as one, a null in hit_items; repeated documents are each
+judged; an empty benchmark leaves every document clean;
 extra columns pass through, and a column named as a result gives way to it.
 """
 
@@ -112,14 +113,16 @@ def _common(codes: np.ndarray, sa: np.ndarray, place: np.ndarray, query: np.ndar
 
 
 def _items(ids: list, texts: list, window: int) -> dict:
-    """The benchmark's words as hashes, its suffixes and its windows."""
+    """The benchmark's words as hashes, its suffixes and its windows; ids as strings, and which id each text has."""
     data, off = buffers(pa.array(texts, pa.string()))
     starts, ends, first = words(data, off, ALNUM)
     n = np.diff(first)
     row = row_of(np.arange(len(starts)), first)
     left = first[row + 1] - np.arange(len(starts))  # words from here to the item's end
     width = np.minimum(window, n)[row]
-    return {"ids": ids, "words": span_hashes(data, starts, ends, byte_table(lower=True)), "row": row, "left": left, "width": width, "longest": int(n.max(initial=0))}
+    names = [None if i is None else str(i) for i in ids]
+    at = {name: k for k, name in enumerate(dict.fromkeys(names))}
+    return {"ids": list(at), "id_of": np.array([at[name] for name in names], np.int64), "words": span_hashes(data, starts, ends, byte_table(lower=True)), "row": row, "left": left, "width": width, "longest": int(n.max(initial=0))}
 
 
 def _shard_hits(data: np.ndarray, off: np.ndarray, items: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple]:
@@ -168,9 +171,9 @@ def find_contamination(docs: DataFrame, ids: list, texts: list, text_col: str =
         hit_at = np.flatnonzero(hit)
         hit_row = row_of(hit_at, first)
         hits = pa.ListArray.from_arrays(pa.array(np.searchsorted(hit_row, np.arange(rows + 1)), pa.int32()), pa.array(hit_at - first[hit_row], pa.int32()))
-        row, item = row_of(word, first), items["row"][iw]
+        row, item = row_of(word, first), items["id_of"][items["row"][iw]]
         pairs = np.unique(np.stack([row, item]), axis=1) if len(row) else np.zeros((2, 0), np.int64)
-        found = pa.ListArray.from_arrays(pa.array(np.searchsorted(pairs[0], np.arange(rows + 1)), pa.int32()), pa.array([str(items["ids"][i]) for i in pairs[1]], pa.string()))
+        found = pa.ListArray.from_arrays(pa.array(np.searchsorted(pairs[0], np.arange(rows + 1)), pa.int32()), pa.array([items["ids"][i] for i in pairs[1]], pa.string()))
         # runs of windows on one diagonal are one verbatim match
         order = np.lexsort((word, word - iw, row))
         w, q, r, wd = word[order], iw[order], row[order], width[order]
@@ -182,7 +185,7 @@ def find_contamination(docs: DataFrame, ids: list, texts: list, text_col: str =
         long_n, long_at, long_item = np.zeros(rows, np.int64), np.full(rows, -1), [None] * rows
         long_n[r[head][top]], long_at[r[head][top]] = length[top], w[head][top] - first[r[head][top]]
         for k in top:
-            long_item[r[head][k]] = str(items["ids"][items["row"][q[head][k]]])
+            long_item[r[head][k]] = items["ids"][items["id_of"][items["row"][q[head][k]]]]
         return {"n_words": pa.array(np.diff(first)), "hit_words": hits, "hit_items": found, "longest_words": pa.array(long_n), "longest_at": pa.array(long_at), "longest_item": pa.array(long_item, pa.string())}
 
     fields = [T.StructField("n_words", T.LongType()), T.StructField("hit_words", T.ArrayType(T.IntegerType())), T.StructField("hit_items", T.ArrayType(T.StringType())), T.StructField("longest_words", T.LongType()), T.StructField("longest_at", T.LongType()), T.StructField("longest_item", T.StringType())]
@@ -190,22 +193,22 @@ def find_contamination(docs: DataFrame, ids: list, texts: list, text_col: str =
 
 
 def _item_blocks(benchmark: DataFrame, item_col: str, text_col: str, limit: int):
-    """Blocks of items of about ``limit`` bytes of text (or one item), one after another."""
-    rows = benchmark.where(F.col(item_col).isNotNull() & F.col(text_col).isNotNull()).groupBy(F.col(item_col).alias("i")).agg(F.min(F.col(text_col)).alias("t"))
+    """Blocks of distinct (id, text) of about ``limit`` bytes of text (or one text), one after another."""
+    rows = benchmark.where(F.col(text_col).isNotNull()).select(F.col(item_col).alias("i"), F.col(text_col).alias("t")).distinct()
     total = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     if total <= limit:
         blocks = [rows]
     else:
         n = 2 * -(-total // limit)
-        rows = rows.withColumn("k", F.pmod(F.xxhash64(F.col("i").cast("string")), F.lit(n)))
+        rows = rows.withColumn("k", F.pmod(F.xxhash64(F.col("i").cast("string"), "t"), F.lit(n)))
         blocks = [rows.where(F.col("k") == k) for k in range(n)]
     for block in blocks:
-        got = block.orderBy("i").select("i", "t").collect()
+        got = block.orderBy(F.asc_nulls_last("i"), "t").select("i", "t").collect()
         yield [r.i for r in got], [r.t for r in got]
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, limit: int = ITEM_BYTES) -> DataFrame:
-    """``docs`` with n_words, n_hit, hit_items (sorted as strings), contaminated and the longest match's
+    """``docs`` with n_words, n_hit, hit_items (sorted as strings, null last), contaminated and the longest match's
     longest_words, longest_at and longest_item."""
     out, part = None, "__part"
     for ids, texts in _item_blocks(benchmark, item_col, item_text, limit):

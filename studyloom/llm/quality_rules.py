@@ -4,8 +4,11 @@ zstandard (level 3) compresses each whole text and each fixed chunk of CHUNK byt
 texts of at least its length, the least and the greatest ratio (bytes by compressed bytes) that
 running text reaches: below it a text is incompressible (encoded data, noise), above it repetitive.
 Short texts compress badly whatever they say, so the bands widen and rise with the length; texts
-below the first band have no limits. Chunks have one band; a text fails by its chunks if at least
-CHUNK_SHARE of its full chunks (there must be one) are outside.
+below the first band have no limits. From 256 bytes on the least ratios lie below those of Chinese prose,
+the densest measured (1.03 from 256 bytes, 1.17 from 512, 1.34 from 1024, 1.51 from 2048, 1.84 from 8192, chunks 1.68);
+base64 has 1.29 at most below 2048 bytes and 1.33 beyond, so below 1024 bytes it can pass. Chunks have one
+band; a text fails by its chunks if at least CHUNK_SHARE of its full chunks (there must be one) are outside,
+or of these and its last CHUNK bytes.
 
 Everything is computed row by row within the task that reads the row. Words, 5-word windows and lines
 are compared by 64-bit hashes. Defined results: null counts as empty text, which has no words and so
@@ -25,8 +28,8 @@ from .kernels import NON_SPACE, U64, buffers, byte_table, mix, row_of, span_hash
 from .shared import table
 
 #: (least bytes, least ratio, greatest ratio), by rising length.
-BANDS = ((128, 0.95, 3.0), (512, 1.10, 3.5), (2048, 1.25, 4.0), (8192, 1.35, 5.0), (65536, 1.40, 6.5))
-CHUNK, CHUNK_BAND, CHUNK_SHARE = 4096, (1.25, 4.5), 0.25
+BANDS = ((128, 0.95, 3.0), (256, 1.02, 3.0), (512, 1.15, 3.5), (1024, 1.30, 3.5), (2048, 1.45, 4.0), (8192, 1.75, 5.0), (65536, 1.85, 6.5))
+CHUNK, CHUNK_BAND, CHUNK_SHARE = 4096, (1.60, 4.5), 0.25
 SYMBOLS = b"#*$%&|<>"
 
 
@@ -79,7 +82,7 @@ def _counts(data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def _ratios(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each row's whole-text ratio and the share of its full chunks outside the chunk band (0 without one)."""
+    """Each row's whole-text ratio and the share of its chunks outside the chunk band (0 without a full one)."""
     import zstandard
 
     compress = zstandard.ZstdCompressor(level=3).compress
@@ -92,7 +95,11 @@ def _ratios(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         whole[r] = len(raw) / len(compress(raw))
         chunks = len(raw) // CHUNK
         if chunks:
-            share[r] = sum(not low <= CHUNK / len(compress(raw[i * CHUNK : (i + 1) * CHUNK])) <= high for i in range(chunks)) / chunks
+            outside = sum(not low <= CHUNK / len(compress(raw[i * CHUNK : (i + 1) * CHUNK])) <= high for i in range(chunks))
+            share[r] = outside / chunks
+            if len(raw) % CHUNK:
+                outside += not low <= CHUNK / len(compress(raw[-CHUNK:])) <= high
+                share[r] = max(share[r], outside / (chunks + 1))
     return whole, share
 
 

@@ -160,10 +160,12 @@ def safety_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 WITH t AS (SELECT DISTINCT p_name AS term FROM part) SELECT conv_id, turn, role, (SELECT term FROM t WHERE CASE WHEN length(term) <= 3 THEN false ELSE contains(lower(text), lower(term)) END ORDER BY length(term) DESC, term LIMIT 1) AS leak FROM conversations""")
 def leak_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The longest of a fixed list of terms that a text gives away (the list is small: it is collected and sorted)."""
-    terms = sorted((r.p_name for r in scan(spark, sf_dir, "part", "p_name").distinct().limit(10_000).collect()), key=lambda t: (-len(t), t))
-    hit = F.coalesce(*(F.when(word_in(F.col("text"), F.lit(t)), F.lit(t)) for t in terms))
-    return scan(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text").select("conv_id", "turn", "role", hit.alias("leak"))
+    """The longest of all terms that a text gives away, the first of equally long ones; a join of distinct texts and terms."""
+    c = scan(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    terms = scan(spark, sf_dir, "part", "p_name").distinct()
+    hits = c.select("text").distinct().join(terms, word_in(F.col("text"), F.col("p_name")))
+    best = hits.groupBy("text").agg(F.min_by("p_name", F.struct(-F.length("p_name"), "p_name")).alias("leak"))
+    return c.join(best, "text", "left").select("conv_id", "turn", "role", "leak")
 
 
 @query("""

@@ -27,10 +27,12 @@ from pyspark.sql import types as T
 from .arrow import bounded_batches, with_computed
 from . import kernels
 from .kernels import ALNUM, U64, buffers, byte_table, mix, row_of, slices, span_hashes, words
-from .shared import table, written
+from .shared import bucket_keys, table, written
 
 BITS, FOLDS, TRAIN_ROWS = 18, 3, 12_000
 STEPS, RATE, L2, PREFIX = 60, 0.5, 3e-5, 5
+#: Features that a fit works on at once, beside the bounded sample itself.
+CHUNK = 1 << 20
 #: The chain: a text's unfitness in general first, then whether it is toxic.
 CATEGORIES = (("unfit", "1 - quality"), ("toxic", "toxic"))
 
@@ -54,30 +56,46 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit(rows: np.ndarray, feature: np.ndarray, value: np.ndarray, extra: np.ndarray, label: np.ndarray, use: np.ndarray) -> np.ndarray:
+def _by_row(weights: np.ndarray, flat: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """The sum of its features' weights for each row; row i has the features flat[off[i] : off[i + 1]]."""
+    out = np.zeros(len(off) - 1)
+    for a, b in slices(off, CHUNK):
+        out[a:b] = np.bincount(np.repeat(np.arange(b - a), np.diff(off[a : b + 1])), weights[flat[off[a] : off[b]]], b - a)
+    return out
+
+
+def _by_feature(values: np.ndarray, flat: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """The sum of its rows' values for each feature."""
+    out = np.zeros(1 << BITS)
+    for a, b in slices(off, CHUNK):
+        out += np.bincount(flat[off[a] : off[b]], np.repeat(values[a:b], np.diff(off[a : b + 1])), 1 << BITS)
+    return out
+
+
+def fit(flat: np.ndarray, off: np.ndarray, extra: np.ndarray, label: np.ndarray, use: np.ndarray) -> np.ndarray:
     """Logistic regression by Adam over all rows at once; weights: features, then extra columns, then the bias.
 
+    Row i has the features flat[off[i] : off[i + 1]], of length 1 together; rows out of ``use`` don't count.
     A feature counts by the log ratio of its frequencies in the two classes, so that the many words that
-    occur once or twice don't serve to learn rows by heart; the ratio is multiplied into the weight."""
+    occur once or twice don't serve to learn rows by heart; the ratio is multiplied into the weight.
+    Beside its input it holds CHUNK features at a time."""
     size, n_extra = 1 << BITS, extra.shape[1]
     w = np.zeros(size + n_extra + 1)
-    take = use[rows]
-    r, f, v = rows[take], feature[take], value[take]
     y = label.astype(float)
     share = y[use].mean() if use.any() else 0.0
     if share in (0.0, 1.0):
         w[-1] = -30.0
         return w
-    pos, neg = np.bincount(f, y[r], size), np.bincount(f, 1 - y[r], size)
+    scale = 1 / np.sqrt(np.maximum(np.diff(off), 1))
+    pos, neg = _by_feature(use * y, flat, off), _by_feature(use * (1 - y), flat, off)
     ratio = np.log((pos + 1) / (y[use].sum() + 2)) - np.log((neg + 1) / ((1 - y[use]).sum() + 2))
-    v = v * ratio[f]
     weight = use * np.where(y > 0, 0.5 / share, 0.5 / (1 - share)) / use.sum()
     m, s = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, STEPS + 1):
-        z = np.bincount(r, w[f] * v, len(y)) + extra @ w[size:-1] + w[-1]
+        z = scale * _by_row(w[:size] * ratio, flat, off) + extra @ w[size:-1] + w[-1]
         g = weight * (_sigmoid(z) - y)
         grad = np.empty_like(w)
-        grad[:size] = np.bincount(f, g[r] * v, size)
+        grad[:size] = ratio * _by_feature(g * scale, flat, off)
         grad[size:-1], grad[-1] = extra.T @ g, g.sum()
         grad[:-1] += L2 * w[:-1]
         m, s = 0.9 * m + 0.1 * grad, 0.99 * s + 0.01 * grad * grad
@@ -125,17 +143,24 @@ def train_chain(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     coded = written(sample.select("__id", "t", *columns).mapInArrow(encode, ddl), "labelled")
 
     def unpack(batch):
-        order = np.argsort(batch.column("id").to_numpy())
-        batch = batch.take(pa.array(order)).combine_chunks()
-        lists = batch.column("features").combine_chunks()
-        n = lists.value_lengths().to_numpy()
-        rows, feature = np.repeat(np.arange(len(n)), n), lists.flatten().to_numpy().astype(np.int64)
+        """(ids, features, row offsets, labels, folds) by ascending id."""
         ids = batch.column("id").to_numpy()
-        value = (1 / np.sqrt(np.maximum(n, 1)))[rows]
-        return ids, rows, feature, value, (mix(ids.astype(U64)) % U64(FOLDS)).astype(np.int64)
+        order = np.argsort(ids)
+        n = np.concatenate([x.value_lengths().to_numpy() for x in batch.column("features").chunks])
+        parts = [x.flatten().to_numpy() for x in batch.column("features").chunks]
+        at = np.concatenate([[0], np.cumsum(n)])
+        off = np.concatenate([[0], np.cumsum(n[order])])
+        which, begin = np.searchsorted(np.cumsum([0, *map(len, parts)]), at[:-1], "right") - 1, np.cumsum([0, *map(len, parts)])
+        flat = np.empty(off[-1], np.int32)
+        for k, i in enumerate(order.tolist()):
+            if n[i]:
+                flat[off[k] : off[k + 1]] = parts[which[i]][at[i] - begin[which[i]] :][: n[i]]
+        ids = ids[order]
+        return ids, flat, off, [batch.column(c).to_numpy()[order] for c in columns], (mix(ids.astype(U64)) % U64(FOLDS)).astype(np.int64)
 
     earlier: list[tuple[np.ndarray, np.ndarray]] = []  # (ids, out-of-fold probabilities) of the categories so far
     models = {}
+    fold_of = dict(zip(bucket_keys(docs.sparkSession, FOLDS + 1), range(-1, FOLDS), strict=True))  # a task for each fit
     for k, (name, _) in enumerate(categories):
         known = {int(i): j for j, i in enumerate(earlier[0][0])} if earlier else {}
         chain = (k, known, np.stack([p for _, p in earlier], 1) if earlier else np.zeros((0, 0)))
@@ -143,19 +168,19 @@ def train_chain(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
         def one(key, batch):
             """Fit without one fold (or on all rows, fold -1) and score that fold."""
             k, known, matrix = chain
-            fold = key[0].as_py()
-            ids, rows, feature, value, folds = unpack(batch)
-            y = batch.column(f"y{k}").take(pa.array(np.argsort(batch.column("id").to_numpy()))).to_numpy()
+            fold = fold_of[key[0].as_py()]
+            ids, flat, off, labels_of, folds = unpack(batch)
+            y = labels_of[k]
             extra = matrix[[known[int(i)] for i in ids]] if k else np.zeros((len(ids), 0))
-            w = fit(rows, feature, value, extra, y, folds != fold)
+            w = fit(flat, off, extra, y, folds != fold)
             size = 1 << BITS
-            p = _sigmoid(np.bincount(rows, w[feature] * value, len(ids)) + extra @ w[size:-1] + w[-1])
+            p = _sigmoid(_by_row(w[:size], flat, off) / np.sqrt(np.maximum(np.diff(off), 1)) + extra @ w[size:-1] + w[-1])
             out = folds == fold
             weights = w.astype(np.float32).tobytes() if fold < 0 else None
             return pa.table({"fold": pa.array([fold], pa.int32()), "ids": pa.array([ids[out].tolist()], pa.list_(pa.int64())), "p": pa.array([p[out].tolist()], pa.list_(pa.float64())), "y": pa.array([y[out].tolist()], pa.list_(pa.float64())), "w": pa.array([weights], pa.binary())})
 
-        folds = F.explode(F.array(*(F.lit(f) for f in range(-1, FOLDS)))).alias("fold")
-        got = coded.select(folds, "*").groupBy("fold").applyInArrow(one, "fold int, ids array<long>, p array<double>, y array<double>, w binary").collect()
+        tasks = F.explode(F.array(*map(F.lit, fold_of))).alias("task")
+        got = coded.select(tasks, "*").repartition(len(fold_of), "task").groupBy("task").applyInArrow(one, "fold int, ids array<long>, p array<double>, y array<double>, w binary").collect()
         ids, p, y = (np.concatenate([np.array(r[c]) for r in got if r.fold >= 0] or [np.zeros(0)]) for c in ("ids", "p", "y"))
         order = np.argsort(ids)
         ids, p, y = ids[order].astype(np.int64), p[order], y[order]

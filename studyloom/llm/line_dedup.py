@@ -1,15 +1,13 @@
 """8. Line dedup: fuzzy lines by MinHash, with DataFrame and SQL functions only.
 
-A line is compared trimmed and lower-cased, by its character shingles: at least SHINGLE characters from the
-start of every word, with what follows, and within words of over LONG bytes (codes, lists, addresses, scripts
-written without spaces) SHINGLE characters from every character on. So every character is covered, and one put
-in or left out changes only the shingles it is in. Of shorter words only the shingle at their start is taken:
-this is a sample of the shingles at every character, and similarities near the threshold differ from theirs.
+A line is compared trimmed and lower-cased, by the set of its shingles: SHINGLE characters from every
+character on (a shorter line is one shingle). Two lines are near copies if the Jaccard similarity of their
+sets is NUM / DEN or more.
 
-1. Signatures. Lines explode to shingles and shrink again by hash aggregation to 16 minima per distinct
+1. Signatures. Lines explode to shingles and shrink again by hash aggregation to 9 minima per distinct
    line (minima don't mind repeats, so equal lines merge before the shuffle).
-2. Banding. The 16 minima are the points of the affine plane of order 4, its first BANDS lines of 4
-   points each are the bands: lines of similarity 0.8 meet in one with probability 0.99, of 0.9 with 0.999.
+2. Banding. The 9 minima are the points of the affine plane of order 3, its 12 lines of 3 points each are
+   the bands: lines of similarity 0.8 meet in one with probability 0.99, of 0.9 with 0.9995.
 3. Verification. In each bucket members are verified by exact Jaccard against one leader, the line that is
    most frequent (of near copies the least changed one). Where a bucket then still holds several components,
    only shingles found in two components can be in an overlap that joins them: how many such shingles
@@ -18,6 +16,9 @@ this is a sample of the shingles at every character, and similarities near the t
 4. Union-find as alternating star joins, then one line per component stays: its first occurrence by
    (id, line number).
 
+Buckets are counted by partial aggregation and joined back to their lines, so that Spark deals a hot one out
+to several tasks. Shingles are compared by 64-bit hashes within a pair of lines, lines by 64-bit digests.
+
 Defined results: blank lines stay and are compared with nothing; null text stays null; rows with a null id
 keep all lines and cause no removal; rows equal in id and text are one document and keep the same lines;
 rows that share an id but not the text are told apart by the text's digest; extra columns pass through
@@ -26,44 +27,28 @@ and those named as a result give way; no documents, no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
 from .shared import BROADCAST_BYTES, hinted, table, written
 
-SHINGLE, STEP, LONG, NUM, DEN, BANDS = 12, 1, 16, 80, 100, 16
+SHINGLE, NUM, DEN = 8, 80, 100
 GROUPS = 32
-_BLANKS = " \t\r\f\u000b "
+_BLANKS = " \t\r\f\u000b "
+#: Bytes of a character in the encoding whose characters are all of one size.
+_WIDE = 4
 
 
 def _planes() -> list[list[int]]:
-    """The 20 lines of the affine plane over the field of 4 elements, as points 4 x + y."""
-    def times(a: int, b: int) -> int:
-        x = (a if b & 1 else 0) ^ (a << 1 if b & 2 else 0)
-        return x ^ 7 if x & 4 else x
-
-    return [[4 * x + (times(m, x) ^ c) for x in range(4)] for m in range(4) for c in range(4)] + [[4 * c + y for y in range(4)] for c in range(4)]
-
-
-def _words(key) -> F.Column:
-    """Each word with the two that follow it, as structs a, b, c."""
-    words = F.split(key, " ")
-    return F.arrays_zip(words.alias("a"), F.slice(words, F.lit(2), F.size(words)).alias("b"), F.slice(words, F.lit(3), F.size(words)).alias("c"))
+    """The 12 lines of the affine plane over the field of 3 elements, as points 3 x + y."""
+    return [[3 * x + (m * x + c) % 3 for x in range(3)] for m in range(3) for c in range(3)] + [[3 * c + y for y in range(3)] for c in range(3)]
 
 
-def _pieces(a, b, c) -> F.Column:
-    """The shingles that start in word ``a``."""
-    inside = rf"(?s)(?=(.{{1,{SHINGLE}}})).{{{STEP}}}"
-    after = F.concat(F.lit(" "), F.coalesce(b, F.lit("")), F.lit(" "), F.coalesce(c, F.lit("")))
-    whole = F.concat(a, F.substring(after, F.lit(1), F.greatest(F.lit(0), F.lit(SHINGLE) - F.octet_length(a))))
-    return F.when(F.octet_length(a) > LONG, F.regexp_extract_all(a, F.lit(inside), F.lit(1))).otherwise(F.array(whole))
-
-
-def _shingle_set(key) -> F.Column:
+def _shingles(key) -> F.Column:
     """The distinct shingles' hashes of one line."""
-    words = F.filter(_words(key), lambda w: w["a"] != "")
-    return F.array_distinct(F.transform(F.flatten(F.transform(words, lambda w: _pieces(w["a"], w["b"], w["c"]))), lambda s: F.xxhash64(s)))
+    every = F.transform(F.regexp_extract_all(key, F.lit(rf"(?s)(?=(.{{{SHINGLE}}}))."), F.lit(1)), lambda s: F.xxhash64(s))
+    return F.when(F.length(key) < SHINGLE, F.array(F.xxhash64(key))).otherwise(F.array_distinct(every))
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -75,21 +60,35 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _mask(i: int) -> int:
-    """Multiples of the golden ratio as signed 32-bit integers, which spread over the whole range."""
-    x = (i * 0x9E3779B9) & 0xFFFFFFFF
-    return x - (1 << 32) if x >> 31 else x
+    """Multiples of the golden ratio as 31-bit integers, which spread over the whole range."""
+    return (i * 0x9E3779B9 & 0xFFFFFFFF) >> 1
+
 
+def signatures(lines: DataFrame) -> DataFrame:
+    """(h, n, p, m0 ...): distinct lines with their occurrences, minima and rank p as a leader: first by
+    occurrences times length, then by hash."""
+    wide = lines.select("h", F.encode("key", "UTF-32").alias("u"))
+    last = F.greatest(F.lit(0), (F.octet_length("u") / _WIDE).cast("int") - SHINGLE)
+    each = wide.select("h", "u", F.explode(F.sequence(F.lit(0), last)).alias("i"))
+    each = each.select("h", F.when(F.col("i") == 0, 1).otherwise(0).alias("one"), F.xxhash64(F.substring("u", _WIDE * F.col("i") + 1, F.lit(_WIDE * SHINGLE))).alias("x"))
+    # 5 permutations of one half of the hash and 4 of the other: exclusive or with masks
+    halves = each.select("h", "one", F.col("x").bitwiseAND(0x7FFFFFFF).cast("int").alias("x0"), F.shiftrightunsigned("x", 33).cast("int").alias("x1"))
+    minima = halves.groupBy("h").agg(F.sum("one").alias("n"), F.count("*").alias("weight"), *(F.min(F.col(f"x{i % 2}").bitwiseXOR(_mask(i // 2))).alias(f"m{i}") for i in range(9)))
+    rank = F.shiftleft(F.least("weight", F.lit((1 << 19) - 1)), 44).bitwiseOR(F.col("h").bitwiseAND((1 << 44) - 1))
+    return minima.select("h", "n", rank.alias("p"), *(f"m{i}" for i in range(9)))
 
-def _met(lines: DataFrame, bands: int) -> DataFrame:
-    """(b, h, lead): distinct lines that share a band with another one, and the bucket's most frequent line."""
-    words = lines.select("h", F.explode(_words(F.col("key"))).alias("w")).select("h", "w.*").where("a != ''")
-    shingles = words.select("h", F.explode(_pieces(F.col("a"), F.col("b"), F.col("c"))).alias("s")).select("h", F.hash("s").alias("x0"), F.hash(F.lit(1), "s").alias("x1"))
-    # 8 permutations of each of two hashes: exclusive or with masks
-    minima = shingles.groupBy("h").agg(F.count("*").alias("weight"), *(F.min(F.col(f"x{i % 2}").bitwiseXOR(_mask(i // 2))).alias(f"m{i}") for i in range(16)))
-    keys = [F.xxhash64(F.lit(k), *(f"m{i}" for i in plane)) for k, plane in enumerate(_planes()[:bands])]
-    banded = minima.select("h", "weight", F.explode(F.array(*keys)).alias("b"))
-    bucket = Window.partitionBy("b")
-    return banded.select("b", "h", F.max(F.struct("weight", "h")).over(bucket)["h"].alias("lead"), F.count("*").over(bucket).alias("k")).where("k > 1").drop("k")
+
+def banded(minima: DataFrame) -> DataFrame:
+    """(b, h, p): each line in its bands' buckets."""
+    keys = [F.xxhash64(F.lit(k), *(f"m{i}" for i in plane)) for k, plane in enumerate(_planes())]
+    return minima.select("h", "p", F.explode(F.array(*keys)).alias("b"))
+
+
+def _met(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The signatures, and (b, h, p, lead): lines that share a bucket with another one, with its highest rank."""
+    minima = written(signatures(lines), "minima")
+    buckets = written(banded(minima).groupBy("b").agg(F.max("p").alias("lead"), F.count("*").alias("k")).where("k > 1").drop("k"), "buckets")
+    return minima, written(banded(minima).join(hinted(buckets, 64), "b"), "met")
 
 
 def _fits(o, x, y, num: int, den: int) -> F.Column:
@@ -97,13 +96,12 @@ def _fits(o, x, y, num: int, den: int) -> F.Column:
     return F.lit(den) * o >= F.lit(num) * (x + y - o)
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose exact Jaccard similarity reaches num / den."""
-    x = sets.select(F.col("h").alias("a"), F.col("s").alias("sa"))
-    y = sets.select(F.col("h").alias("b"), F.col("s").alias("sb"))
-    na, nb = F.size("sa"), F.size("sb")
-    joined = pairs.join(x, "a").join(y, "b").where(_fits(F.least(na, nb), na, nb, num, den))
-    return joined.where(_fits(F.size(F.array_intersect("sa", "sb")), na, nb, num, den)).select("a", "b")
+def _similar(pairs: DataFrame, keys: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose exact Jaccard similarity reaches num / den; keys: (h, key) of distinct lines."""
+    x = pairs.join(keys.select(F.col("h").alias("a"), "key"), "a").select("a", "b", "key")
+    y = keys.join(pairs.select(F.col("b").alias("h")).distinct(), "h").select(F.col("h").alias("b"), _shingles(F.col("key")).alias("sb"))
+    joined = x.join(y, "b").select("a", "b", _shingles(F.col("key")).alias("sa"), "sb")
+    return joined.where(_fits(F.size(F.array_intersect("sa", "sb")), F.size("sa"), F.size("sb"), num, den)).select("a", "b")
 
 
 def _apart(placed: DataFrame) -> DataFrame:
@@ -112,10 +110,10 @@ def _apart(placed: DataFrame) -> DataFrame:
     return placed.join(split, "b")
 
 
-def _bounded(placed: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def _bounded(placed: DataFrame, keys: DataFrame, num: int, den: int) -> DataFrame:
     """``placed`` (b, h, c) with n, the line's set size, o, how many of its shingles another component has too,
     and g0 ..., these by GROUPS of their hashes, for lines that can be similar to one of another component."""
-    held = placed.select("h", "c").distinct().join(sets, "h").select("h", "c", F.size("s").alias("n"), F.explode("s").alias("x"))
+    held = placed.select("h", "c").distinct().join(keys, "h").select("h", "c", _shingles(F.col("key")).alias("s")).select("h", "c", F.size("s").alias("n"), F.explode("s").alias("x"))
     common = held.groupBy("x").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("x")
     able = held.join(common, "x").groupBy("h", "n").agg(F.count("*").alias("o"), *(F.count_if(F.pmod("x", F.lit(GROUPS)) == k).alias(f"g{k}") for k in range(GROUPS))).where(_fits(F.col("o"), F.col("n"), F.col("o"), num, den))
     return placed.join(able, "h")
@@ -130,21 +128,20 @@ def _between(placed: DataFrame, num: int, den: int) -> DataFrame:
     return met.select(F.col("h_x").alias("a"), F.col("h_y").alias("b")).distinct()
 
 
-def line_components(lines: DataFrame, num: int = NUM, den: int = DEN, bands: int = BANDS) -> DataFrame:
-    """(node, root) of the distinct lines that are similar to another one, by digest."""
-    met = written(_met(lines, bands), "met")
-    wanted = written(met.select("h").distinct(), "wanted")
-    sets = lines.select("h", "key").join(hinted(wanted, 16), "h", "left_semi").groupBy("h").agg(F.min("key").alias("key"))
-    sets = written(sets.select("h", _shingle_set(F.col("key")).alias("s")), "sets")
-    near = met.where("h != lead").select(F.col("h").alias("a"), F.col("lead").alias("b")).distinct()
-    roots = written(components(_similar(near, sets, num, den)), "roots")
+def line_components(met: DataFrame, keys: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
+    """(node, root) of the distinct lines that are similar to another one, by digest.
+
+    met: (b, h, p, lead), lines in buckets with another one and the bucket's highest rank; keys: their (h, key)."""
+    leads = met.where("p = lead").select("lead", F.col("h").alias("b")).distinct()
+    near = met.where("p != lead").select(F.col("h").alias("a"), "lead").distinct().join(leads, "lead").select("a", "b")
+    roots = written(components(_similar(near, keys, num, den)), "roots")
     placed = met.join(roots.withColumnRenamed("node", "h"), "h", "left").select("b", "h", F.coalesce("root", "h").alias("c"))
-    placed = _bounded(written(_apart(placed), "placed"), sets, num, den)
-    one = F.max(F.struct("o", "h")).over(Window.partitionBy("b", "c"))["h"]
-    placed = written(placed.withColumn("done", F.col("h") == one), "bounded")
+    placed = written(_bounded(written(_apart(placed), "placed"), keys, num, den), "bounded")
+    one = placed.groupBy("b", "c").agg(F.max(F.struct("o", "h"))["h"].alias("one"))
+    placed = written(placed.join(one, ["b", "c"]).withColumn("done", F.col("h") == F.col("one")).drop("one"), "bounded")
     for one_each in (True, False):
         some = placed.where("done").withColumn("done", F.lit(False)) if one_each else _apart(placed)
-        links = written(_similar(_between(some, num, den), sets, num, den), "links")
+        links = written(_similar(_between(some, num, den), keys, num, den), "links")
         if links.isEmpty():
             continue
         known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
@@ -156,17 +153,23 @@ def line_components(lines: DataFrame, num: int = NUM, den: int = DEN, bands: int
     return roots
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = NUM, den: int = DEN, bands: int = BANDS) -> DataFrame:
+def components_of(lines: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
+    """(node, root) of the distinct lines (h, key) that are similar to another one, by digest."""
+    return line_components(_met(lines)[1], lines.select("h", "key").dropDuplicates(["h"]), num, den)
+
+
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = NUM, den: int = DEN) -> DataFrame:
     """``docs`` without the lines that repeat an earlier one, with n_lines (non-blank, before) and n_removed_lines."""
     lines = lines_of(docs, id_col, text_col)
-    roots = line_components(lines, num, den, bands)
-    places = written(lines.select("h", F.struct("id", "no", "th").alias("place")), "places")
-    first = places.groupBy("h").agg(F.min("place").alias("first"), F.count("*").alias("n"))
-    rooted = first.join(roots.withColumnRenamed("node", "h"), "h", "left").where("n > 1 or root is not null").withColumn("root", F.coalesce("root", "h"))
-    rooted = written(rooted, "rooted")
-    keep = rooted.groupBy("root").agg(F.min("first").alias("keep"))
-    watch = written(rooted.join(keep, "root").select("h", "keep"), "watch")
-    repeats = places.join(hinted(watch, 64), "h").where("place != keep").select("place.id", "place.th", "place.no")
+    minima, met = _met(lines)
+    # the lines that matter: in a bucket with another one, or in several places
+    watch = minima.select("h", "n").join(met.select("h", F.lit(True).alias("near")).distinct(), "h", "left").where("near or n > 1").select("h", F.coalesce("near", F.lit(False)).alias("near"))
+    places = written(lines.join(hinted(written(watch, "watch"), 64), "h"), "places")
+    keys = written(places.where("near").select("h", "key").dropDuplicates(["h"]), "keys")
+    roots = line_components(met, keys, num, den)
+    placed = places.select("h", F.struct("id", "no", "th").alias("place")).join(roots.withColumnRenamed("node", "h"), "h", "left").select("place", F.coalesce("root", "h").alias("root"))
+    keep = placed.groupBy("root").agg(F.min("place").alias("keep"))
+    repeats = placed.join(keep, "root").where("place != keep").select("place.id", "place.th", "place.no")
     drops = written(repeats.groupBy("id", "th").agg(F.collect_set("no").alias("gone")), "drops")
     size = drops.agg(F.sum(F.lit(64) + 4 * F.size("gone"))).first()[0] or 0
     drops = drops.select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("gone").alias("__gone"))
@@ -174,11 +177,12 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         drops = F.broadcast(drops)
     rows = docs.drop(*(c for c in docs.columns if c.lower() in ("n_lines", "n_removed_lines")))
     joined = rows.join(drops, (F.col(id_col) == F.col("__id")) & (F.xxhash64(F.col(text_col)) == F.col("__th")), "left")
-    split = F.split(F.col(text_col), "\n")
-    kept = F.array_join(F.filter(split, lambda x, i: ~F.array_contains(F.col("__gone"), i)), "\n")
-    n_lines = F.size(F.filter(F.coalesce(split, F.array()), lambda x: F.trim(x, F.lit(_BLANKS)) != "")).cast("long")
+    joined = joined.withColumn("__lines", F.split(F.col(text_col), "\n"))
+    left = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone"))
+    kept = F.array_join(F.transform(left, lambda i: F.get(F.col("__lines"), i)), "\n")
+    n_lines = F.size(F.filter(F.coalesce("__lines", F.array()), lambda x: F.trim(x, F.lit(_BLANKS)) != "")).cast("long")
     new = {"n_lines": n_lines, "n_removed_lines": F.coalesce(F.size("__gone"), F.lit(0)).cast("long"), text_col: F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(kept)}
-    return joined.withColumns(new).drop("__id", "__th", "__gone")
+    return joined.withColumns(new).drop("__id", "__th", "__gone", "__lines")
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from .arrow import bounded_batches, with_computed
 from .components import components
 from . import kernels
-from .kernels import BLOCK_DDL, NON_SPACE, U64, _expand, _squeeze, buffers, byte_table, mix, pack, row_of, slices, span_hashes, unpack, window_hashes, words
+from .kernels import BLOCK_DDL, NON_SPACE, U64, _expand, _squeeze, bucket_of, buffers, by_range, byte_table, mix, pack, row_of, slices, span_hashes, unpack, window_hashes, words
 from .shared import bucket_keys, n_partitions, table, written
 
 SHINGLE, NUM, DEN = 5, 80, 100
@@ -98,33 +98,41 @@ def shared_shingles(docs: DataFrame, text_col: str, width: int, num: int, den: i
                 mask[kept] = True
                 mask &= sizes > 0
                 take = mask[row]
-                first = np.concatenate([[0], np.cumsum(sizes[mask])])[:-1]
-                out = pack(hashes[take], np.arange(int(take.sum())), first, digests[mask], sizes[mask].astype(np.int64), keys)
+                out = pack(bucket_of(hashes[take], keys), row[take], np.zeros(int(take.sum()), np.int32), digests, sizes.astype(np.int64), hashes[take])
                 if out is not None:
                     yield out
 
     def count(key, batch):
-        hashes, _, ids, sizes = unpack(batch)
-        order = np.lexsort((ids, hashes))
-        hashes, ids, sizes = hashes[order], ids[order], sizes[order]
-        fresh = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (ids[1:] != ids[:-1])])  # one set in several slices
-        hashes, ids, sizes = hashes[fresh], ids[fresh], sizes[fresh]
-        head = np.concatenate([[True], hashes[1:] != hashes[:-1]])
-        which = np.cumsum(head) - 1
-        freq = np.bincount(which)[which]
-        keep = freq > 1
-        # a shared shingle is from now on its number in the bucket, which packs better than its hash
-        rank = (np.cumsum(head & (freq > 1)) - 1)[keep] + (key[0].as_py() << 40)
-        ids, sizes, freq = ids[keep], sizes[keep], freq[keep]
+        hashes, doc, _, sids, n_of = unpack(batch, with_pos=False)
+        found, base = [], key[0].as_py() << 40
+        for some in by_range(hashes):
+            h, d = hashes[some], doc[some]
+            order = np.lexsort((sids[d], h))
+            h, d = h[order], d[order]
+            i = sids[d]
+            fresh = np.ones(len(h), bool)
+            fresh[1:] = (h[1:] != h[:-1]) | (i[1:] != i[:-1])  # one set in several slices
+            h, d = h[fresh], d[fresh]
+            head = np.ones(len(h), bool)
+            head[1:] = h[1:] != h[:-1]
+            freq = np.bincount(np.cumsum(head) - 1)[np.cumsum(head) - 1] if len(h) else np.zeros(0, np.int64)
+            keep = freq > 1
+            # a shared shingle is from now on its number in the bucket, which packs better than its hash
+            found.append((d[keep], base + (np.cumsum(head & keep) - 1)[keep], freq[keep]))
+            base += int((head & keep).sum())
+        d, rank, freq = (np.concatenate(x) for x in zip(*found, strict=True))
+        ids, sizes = sids[d], n_of[d]
         group = keys[(mix(ids.astype(U64)) % U64(parts)).astype(np.int64)]
         order = np.lexsort((rank, ids, group))
         group, ids, sizes, rank, freq = (x[order] for x in (group, ids, sizes, rank, freq))
         edges = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [len(group)]]) if len(group) else [0]
-        rows = [(int(group[a]), _squeeze(ids[a:b]), _squeeze(sizes[a:b]), _squeeze(rank[a:b]), _squeeze(freq[a:b].astype(np.int64))) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-        return pa.table(dict(zip(("g", "ids", "sizes", "hashes", "freq"), (pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, (pa.int32(), *(pa.binary(),) * 4), strict=True)), strict=True)))
+        rows = [(int(group[a]), _squeeze(np.concatenate([x[a:b] for x in (ids, sizes, rank, freq)]))) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        return pa.table({"g": pa.array([g for g, _ in rows], pa.int32()), "found": pa.array([x for _, x in rows], pa.binary())})
 
     def assemble(key, batch):
-        ids, sizes, hashes, freq = (np.concatenate([_expand(x, np.int64) for x in batch.column(c).to_pylist()]) for c in ("ids", "sizes", "hashes", "freq"))
+        parts_of = [_expand(x.as_py(), np.int64).reshape(4, -1) for x in batch.column("found")]
+        ids, sizes, hashes, freq = np.concatenate(parts_of, axis=1)
+        del parts_of
         order = np.lexsort((hashes, freq, ids))
         ids, sizes, hashes = ids[order], sizes[order], hashes[order]
         start = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
@@ -135,7 +143,7 @@ def shared_shingles(docs: DataFrame, text_col: str, width: int, num: int, den: i
         off = np.concatenate([[0], np.cumsum(have[possible])])
         return pa.table({"sid": ids[start][possible], "n": n[possible], "lone": (n - have)[possible], "tokens": pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(hashes[token], pa.int64()))})
 
-    met = docs.select(text_col).mapInArrow(blocks, BLOCK_DDL).repartition(parts, "bucket").groupBy("bucket").applyInArrow(count, "g int, ids binary, sizes binary, hashes binary, freq binary")
+    met = docs.select(text_col).mapInArrow(blocks, BLOCK_DDL).repartition(parts, "bucket").groupBy("bucket").applyInArrow(count, "g int, found binary")
     return met.repartition(parts, "g").groupBy("g").applyInArrow(assemble, "sid long, n long, lone long, tokens array<long>")
 
 

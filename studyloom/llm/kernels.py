@@ -8,6 +8,8 @@ over the word hashes, both modulo 2**64 and computed with prefix sums:
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -33,7 +35,7 @@ def _powers(n: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """B**0..B**n and their inverses modulo 2**64."""
     got = _POWERS.get(which)
     if got is None or len(got[0]) <= n:
-        size = max(n + 1, SLICE_BYTES + 2)
+        size = max(n + 1, (SLICE_BYTES >> which) + 2)  # a slice has half as many words as bytes at most
         base = _BASES[which] | 1
         inverse = pow(base, -1, 1 << 64)
         out = []
@@ -138,63 +140,105 @@ def row_of(at: np.ndarray, row_first: np.ndarray) -> np.ndarray:
 
 # --- packed hash blocks -----------------------------------------------------------------------
 # A shuffle of one row per window would carry tens of bytes for each. A block holds the windows of
-# one slice of documents that fall into one bucket: 7 bytes of hash each and the index of the
-# window's first word (as a gap), and the slice's documents once.
+# one slice of documents that fall into one bucket: 7 bytes of hash each, and compressed together their
+# positions and the documents that have windows in the block, so that its size is in proportion to its
+# windows, however many buckets there are.
+
+BLOCK = pa.schema([("bucket", pa.int32()), ("n", pa.int32()), ("d", pa.int32()), ("hashes", pa.binary()), ("rest", pa.binary())])
+BLOCK_DDL = "bucket int, n int, d int, hashes binary, rest binary"
+#: Windows that are sorted at once where a bucket's blocks meet.
+SORT_AT_ONCE = 1 << 18
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """The bytes of ``x`` by significance, which compress better."""
+    return np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T).tobytes() if len(x) else b""
+
 
-BLOCK = pa.schema([("bucket", pa.int32()), ("n", pa.int32()), ("hashes", pa.binary()), ("gaps", pa.binary()), ("firsts", pa.binary()), ("ids", pa.binary()), ("extra", pa.binary())])
-BLOCK_DDL = "bucket int, n int, hashes binary, gaps binary, firsts binary, ids binary, extra binary"
+def _from_planes(raw: memoryview, at: int, n: int, dtype) -> np.ndarray:
+    size = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n).T).reshape(-1).view(dtype)
 
 
-def _squeeze(x: np.ndarray) -> bytes:
+@cache
+def _zstd() -> tuple:
+    """One compressor and one decompressor a worker; making one costs more than a small block."""
     import zstandard
 
-    planes = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T if len(x) else np.zeros((x.itemsize, 0), np.uint8)
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
+def _squeeze(*arrays: np.ndarray) -> bytes:
+    return _zstd()[0].compress(b"".join(map(_planes, arrays)))
 
 
 def _expand(raw: bytes, dtype) -> np.ndarray:
-    import zstandard
+    got = _zstd()[1].decompress(raw)
+    return _from_planes(got, 0, len(got) // np.dtype(dtype).itemsize, dtype)
 
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
-    size = np.dtype(dtype).itemsize
-    return np.ascontiguousarray(planes.reshape(size, -1).T).reshape(-1).view(dtype)
 
+def pack(bucket: np.ndarray, row: np.ndarray, pos: np.ndarray, ids: np.ndarray, extra: np.ndarray, hashes: np.ndarray | None = None) -> pa.RecordBatch | None:
+    """Blocks, one for each value of ``bucket``, of windows at ``pos`` of document ``row``; ids, extra: int64 by row.
 
-def pack(hashes: np.ndarray, at: np.ndarray, row_first: np.ndarray, ids: np.ndarray, extra: np.ndarray, keys: np.ndarray) -> pa.RecordBatch | None:
-    """Blocks, one for each bucket that has hashes. at: ascending word indexes; ids, extra: int64 by row;
-    keys: the buckets' partition keys."""
-    n_buckets = len(keys)
-    if not len(hashes):
+    Windows come by ascending row and position."""
+    if not len(bucket):
         return None
-    bucket = ((hashes >> U64(32)) % U64(n_buckets)).astype(np.int64)
-    order = np.argsort(bucket.astype(np.uint16 if n_buckets <= 65536 else np.int64), kind="stable")
-    bucket, at = bucket[order], at[order]
-    seven = np.ascontiguousarray(hashes[order]).view(np.uint8).reshape(-1, 8)[:, :7]  # little-endian: the low 56 bits
+    order = np.argsort(bucket, kind="stable")
+    bucket, row, pos = bucket[order], row[order], pos[order]
     edges = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
-    used = np.unique(row_of(at, row_first)) if len(at) else np.zeros(0, np.int64)
-    firsts = row_first[used]
-    shared = [_squeeze(np.diff(firsts, prepend=0).astype(np.int32)), _squeeze(np.diff(ids[used], prepend=0)), _squeeze(extra[used])]
-    out: list[list] = [[], [], [], []]
-    for a, b in zip(edges[:-1], edges[1:], strict=True):
-        out[0].append(int(keys[bucket[a]]))
-        out[1].append(int(b - a))
-        out[2].append(seven[a:b].tobytes())
-        out[3].append(_squeeze(np.diff(at[a:b], prepend=0).astype(np.int32)))
-    k = len(out[0])
-    return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.binary()), *(pa.array([x] * k, pa.binary()) for x in shared)], schema=BLOCK)
-
-
-def unpack(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(56-bit hash, position in the document, id, extra) of every window of the blocks."""
-    parts: list[tuple] = []
-    for n, hashes, gaps, firsts, ids, extra in zip(*(table.column(c).to_pylist() for c in ("n", "hashes", "gaps", "firsts", "ids", "extra")), strict=True):
-        wide = np.zeros((n, 8), np.uint8)
-        wide[:, :7] = np.frombuffer(hashes, np.uint8).reshape(n, 7)
-        at = np.cumsum(_expand(gaps, np.int32).astype(np.int64))
-        starts = np.cumsum(_expand(firsts, np.int32).astype(np.int64))
-        row = np.searchsorted(starts, at, "right") - 1
-        parts.append((wide.reshape(-1).view(U64), at - starts[row], np.cumsum(_expand(ids, np.int64))[row], _expand(extra, np.int64)[row]))
-    return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, U64), *(np.zeros(0, np.int64),) * 3)
+    fresh = np.ones(len(row), bool)
+    fresh[1:] = (row[1:] != row[:-1]) | (bucket[1:] != bucket[:-1])
+    doc_at = np.flatnonzero(fresh)
+    doc_ids, doc_extra, gaps = ids[row[doc_at]], extra[row[doc_at]], np.diff(pos, prepend=0)
+    gaps[doc_at] = pos[doc_at]
+    counts = np.diff(np.append(doc_at, len(row))).astype(np.int32)
+    doc_edges = np.searchsorted(doc_at, edges)
+    gaps = gaps.astype(np.int32)
+    seven = None if hashes is None else np.ascontiguousarray(hashes[order]).view(np.uint8).reshape(-1, 8)[:, :7]  # little-endian: the low 56 bits
+    out: list[list] = [[], [], [], [], []]
+    for a, b, i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), doc_edges[:-1].tolist(), doc_edges[1:].tolist(), strict=True):
+        rest = _squeeze(gaps[a:b], counts[i:j], np.diff(doc_ids[i:j], prepend=0), doc_extra[i:j])
+        for column, x in zip(out, (int(bucket[a]), b - a, j - i, b"" if seven is None else seven[a:b].tobytes(), rest), strict=True):
+            column.append(x)
+    return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, BLOCK, strict=True)], schema=BLOCK)
+
+
+def bucket_of(hashes: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """The partition key of each hash's bucket."""
+    return keys[((hashes >> U64(32)) % U64(len(keys))).astype(np.int64)]
+
+
+def unpack(table: pa.Table, with_hashes: bool = True, with_pos: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of every window of the blocks the 56-bit hash, the document's number and the position in it; by document id and extra."""
+    n, d = (table.column(c).to_numpy().astype(np.int64) for c in ("n", "d"))
+    at, doc_at = np.concatenate([[0], np.cumsum(n)]), np.concatenate([[0], np.cumsum(d)])
+    hashes = np.zeros(at[-1] if with_hashes else 0, U64)
+    doc, pos = np.empty(at[-1], np.int32), np.empty(at[-1] if with_pos else 0, np.int32)
+    ids, extra = np.empty(doc_at[-1], np.int64), np.empty(doc_at[-1], np.int64)
+    wide, inflate = hashes.view(np.uint8).reshape(-1, 8), _zstd()[1]
+    seven, rests = table.column("hashes"), table.column("rest")
+    for k in range(len(n)):
+        w, m = slice(at[k], at[k + 1]), slice(doc_at[k], doc_at[k + 1])
+        if with_hashes:
+            wide[w, :7] = np.frombuffer(seven[k].as_buffer(), np.uint8).reshape(-1, 7)
+        rest = inflate.decompress(rests[k].as_buffer())
+        counts = _from_planes(rest, 4 * n[k], d[k], np.int32)
+        doc[w] = np.repeat(np.arange(doc_at[k], doc_at[k + 1], dtype=np.int32), counts)
+        if with_pos:
+            gaps, head = _from_planes(rest, 0, n[k], np.int32), np.cumsum(counts) - counts
+            sums = np.cumsum(gaps, dtype=np.int64)
+            pos[w] = sums - np.repeat(sums[head] - gaps[head], counts)
+        ids[m] = np.cumsum(_from_planes(rest, 4 * (n[k] + d[k]), d[k], np.int64))
+        extra[m] = _from_planes(rest, 4 * (n[k] + d[k]) + 8 * d[k], d[k], np.int64)
+    return hashes, doc, pos, ids, extra
+
+
+def by_range(hashes: np.ndarray):
+    """Indexes of the windows, by ranges of their hashes of SORT_AT_ONCE or so, so that sorting needs little memory."""
+    parts = max(1, -(-len(hashes) // SORT_AT_ONCE))
+    which = ((hashes & U64(0xFFFF)) % U64(parts)).astype(np.uint16)
+    for k in range(parts):
+        yield np.flatnonzero(which == k)
 
 
 def spans(offsets: np.ndarray, values: np.ndarray, kind: pa.DataType) -> pa.Array:

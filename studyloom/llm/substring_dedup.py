@@ -26,23 +26,18 @@ from pyspark.sql import types as T
 
 from .arrow import bounded_batches, with_computed
 from . import kernels
-from .kernels import BLOCK, BLOCK_DDL, NON_SPACE, U64, _expand, _squeeze, buffers, byte_table, mix, pack, row_of, slices, span_hashes, spans, unpack, window_hashes, words
+from .kernels import BLOCK, BLOCK_DDL, NON_SPACE, U64, bucket_of, buffers, by_range, byte_table, mix, pack, row_of, slices, span_hashes, spans, unpack, window_hashes, words
 from .shared import bucket_keys, n_partitions, table
 
 WIDTH = 50
 _TAG = "__text_tag"
 
 
-def _pack_hits(ids: np.ndarray, tags: np.ndarray, at: np.ndarray, keys: np.ndarray) -> pa.RecordBatch | None:
+def _pack_hits(doc: np.ndarray, at: np.ndarray, ids: np.ndarray, tags: np.ndarray, keys: np.ndarray) -> pa.RecordBatch | None:
     """Hits (document, position) in blocks by group of documents; their bucket is -1 - key."""
-    if not len(ids):
-        return None
-    group = keys[(mix(ids.astype(U64)) % U64(len(keys))).astype(np.int64)]
-    order = np.lexsort((at, tags, ids, group))
-    group, ids, tags, at = group[order], ids[order], tags[order], at[order]
-    edges = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [len(group)]])
-    rows = [(-1 - int(group[a]), int(b - a), b"", _squeeze(np.diff(at[a:b], prepend=0).astype(np.int32)), b"", _squeeze(np.diff(ids[a:b], prepend=0)), _squeeze(tags[a:b])) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-    return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), BLOCK, strict=True)], schema=BLOCK)
+    order = np.lexsort((at, doc))
+    doc, at = doc[order], at[order]
+    return pack(-1 - keys[(mix(ids.astype(U64)) % U64(len(keys))).astype(np.int64)][doc], doc, at, ids, tags)
 
 
 def _later(hashes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -76,22 +71,26 @@ def removal_intervals(docs: DataFrame, id_col: str, text_col: str, width: int) -
                 row = row_of(at, first)
                 ids, tags = ids_all[a:b], tags_all[a:b]
                 later, least = _later(hashes, ids[row])
-                for out in (_pack_hits(ids[row[later]], tags[row[later]], (at - first[row])[later], keys), pack(hashes[least], at[least], first[:-1], ids, tags, keys)):
+                pos = at - first[row]
+                for out in (_pack_hits(row[later], pos[later], ids, tags, keys), pack(bucket_of(hashes[least], keys), row[least], pos[least], ids, tags, hashes[least])):
                     if out is not None:
                         yield out
 
     def resolve(key, batch):
         if key[0].as_py() < 0:  # hits already: on to their group of documents
             return batch.set_column(0, "bucket", pa.array([-1 - key[0].as_py()] * len(batch), pa.int32()))
-        hashes, at, ids, tags = unpack(batch)
-        later, _ = _later(hashes, ids)
-        out = _pack_hits(ids[later], tags[later], at[later], keys)
+        hashes, doc, at, ids, tags = unpack(batch)
+        later = np.zeros(len(hashes), bool)
+        for some in by_range(hashes):
+            if len(some):
+                later[some] = _later(hashes[some], ids[doc[some]])[0]
+        out = _pack_hits(doc[later], at[later], ids, tags, keys)
         found = pa.Table.from_batches([out] if out is not None else [], BLOCK)
         return found.set_column(0, "bucket", pa.array([-1 - b for b in found.column("bucket").to_pylist()], pa.int32()))
 
     def merge(key, batch):
-        got = [(np.cumsum(_expand(i, np.int64)), _expand(t, np.int64), np.cumsum(_expand(g, np.int32).astype(np.int64))) for i, t, g in zip(*(batch.column(c).to_pylist() for c in ("ids", "extra", "gaps")), strict=True)]
-        ids, tags, at = (np.concatenate(x) for x in zip(*got, strict=True))
+        _, doc, at, ids, tags = unpack(batch, with_hashes=False)
+        ids, tags = ids[doc], tags[doc]
         order = np.lexsort((at, tags, ids))
         ids, tags, at = ids[order], tags[order], at[order]
         new_doc = np.concatenate([[True], (ids[1:] != ids[:-1]) | (tags[1:] != tags[:-1])])

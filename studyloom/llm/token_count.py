@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .arrow import bounded_batches
 from . import kernels
 from .kernels import U64, _expand, _squeeze, buffers, byte_table, mix, row_of, slices, span_hashes
-from .shared import n_partitions, table
+from .shared import n_partitions, table, written
 
 LIMIT = 4096
 MARK = "▁"
@@ -160,6 +160,7 @@ def token_counts(docs: DataFrame, path: str, text_col: str = "text", limit: int
     keyed = docs.drop(*clash).withColumn("__key", F.xxhash64(F.col(text_col), F.octet_length(F.col(text_col))))
     met = keyed.select("__key", text_col).mapInArrow(blocks, _BLOCK).repartition(parts, "bucket").groupBy("bucket").applyInArrow(count, "bucket int, slice long, rows binary")
     sums = met.repartition(parts, "slice").groupBy("slice").applyInArrow(add, "__key long, n_tokens long").groupBy("__key").agg(F.max("n_tokens").alias("n_tokens"))
+    sums = written(sums, "sums")  # so that Spark can split a text that has very many copies
     sized = keyed.withColumn("n_bytes", F.coalesce(F.octet_length(F.col(text_col)).cast("long"), F.lit(0).cast("long"))).drop(text_col)
     out = sized.join(sums, "__key", "left").drop("__key").withColumn("n_tokens", F.coalesce("n_tokens", F.lit(0).cast("long")))
     return out.withColumn("over_limit", F.col("n_tokens") > limit)

@@ -8,11 +8,11 @@ sets is NUM / DEN or more.
    line (minima don't mind repeats, so equal lines merge before the shuffle).
 2. Banding. The 9 minima are the points of the affine plane of order 3, its 12 lines of 3 points each are
    the bands: lines of similarity 0.8 meet in one with probability 0.99, of 0.9 with 0.9995.
-3. Verification. In each bucket members are verified by exact Jaccard against one leader, the line that is
-   most frequent (of near copies the least changed one). Where a bucket then still holds several components,
-   only shingles found in two components can be in an overlap that joins them: how many such shingles
-   lines have, by groups of the shingles' hashes, bounds their overlap from above. Lines and pairs beyond
-   the bound are no links; of the others first one line for each component is verified, then what is still apart.
+3. Verification. A line's sketch has a bit for each value of 10 bits of its shingles' hashes. Each bit in which
+   two sketches differ stands for another shingle that one line has alone, so pairs with too many such bits
+   are no links; the others are verified by exact Jaccard. In each bucket members are compared with one
+   leader, the line that is most frequent (of near copies the least changed one). Where a bucket then still
+   holds several components, first one line for each component is compared, then what is still apart.
 4. Union-find as alternating star joins, then one line per component stays: its first occurrence by
    (id, line number).
 
@@ -34,7 +34,8 @@ from .components import components
 from .shared import BROADCAST_BYTES, hinted, table, written
 
 SHINGLE, NUM, DEN = 8, 80, 100
-GROUPS = 32
+#: 64-bit words of a sketch.
+WORDS = 16
 _BLANKS = " \t\r\f\u000b "
 #: Bytes of a character in the encoding whose characters are all of one size.
 _WIDE = 4
@@ -64,20 +65,34 @@ def _mask(i: int) -> int:
     return (i * 0x9E3779B9 & 0xFFFFFFFF) >> 1
 
 
+def _hashed(lines: DataFrame) -> DataFrame:
+    """(h, first, x0, x1): for every second character of lines (h, key) the hashes of the shingle there and of the next."""
+    wide = lines.select("h", F.encode("key", "UTF-32").alias("u"))
+    wide = wide.select("h", "u", F.greatest(F.lit(0), (F.octet_length("u") / _WIDE).cast("int") - SHINGLE).alias("last"))
+    each = wide.select("h", "u", "last", F.explode(F.sequence(F.lit(0), "last", F.lit(2))).alias("i"))
+    x = [F.xxhash64(F.substring("u", _WIDE * i + 1, F.lit(_WIDE * SHINGLE))) for i in (F.col("i"), F.least(F.col("i") + 1, F.col("last")))]
+    return each.select("h", (F.col("i") == 0).alias("first"), x[0].alias("x0"), x[1].alias("x1"))
+
+
 def signatures(lines: DataFrame) -> DataFrame:
     """(h, n, p, m0 ...): distinct lines with their occurrences, minima and rank p as a leader: first by
     occurrences times length, then by hash."""
-    wide = lines.select("h", F.encode("key", "UTF-32").alias("u"))
-    last = F.greatest(F.lit(0), (F.octet_length("u") / _WIDE).cast("int") - SHINGLE)
-    each = wide.select("h", "u", F.explode(F.sequence(F.lit(0), last)).alias("i"))
-    each = each.select("h", F.when(F.col("i") == 0, 1).otherwise(0).alias("one"), F.xxhash64(F.substring("u", _WIDE * F.col("i") + 1, F.lit(_WIDE * SHINGLE))).alias("x"))
     # 5 permutations of one half of the hash and 4 of the other: exclusive or with masks
-    halves = each.select("h", "one", F.col("x").bitwiseAND(0x7FFFFFFF).cast("int").alias("x0"), F.shiftrightunsigned("x", 33).cast("int").alias("x1"))
-    minima = halves.groupBy("h").agg(F.sum("one").alias("n"), F.count("*").alias("weight"), *(F.min(F.col(f"x{i % 2}").bitwiseXOR(_mask(i // 2))).alias(f"m{i}") for i in range(9)))
+    halves = _hashed(lines).select("h", "first", *(f(F.col(f"x{k}")).cast("int").alias(f"{name}{k}") for k in (0, 1) for name, f in (("a", lambda x: x.bitwiseAND(0x7FFFFFFF)), ("b", lambda x: F.shiftrightunsigned(x, 33)))))
+    least = [F.least(*(F.col(f"{'ab'[i % 2]}{k}").bitwiseXOR(_mask(i // 2)) for k in (0, 1))) for i in range(9)]
+    minima = halves.groupBy("h").agg(F.count_if("first").alias("n"), F.count("*").alias("weight"), *(F.min(x).alias(f"m{i}") for i, x in enumerate(least)))
     rank = F.shiftleft(F.least("weight", F.lit((1 << 19) - 1)), 44).bitwiseOR(F.col("h").bitwiseAND((1 << 44) - 1))
     return minima.select("h", "n", rank.alias("p"), *(f"m{i}" for i in range(9)))
 
 
+def sketches(keys: DataFrame) -> DataFrame:
+    """(h, size, w0 ...): of distinct lines (h, key) the shingles' number, repeats included, and the sketch in 64-bit words."""
+    bits = _hashed(keys).select("h", *(e for k in (0, 1) for e in (F.shiftrightunsigned(f"x{k}", 6).bitwiseAND(WORDS - 1).alias(f"word{k}"), F.expr(f"shiftleft(1L, cast(x{k} & 63 as int))").alias(f"bit{k}"))))
+    word = lambda j: F.bit_or(F.when(F.col("word0") == j, F.col("bit0")).otherwise(0).bitwiseOR(F.when(F.col("word1") == j, F.col("bit1")).otherwise(0)))
+    drawn = bits.groupBy("h").agg(*(word(j).alias(f"w{j}") for j in range(WORDS)))
+    return drawn.join(keys.select("h", F.greatest(F.lit(1), F.length("key") - SHINGLE + 1).alias("size")), "h")
+
+
 def banded(minima: DataFrame) -> DataFrame:
     """(b, h, p): each line in its bands' buckets."""
     keys = [F.xxhash64(F.lit(k), *(f"m{i}" for i in plane)) for k, plane in enumerate(_planes())]
@@ -104,52 +119,53 @@ def _similar(pairs: DataFrame, keys: DataFrame, num: int, den: int) -> DataFrame
     return joined.where(_fits(F.size(F.array_intersect("sa", "sb")), F.size("sa"), F.size("sb"), num, den)).select("a", "b")
 
 
+def _able(x: str, y: str, num: int, den: int) -> F.Column:
+    """Whether sketches leave it open that lines link: of sets of sizes a and b that do, at most
+    (a + b) (den - num) / (den + num) elements are in one only."""
+    apart = sum((F.bit_count(F.col(f"{x}w{j}").bitwiseXOR(F.col(f"{y}w{j}"))) for j in range(WORDS)), F.lit(0))
+    return F.lit(den + num) * apart <= F.lit(den - num) * (F.col(f"{x}size") + F.col(f"{y}size"))
+
+
+def _drawn(marks: DataFrame, k: str) -> DataFrame:
+    """``marks`` with its columns named for one side of a pair."""
+    return marks.select(*(F.col(c).alias(f"{k}{c}") for c in marks.columns))
+
+
 def _apart(placed: DataFrame) -> DataFrame:
     """The rows of buckets b that hold more than one component c."""
     split = placed.groupBy("b").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("b")
     return placed.join(split, "b")
 
 
-def _bounded(placed: DataFrame, keys: DataFrame, num: int, den: int) -> DataFrame:
-    """``placed`` (b, h, c) with n, the line's set size, o, how many of its shingles another component has too,
-    and g0 ..., these by GROUPS of their hashes, for lines that can be similar to one of another component."""
-    held = placed.select("h", "c").distinct().join(keys, "h").select("h", "c", _shingles(F.col("key")).alias("s")).select("h", "c", F.size("s").alias("n"), F.explode("s").alias("x"))
-    common = held.groupBy("x").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("x")
-    able = held.join(common, "x").groupBy("h", "n").agg(F.count("*").alias("o"), *(F.count_if(F.pmod("x", F.lit(GROUPS)) == k).alias(f"g{k}") for k in range(GROUPS))).where(_fits(F.col("o"), F.col("n"), F.col("o"), num, den))
-    return placed.join(able, "h")
-
-
-def _between(placed: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of lines of one bucket and different components that the bound allows, without those
+def _between(placed: DataFrame, marks: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) of lines of one bucket and different components that their sketches allow, without those
     of two lines that are ``done`` (compared already in this bucket)."""
-    x, y = (placed.select("b", *(F.col(c).alias(f"{c}_{k}") for c in placed.columns if c != "b")) for k in "xy")
-    o = sum((F.least(f"g{k}_x", f"g{k}_y") for k in range(GROUPS)), F.lit(0))
-    met = x.join(y, (x["b"] == y["b"]) & (F.col("c_x") < F.col("c_y")) & ~(F.col("done_x") & F.col("done_y")) & _fits(o, F.col("n_x"), F.col("n_y"), num, den))
-    return met.select(F.col("h_x").alias("a"), F.col("h_y").alias("b")).distinct()
+    full = placed.join(marks, "h")
+    met = _drawn(full, "x_").join(_drawn(full, "y_"), (F.col("x_b") == F.col("y_b")) & (F.col("x_c") < F.col("y_c")) & ~(F.col("x_done") & F.col("y_done")) & _able("x_", "y_", num, den))
+    return met.select(F.col("x_h").alias("a"), F.col("y_h").alias("b")).distinct()
 
 
 def line_components(met: DataFrame, keys: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
     """(node, root) of the distinct lines that are similar to another one, by digest.
 
     met: (b, h, p, lead), lines in buckets with another one and the bucket's highest rank; keys: their (h, key)."""
+    marks = written(sketches(keys), "sketches")
     leads = met.where("p = lead").select("lead", F.col("h").alias("b")).distinct()
     near = met.where("p != lead").select(F.col("h").alias("a"), "lead").distinct().join(leads, "lead").select("a", "b")
-    roots = written(components(_similar(near, keys, num, den)), "roots")
-    placed = met.join(roots.withColumnRenamed("node", "h"), "h", "left").select("b", "h", F.coalesce("root", "h").alias("c"))
-    placed = written(_bounded(written(_apart(placed), "placed"), keys, num, den), "bounded")
-    one = placed.groupBy("b", "c").agg(F.max(F.struct("o", "h"))["h"].alias("one"))
-    placed = written(placed.join(one, ["b", "c"]).withColumn("done", F.col("h") == F.col("one")).drop("one"), "bounded")
+    near = near.join(_drawn(marks, "x_"), F.col("a") == F.col("x_h")).join(_drawn(marks, "y_"), F.col("b") == F.col("y_h")).where(_able("x_", "y_", num, den)).select("a", "b")
+    roots = written(components(_similar(written(near, "near"), keys, num, den)), "roots")
+    placed = _apart(met.join(roots.withColumnRenamed("node", "h"), "h", "left").select("b", "h", "p", F.coalesce("root", "h").alias("c")))
+    one = placed.groupBy("b", "c").agg(F.max("p").alias("most"))
+    placed = written(placed.join(one, ["b", "c"]).select("b", "h", "p", "c", (F.col("p") == F.col("most")).alias("done")), "placed")
     for one_each in (True, False):
         some = placed.where("done").withColumn("done", F.lit(False)) if one_each else _apart(placed)
-        links = written(_similar(_between(some, num, den), keys, num, den), "links")
+        links = written(_similar(written(_between(some, marks, num, den), "between"), keys, num, den), "links")
         if links.isEmpty():
             continue
         known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
         roots = written(components(known.union(links)), "roots")
-        if not one_each:
-            break
         again = roots.select(F.col("node").alias("h"), "root")
-        placed = written(placed.join(again, "h", "left").select("b", "h", F.coalesce("root", "c").alias("c"), "n", "o", "done", *(f"g{k}" for k in range(GROUPS))), "bounded")
+        placed = placed.join(again, "h", "left").select("b", "h", "p", F.coalesce("root", "c").alias("c"), "done")
     return roots
 
 

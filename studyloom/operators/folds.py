@@ -109,16 +109,16 @@ def lock_fold(nodes: DataFrame, by: list[str], order: list[str], chapter: str, l
 
 
 @query("""
-WITH RECURSIVE q AS (SELECT l_partkey, CAST(floor(avg(l_quantity) * 2) AS BIGINT) AS level FROM lineitem WHERE l_quantity > 30 OR l_partkey % 3 = 0 GROUP BY 1),
-n AS (SELECT p_type AS path, p_brand AS chapter, p_partkey, CASE WHEN p_partkey % 4 = 0 THEN 5 ELSE coalesce(level, 0) END AS level, row_number() OVER (PARTITION BY p_type ORDER BY p_brand, p_partkey) AS i FROM part LEFT JOIN q ON l_partkey = p_partkey),
+WITH RECURSIVE q AS (SELECT l_partkey, CAST(floor(avg(l_quantity) * 2) AS BIGINT) AS level FROM lineitem GROUP BY 1),
+n AS (SELECT p_type AS path, p_brand AS chapter, p_partkey, CASE WHEN contains(p_name, 'a') THEN 5 ELSE coalesce(level, 0) END AS level, row_number() OVER (PARTITION BY p_type ORDER BY p_brand, p_partkey) AS i FROM part LEFT JOIN q ON l_partkey = p_partkey),
 f AS (SELECT path, chapter, p_partkey, level, i, false AS locked FROM n WHERE i = 1 UNION ALL
   SELECT n.path, n.chapter, n.p_partkey, n.level, n.i, n.chapter = f.chapter AND NOT (NOT f.locked AND f.level >= 80) AND n.level < 20 FROM f JOIN n ON n.path = f.path AND n.i = f.i + 1)
 SELECT path, chapter, p_partkey, level, locked FROM f""")
 def locks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Locked nodes along each path, by chapter and key."""
-    q = scan(spark, sf_dir, "lineitem", "l_partkey", "l_quantity").where("l_quantity > 30 or l_partkey % 3 = 0").groupBy("l_partkey").agg(F.floor(F.avg("l_quantity") * 2).cast("long").alias("level"))
-    p = scan(spark, sf_dir, "part", "p_partkey", "p_type", "p_brand").join(q, F.col("p_partkey") == F.col("l_partkey"), "left")
-    level = F.when(F.col("p_partkey") % 4 == 0, F.lit(5)).otherwise(F.coalesce("level", F.lit(0))).cast("long")
+    q = scan(spark, sf_dir, "lineitem", "l_partkey", "l_quantity").groupBy("l_partkey").agg(F.floor(F.avg("l_quantity") * 2).cast("long").alias("level"))
+    p = scan(spark, sf_dir, "part", "p_partkey", "p_name", "p_type", "p_brand").join(q, F.col("p_partkey") == F.col("l_partkey"), "left")
+    level = F.when(F.contains(F.col("p_name"), F.lit("a")), F.lit(5)).otherwise(F.coalesce("level", F.lit(0))).cast("long")
     nodes = p.select(F.col("p_type").alias("path"), "p_brand", "p_partkey", level.alias("level"))
     return lock_fold(nodes, ["path"], ["p_brand", "p_partkey"], "p_brand", "level").select("path", "chapter", "p_partkey", "level", "locked")
 

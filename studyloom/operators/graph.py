@@ -13,17 +13,20 @@ REGISTRY = Registry()
 QUERIES, SQL, query = REGISTRY.queries, REGISTRY.sql, REGISTRY.query
 
 
-def tree_walk(nodes: DataFrame, roots: str, max_depth: int = 32) -> DataFrame:
-    """(id, root, depth, path) of every node (id, parent, name) below the roots that meet a condition; level by level."""
-    level = nodes.where(roots).select("id", F.col("id").alias("root"), F.lit(0).alias("depth"), F.col("name").alias("path"))
-    out = level
-    for _ in range(max_depth):
-        children = nodes.select(F.col("id").alias("cid"), "parent", "name")
-        level = level.join(children, F.col("id") == F.col("parent")).select(F.col("cid").alias("id"), "root", (F.col("depth") + 1).alias("depth"), F.concat_ws(" > ", "path", "name").alias("path"))
+def tree_walk(nodes: DataFrame, roots: str) -> DataFrame:
+    """(id, root, depth, path) of every node (id, parent, name) below the roots that meet a condition; level by level.
+
+    A node that is its own ancestor is not walked again, so a cycle ends; there is no limit of depth."""
+    level = nodes.where(roots).select("id", F.col("id").alias("root"), F.lit(0).alias("depth"), F.col("name").alias("path"), F.array("id").alias("trail"))
+    children = nodes.select(F.col("id").alias("cid"), "parent", "name")
+    out = None
+    while True:
+        level = checkpointed(level)
+        out = level if out is None else out.unionByName(level)
         if level.isEmpty():
-            break
-        out = out.unionByName(level)
-    return out
+            return out.drop("trail")
+        below = level.join(children, (F.col("id") == F.col("parent")) & ~F.array_contains("trail", F.col("cid")))
+        level = below.select(F.col("cid").alias("id"), "root", (F.col("depth") + 1).alias("depth"), F.concat_ws(" > ", "path", "name").alias("path"), F.array_append("trail", F.col("cid")).alias("trail"))
 
 
 @query("""
@@ -53,44 +56,66 @@ def adjacency(edges: DataFrame) -> DataFrame:
 
 
 @query("""
-WITH e AS (SELECT DISTINCT l_suppkey % 100 AS a, l_partkey % 97 AS b FROM lineitem WHERE l_quantity >= 49), d AS (SELECT a AS src, b AS dst FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b)
+WITH d AS (SELECT l_suppkey AS src, l_partkey AS dst FROM lineitem WHERE l_suppkey <> l_partkey UNION SELECT l_partkey, l_suppkey FROM lineitem WHERE l_suppkey <> l_partkey)
 SELECT src, count(*) AS degree, string_agg(CAST(dst AS VARCHAR), ',' ORDER BY dst) AS related FROM d GROUP BY src""")
 def edges_bidirectional(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = scan(spark, sf_dir, "lineitem", "l_suppkey", "l_partkey", "l_quantity").where("l_quantity >= 49")
-    e = two_way_edges(li.selectExpr("l_suppkey % 100 a", "l_partkey % 97 b").distinct(), "a", "b")
-    near = adjacency(e)
+    """Suppliers' and parts' keys as one set of nodes, all line items as links."""
+    near = adjacency(two_way_edges(scan(spark, sf_dir, "lineitem", "l_suppkey", "l_partkey").distinct(), "l_suppkey", "l_partkey"))
     return near.select("src", F.size("related").cast("long").alias("degree"), F.array_join(F.transform("related", lambda x: x.cast("string")), ",").alias("related"))
 
 
-def on_cycles(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
-    """Nodes on a cycle or between two: edges whose start has no way in, or whose end has no way out, are
+def on_cycles(edges: DataFrame) -> DataFrame:
+    """Edges on a cycle or between two: those whose start has no way in, or whose end has no way out, are
     peeled off until none is left to peel. (src, dst)."""
-    now = edges.select("src", "dst").distinct()
-    size = now.count()
-    for _ in range(max_rounds):
+    now = checkpointed(edges.select("src", "dst").distinct())
+    size, left = -1, now.count()
+    while left not in (0, size):
+        size = left
         now = checkpointed(now.join(now.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(now.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
         left = now.count()
-        if left in (0, size):
-            break
-        size = left
     return now
 
 
+def _spread(start: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, c) with the greatest c that reaches each node of ``start`` (node, c) along edges; rounds end when nothing changes."""
+    now, mark = checkpointed(start), None
+    while True:
+        seen = now.agg(F.count("*"), F.sum(F.hash("node", "c").cast("long"))).first()
+        if seen == mark:
+            return now
+        mark = seen
+        moved = edges.join(now, F.col("src") == F.col("node")).select(F.col("dst").alias("node"), "c")
+        now = checkpointed(now.union(moved).groupBy("node").agg(F.max("c").alias("c")))
+
+
+def cyclic_nodes(edges: DataFrame) -> DataFrame:
+    """The nodes (src, dst) that reach themselves, by strongly connected components.
+
+    Each round peels what is on no cycle and colours every node with the greatest node that reaches it. The nodes of
+    a colour that reach its own node back are one component, found for all colours at once, and leave the graph.
+    So no set of reachable pairs is made, however large a component is."""
+    found = edges.where("src = dst").select(F.col("src").alias("node")).distinct()
+    left = on_cycles(edges.where("src != dst"))
+    while not left.isEmpty():
+        colour = _spread(left.select(F.col("src").alias("node"), F.col("src").alias("c")).union(left.select("dst", "dst")).distinct(), left)
+        x, y = colour.toDF("src", "cs"), colour.toDF("dst", "cd")
+        back = left.join(x, "src").join(y, "dst").where("cs = cd").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        own = colour.where("node = c")
+        members = _spread(own, back)
+        large = members.groupBy("c").agg(F.count("*").alias("n")).where("n > 1").select("c")
+        found = checkpointed(found.union(members.join(large, "c").select("node")).distinct())
+        gone = members.select("node")
+        left = on_cycles(left.join(gone, F.col("src") == F.col("node"), "left_anti").join(gone, F.col("dst") == F.col("node"), "left_anti"))
+    return found
+
+
 @query("""
-WITH RECURSIVE e AS (SELECT DISTINCT CAST(l_suppkey % 40 AS BIGINT) AS src, CAST(l_partkey % 40 AS BIGINT) AS dst FROM lineitem WHERE l_quantity >= 50 AND l_discount > 0.08 AND l_tax < 0.03 AND l_suppkey % 40 <> l_partkey % 40),
-w AS (SELECT src AS start, dst AS node FROM e UNION SELECT w.start, e.dst FROM w JOIN e ON e.src = w.node) SELECT start AS node FROM w WHERE start = node""")
+WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem),
+s AS (SELECT DISTINCT src FROM e), inner_e AS (SELECT e.* FROM e JOIN s ON e.dst = s.src),
+w AS (SELECT src AS start, dst AS node FROM inner_e UNION SELECT w.start, e.dst FROM w JOIN inner_e e ON e.src = w.node) SELECT start AS node FROM w WHERE start = node""")
 def dependency_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Objects that depend on themselves: reachability of each from itself, on a small dependency graph."""
-    li = scan(spark, sf_dir, "lineitem", "l_suppkey", "l_partkey", "l_quantity", "l_discount", "l_tax").where("l_quantity >= 50 and l_discount > 0.08 and l_tax < 0.03")
-    e = li.selectExpr("l_suppkey % 40 src", "l_partkey % 40 dst").where("src != dst").distinct()
-    reach = e.select(F.col("src").alias("start"), F.col("dst").alias("node"))
-    size, doubled = -1, reach.count()
-    while doubled != size:  # path doubling: the number of rounds is the logarithm of the longest path
-        size = doubled
-        further = reach.select(F.col("start").alias("node"), F.col("node").alias("next"))
-        reach = checkpointed(reach.union(reach.join(further, "node").select("start", F.col("next").alias("node"))).distinct())
-        doubled = reach.count()
-    return reach.where("start = node").select("node")
+    """Objects that depend on themselves, in the graph of all line items from supplier key to part key."""
+    return cyclic_nodes(scan(spark, sf_dir, "lineitem", F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")).distinct())
 
 
 @query("""

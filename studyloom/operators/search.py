@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -69,14 +71,62 @@ def vector_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(spark, sf_dir, "embeddings", "embedding").agg(F.count("*").alias("n"), F.count_if(usable_vector(F.col("embedding"), DIM)).alias("usable"))
 
 
+def rare_first(grams: DataFrame) -> DataFrame:
+    """(name, gram, need) with ``at``, the gram's place in its name's list, the rarest of all names first."""
+    often = grams.groupBy("gram").agg(F.count("*").alias("often"))
+    listed = grams.join(often, "gram").groupBy("name", "need").agg(F.array_sort(F.collect_list(F.struct("often", "gram"))).alias("g"))
+    return listed.select("name", "need", F.size("g").alias("size"), F.posexplode("g").alias("at", "x")).select("name", "need", "size", "at", F.col("x.gram").alias("gram"))
+
+
+def sharing(grams: DataFrame) -> DataFrame:
+    """(a, b), a < b: all pairs of names with at least ``need`` grams in common, and some others, to be verified.
+
+    grams: (name, gram, need), grams distinct within a name. A name's first size - need + 1 grams, rarest first,
+    hold one of any ``need`` that it shares, so only these are joined."""
+    first = rare_first(grams).where("at <= size - need").select("name", "gram")
+    x, y = first.select(F.col("name").alias("a"), "gram"), first.select(F.col("name").alias("b"), "gram")
+    return x.join(y, "gram").where("a < b").select("a", "b").distinct()
+
+
+def _numbered_bigrams(name):
+    """Bigrams with how often each came before, so that repeats count."""
+    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(name) - 1)), lambda i: F.substring(name, i, F.lit(2)))
+    return F.transform(pairs, lambda x, i: F.concat(x, F.size(F.filter(F.slice(pairs, F.lit(1), i), lambda y: y == x)).cast("string")))
+
+
+def similar_names(names: DataFrame, least: float) -> DataFrame:
+    """(a, b), a < b, of distinct names (name) that are equal but for edits, similar beyond ``least`` (over 0.5), or
+    one of which holds the other.
+
+    Candidates lose nothing: texts of length L that are similar share (2 least - 1) L bigrams at least; texts too
+    short for that meet in what is left after the edits they may differ by; and a text holds the rarest bigram of
+    every text inside it."""
+    if least <= 0.5:
+        raise ValueError("similarity must be over 0.5")
+    n = names.where("length(name) > 0").select("name", F.length("name").alias("size"))
+    need = F.greatest(F.lit(1), F.floor((2 * least - 1) * F.col("size") + 1e-9)).cast("long")
+    grams = n.where("size > 1").select("name", need.alias("need"), F.explode(_numbered_bigrams(F.col("name"))).alias("gram"))
+    short = math.ceil(1 / (2 * least - 1) - 1e-9) - 1
+    cut = n.where(F.col("size") <= short).select("name", F.col("name").alias("rest"))
+    for _ in range(math.ceil(short * (1 - least) - 1e-9) - 1):
+        fewer = F.explode(F.transform(F.sequence(F.lit(1), F.length("rest")), lambda i: F.concat(F.substring("rest", F.lit(1), i - 1), F.substr("rest", i + 1))))
+        cut = cut.union(cut.where("length(rest) > 0").select("name", fewer)).distinct()
+    near = cut.select(F.col("name").alias("a"), "rest").join(cut.select(F.col("name").alias("b"), "rest"), "rest").where("a < b").select("a", "b")
+    every = n.where("size > 1").select("name", F.lit(1).alias("need"), F.explode(bigrams(F.col("name"))).alias("gram")).union(n.where("size = 1").select("name", F.lit(1), F.col("name")))
+    listed = rare_first(every)
+    letters = n.where("size > 1").select("name", F.explode(F.array_distinct(F.split("name", ""))).alias("gram"))
+    held = listed.where("at = 0").select(F.col("name").alias("x"), "gram").join(listed.select("name", "gram").union(letters), "gram").where(F.contains("name", "x") & (F.col("name") != F.col("x")))
+    inside = held.select(F.least("x", "name").alias("a"), F.greatest("x", "name").alias("b"))
+    found = sharing(grams).union(near).union(inside).distinct()
+    return found.where(fuzzy_match(F.col("a"), F.col("b"), least))
+
+
 @query("""
 WITH n AS (SELECT DISTINCT p_name AS name FROM part) SELECT a.name AS a, b.name AS b, levenshtein(a.name, b.name) AS distance, round(1 - levenshtein(a.name, b.name) / greatest(length(a.name), length(b.name)), 6) AS sim
-FROM n a JOIN n b ON a.name < b.name AND left(a.name, 1) = left(b.name, 1) WHERE contains(a.name, b.name) OR contains(b.name, a.name) OR 1 - levenshtein(a.name, b.name) / greatest(length(a.name), length(b.name)) > 0.6""")
+FROM n a JOIN n b ON a.name < b.name WHERE contains(a.name, b.name) OR contains(b.name, a.name) OR 1 - levenshtein(a.name, b.name) / greatest(length(a.name), length(b.name)) > 0.6""")
 def fuzzy_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Similar names within a block (the first letter)."""
-    n = scan(spark, sf_dir, "part", "p_name").distinct().withColumn("block", F.substring("p_name", 1, 1))
-    a, b = n.select(F.col("p_name").alias("a"), "block"), n.select(F.col("p_name").alias("b"), "block")
-    j = a.join(b, "block").where("a < b").where(fuzzy_match(F.col("a"), F.col("b"), 0.6))
+    """All similar names."""
+    j = similar_names(scan(spark, sf_dir, "part", F.col("p_name").alias("name")).distinct(), 0.6)
     return j.select("a", "b", F.levenshtein("a", "b").cast("long").alias("distance"), F.round(similarity(F.col("a"), F.col("b")), 6).alias("sim"))
 
 
@@ -93,24 +143,29 @@ def match_ladder(wanted: DataFrame, known: DataFrame, prefix: int = 6) -> DataFr
 
 
 @query("""
-WITH k AS (SELECT p_name AS target, min(p_partkey) AS pos FROM part WHERE p_partkey % 3 = 0 GROUP BY 1), w AS (SELECT DISTINCT upper(left(p_name, 1)) || substr(p_name, 2) AS name FROM part),
+WITH k AS (SELECT p_name AS target, min(p_partkey) AS pos FROM part GROUP BY 1), n AS (SELECT DISTINCT p_name AS name FROM part),
+w AS (SELECT name FROM n UNION SELECT upper(left(name, 1)) || substr(name, 2) FROM n UNION SELECT name || ' more' FROM n UNION SELECT 'no ' || name FROM n),
 c AS (SELECT name, target, pos, 1 AS rung FROM w JOIN k ON name = target UNION ALL SELECT name, target, pos, 2 FROM w JOIN k ON lower(replace(name, ' ', '')) = lower(replace(target, ' ', ''))
   UNION ALL SELECT name, target, pos, 4 FROM w JOIN k ON left(lower(replace(name, ' ', '')), 6) = left(lower(replace(target, ' ', '')), 6))
 SELECT w.name, target, rung FROM w LEFT JOIN (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY name ORDER BY rung, pos, target) = 1) USING (name)""")
 def name_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names as they are, with a capital, with a word after and with one before, matched to all known names."""
     p = scan(spark, sf_dir, "part", "p_partkey", "p_name")
-    known = p.where("p_partkey % 3 = 0").groupBy(F.col("p_name").alias("target")).agg(F.min("p_partkey").alias("pos"))
-    wanted = p.select(F.concat(F.upper(F.substring("p_name", 1, 1)), F.substr("p_name", F.lit(2))).alias("name")).distinct()
-    return match_ladder(wanted, known)
+    known = p.groupBy(F.col("p_name").alias("target")).agg(F.min("p_partkey").alias("pos"))
+    name = F.col("target")
+    forms = F.array(name, F.concat(F.upper(F.substring(name, 1, 1)), F.substr(name, F.lit(2))), F.concat(name, F.lit(" more")), F.concat(F.lit("no "), name))
+    return match_ladder(known.select(F.explode(forms).alias("name")).distinct(), known)
 
 
 @query("""
 WITH n AS (SELECT DISTINCT p_name AS name FROM part), g AS (SELECT name, list_distinct([substr(name, i, 2) FOR i IN generate_series(1, length(name) - 1)]) AS b FROM n)
-SELECT x.name AS a, y.name AS b, round(len(list_intersect(x.b, y.b)) / CAST(len(x.b) + len(y.b) - len(list_intersect(x.b, y.b)) AS DOUBLE), 6) AS sim FROM g x JOIN g y ON x.name < y.name AND left(x.name, 2) = left(y.name, 2)""")
+SELECT * FROM (SELECT x.name AS a, y.name AS b, round(len(list_intersect(x.b, y.b)) / CAST(len(x.b) + len(y.b) - len(list_intersect(x.b, y.b)) AS DOUBLE), 6) AS sim FROM g x JOIN g y ON x.name < y.name) WHERE sim >= 0.5""")
 def bigram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = scan(spark, sf_dir, "part", "p_name").distinct().withColumn("block", F.substring("p_name", 1, 2)).withColumn("g", bigrams(F.col("p_name")))
-    a, b = n.select(F.col("p_name").alias("a"), "block", F.col("g").alias("ga")), n.select(F.col("p_name").alias("b"), "block", F.col("g").alias("gb"))
-    return a.join(b, "block").where("a < b").select("a", "b", F.round(jaccard(F.col("ga"), F.col("gb")), 6).alias("sim"))
+    """All pairs of names whose bigrams have a similarity of 0.5 or more."""
+    n = scan(spark, sf_dir, "part", F.col("p_name").alias("name")).distinct().withColumn("g", bigrams(F.col("name")))
+    pairs = sharing(n.select("name", F.ceil(F.size("g") / 2).alias("need"), F.explode("g").alias("gram")))
+    scored = pairs.select("a", "b", F.round(jaccard(bigrams(F.col("a")), bigrams(F.col("b"))), 6).alias("sim"))
+    return scored.where("sim >= 0.5")
 
 
 @query("SELECT p_partkey, 'kn-' || substr(sha256(p_brand || chr(0) || p_type || chr(0) || coalesce(p_name, '')), 1, 20) AS node_id FROM part")
@@ -157,26 +212,59 @@ def safety_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", first_rule(F.col("text"), FLAGS).alias("flag"))
 
 
+def terms_in(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """(text, term) for each distinct text (text) and term (term) that it holds by ``word_in``.
+
+    A term is looked up by its rarest trigram among the terms (a shorter term by itself), among the texts'
+    distinct grams of one to three characters, and verified."""
+    low = F.lower("term")
+    size = F.least(F.length(low), F.lit(3))
+    grams = terms.where("length(term) > 0").distinct().select("term", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(low) - size + 1), lambda i: F.substring(low, i, size)))).alias("gram"))
+    often = grams.groupBy("gram").agg(F.count("*").alias("often"))
+    keyed = grams.join(often, "gram").groupBy("term").agg(F.min(F.struct("often", "gram"))["gram"].alias("gram"))
+    lower = F.lower("text")
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(lower)))
+    held = texts.where("text is not null").distinct().select("text", F.explode(F.array_distinct(F.flatten(F.transform(starts, lambda i: F.array(*(F.substring(lower, i, F.lit(k)) for k in (1, 2, 3))))))).alias("gram"))
+    return held.join(keyed, "gram").where(word_in(F.col("text"), F.col("term"))).select("text", "term")
+
+
 @query("""
 WITH t AS (SELECT DISTINCT p_name AS term FROM part) SELECT conv_id, turn, role, (SELECT term FROM t WHERE CASE WHEN length(term) <= 3 THEN false ELSE contains(lower(text), lower(term)) END ORDER BY length(term) DESC, term LIMIT 1) AS leak FROM conversations""")
 def leak_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The longest of all terms that a text gives away, the first of equally long ones; a join of distinct texts and terms."""
+    """The longest of all terms that a text gives away, the first of equally long ones."""
     c = scan(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
-    terms = scan(spark, sf_dir, "part", "p_name").distinct()
-    hits = c.select("text").distinct().join(terms, word_in(F.col("text"), F.col("p_name")))
-    best = hits.groupBy("text").agg(F.min_by("p_name", F.struct(-F.length("p_name"), "p_name")).alias("leak"))
+    hits = terms_in(c.select("text"), scan(spark, sf_dir, "part", F.col("p_name").alias("term")))
+    best = hits.groupBy("text").agg(F.min_by("term", F.struct(-F.length("term"), "term")).alias("leak"))
     return c.join(best, "text", "left").select("conv_id", "turn", "role", "leak")
 
 
-@query("""
-SELECT b.item_id, count(d.doc_id) AS n_docs, min(d.doc_id) AS first_doc FROM benchmark b LEFT JOIN documents d ON contains(d.text, substr(b.text, 1, 40)) GROUP BY b.item_id""")
+def quotes(docs: DataFrame, items: DataFrame, head: int = 5) -> DataFrame:
+    """(doc_id, item_id) where the words of a whole item (item_id, text) stand one after another in a document (doc_id, text).
+
+    Items are found by their first ``head`` words (or fewer) among the documents' windows of as many words, then
+    compared whole."""
+    words = lambda c: F.regexp_extract_all(c, F.lit(r"\S+"), F.lit(0))
+    i = items.select("item_id", words(F.col("text")).alias("iw")).where("size(iw) > 0").withColumn("k", F.least(F.size("iw"), F.lit(head)))
+    i = i.select("item_id", "iw", "k", F.xxhash64(F.array_join(F.slice("iw", F.lit(1), F.col("k")), " ")).alias("x"))
+    widths = [r.k for r in i.select("k").distinct().collect()]  # at most ``head`` numbers
+    d = docs.select("doc_id", words(F.col("text")).alias("dw"))
+
+    def windows(k):
+        heads = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("dw") - k + 1)), lambda p: F.struct(F.lit(k).alias("k"), F.xxhash64(F.array_join(F.slice("dw", p, F.lit(k)), " ")).alias("x")))
+        return F.when(F.size("dw") >= k, heads)
+
+    at = [windows(k) for k in widths]
+    seen = d.select("doc_id", F.explode(F.array_distinct(F.flatten(F.array_compact(F.array(*at))))).alias("w")).select("doc_id", "w.k", "w.x") if widths else d.select("doc_id", F.lit(0).alias("k"), F.lit(0).cast("long").alias("x")).limit(0)
+    pairs = seen.join(i, ["k", "x"]).join(d, "doc_id")
+    joined = lambda c: F.concat(F.lit(" "), F.array_join(c, " "), F.lit(" "))
+    return pairs.where(F.contains(joined("dw"), joined("iw"))).select("doc_id", "item_id").distinct()
+
+
+@query(r"""
+WITH d AS (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(text, '[^\t\n\x0B\f\r ]+'), ' ') || ' ' AS t FROM documents), b AS (SELECT item_id, ' ' || array_to_string(regexp_extract_all(text, '[^\t\n\x0B\f\r ]+'), ' ') || ' ' AS t FROM benchmark)
+SELECT b.item_id, count(d.doc_id) AS n_docs, min(d.doc_id) AS first_doc FROM b LEFT JOIN d ON contains(d.t, b.t) GROUP BY b.item_id""")
 def quoted_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which documents hold the beginning of an item: a containment join against a checked small side."""
-    b = scan(spark, sf_dir, "benchmark", "item_id", "text").select("item_id", F.substring("text", 1, 40).alias("head"))
-    d = scan(spark, sf_dir, "documents", "doc_id", "text")
-    heads = {r.item_id: r["head"] for r in b.limit(10_001).collect()}
-    if len(heads) > 10_000:
-        raise ValueError("too many items to send out")
-    listed = F.array(*(F.struct(F.lit(i).cast("long").alias("item_id"), F.lit(h).alias("head")) for i, h in heads.items()))
-    found = d.select("doc_id", F.explode(F.filter(listed, lambda x: F.contains(F.col("text"), x["head"]))["item_id"]).alias("item_id"))
+    """How many documents hold an item's whole text, word for word, and the first of them."""
+    b = scan(spark, sf_dir, "benchmark", "item_id", "text")
+    found = quotes(scan(spark, sf_dir, "documents", "doc_id", "text"), b)
     return b.select("item_id").join(found, "item_id", "left").groupBy("item_id").agg(F.count("doc_id").alias("n_docs"), F.min("doc_id").alias("first_doc"))

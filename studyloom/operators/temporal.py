@@ -49,12 +49,12 @@ def range_join(points: DataFrame, ranges: DataFrame, at: str, low: str, high: st
 
 
 @query("""
-WITH r AS (SELECT event_id AS range_id, epoch_us(ts) AS lo, epoch_us(ts) + 1800000000 AS hi FROM events WHERE event_type = 'error' AND user_id < 20)
+WITH r AS (SELECT event_id AS range_id, epoch_us(ts) AS lo, epoch_us(ts) + 1800000000 AS hi FROM events WHERE event_type = 'error')
 SELECT range_id, count(*) AS n, round(sum(value), 4) AS total FROM events JOIN r ON epoch_us(ts) >= lo AND epoch_us(ts) < hi GROUP BY range_id""")
 def range_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events in the half hour from each error of some users."""
     e = scan(spark, sf_dir, "events", "event_id", "user_id", "ts", "value", "event_type").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
-    r = e.where("event_type = 'error' and user_id < 20").select(F.col("event_id").alias("range_id"), F.col("us").alias("lo"), (F.col("us") + 1_800_000_000).alias("hi"))
+    r = e.where("event_type = 'error'").select(F.col("event_id").alias("range_id"), F.col("us").alias("lo"), (F.col("us") + 1_800_000_000).alias("hi"))
     return range_join(e.select("us", "value"), r, "us", "lo", "hi", 1_800_000_000).groupBy("range_id").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 

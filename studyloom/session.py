@@ -38,9 +38,20 @@ def ship(spark: SparkSession) -> None:
     context._studyloom_shipped = True
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors see, ``spark.checkpoint.dir``; where it is unset, one of our own, which only a
+    local master can share."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_studyloom_folder", None)
+    if not where:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        where = spark._studyloom_folder = tempfile.mkdtemp(prefix="studyloom-")
+    return where.rstrip("/")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut in ``spark.checkpoint.dir``; a folder of our own only where that is unset."""
+    """``df`` with its lineage cut in the shared folder."""
     context = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="studyloom-"))
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import shared_folder
+
 EVENTS = T.StructType([
     T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()), T.StructField("user_id", T.LongType()),
     T.StructField("event_type", T.StringType()), T.StructField("value", T.DoubleType()), T.StructField("props", T.StringType()),
@@ -80,12 +82,28 @@ def review_states(events: DataFrame) -> DataFrame:
     return e.groupBy("user_id").applyInPandasWithState(advance, "user_id long, interval long, ease double, reps long", "interval long, ease double, reps long", "update", GroupStateTimeout.NoTimeout)
 
 
-def run_once(spark: SparkSession, sf_dir: str, transform: Callable[[DataFrame], DataFrame], mode: str = "complete") -> DataFrame:
-    """The result table of a transformation after the whole stream."""
-    name = f"stream_{uuid4().hex}"
-    q = transform(event_stream(spark, sf_dir)).writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+def run_once(spark: SparkSession, sf_dir: str, transform: Callable[[DataFrame], DataFrame], mode: str = "complete", keys: list[str] | None = None) -> DataFrame:
+    """The result of a transformation after the whole stream, as a Parquet table in the shared folder.
+
+    Each micro-batch overwrites a folder of its own, so one that is run again leaves no second copy. Of a complete
+    result the last batch counts, of appended rows all, of updated ones the last of each of ``keys``."""
+    where = f"{shared_folder(spark)}/stream-{uuid4().hex}"
+    result = transform(event_stream(spark, sf_dir))
+
+    def save(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{where}/out/n={number}")
+
+    shape = T.StructType([*result.schema.fields, T.StructField("batch", T.IntegerType())])
+    spark.createDataFrame([], shape).write.parquet(f"{where}/out/n=-1")  # no events, no rows
+    sink = result.writeStream.foreachBatch(save).outputMode(mode).option("checkpointLocation", f"{where}/state")
+    sink.trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.schema(shape).parquet(f"{where}/out/*")
+    if mode == "complete":
+        out = out.where(F.col("batch") == out.agg(F.max("batch")).first()[0])
+    elif mode == "update":
+        last = out.groupBy(*keys).agg(F.max("batch").alias("batch"))
+        out = out.join(last, [*keys, "batch"])
+    return out.select(*result.columns)
 
 
 def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,7 +124,7 @@ def stream_once(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run_once(spark, sf_dir, review_states, "update").select("user_id", "interval", F.round("ease", 6).alias("ease"), "reps")
+    return run_once(spark, sf_dir, review_states, "update", ["user_id"]).select("user_id", "interval", F.round("ease", 6).alias("ease"), "reps")
 
 
 QUERIES = {f.__name__: f for f in (stream_tumbling, stream_quota, stream_sessions, stream_once, stream_reviews)}

@@ -13,7 +13,8 @@ only the fingerprint walks JSON in an Arrow function.
 
 Defined results: null texts and roles are empty; turns are ordered by (turn, role, text), so ties and
 repeated rows have a fixed order; a record that is null or no JSON object has the fingerprint of no
-paths and null turns; a conversation id may be null (one conversation); extra columns of records pass
+paths and null turns, as has one nested more than DEPTH levels deep; half of a surrogate pair in a text
+becomes a question mark; a conversation id may be null (one conversation); extra columns of records pass
 through and those named as a result give way. A conversation is one record, so its turns meet in one row.
 """
 
@@ -37,17 +38,35 @@ _ESCAPE, _UNESCAPE = rf"([<\[])(\\*)({CONTROL})", rf"([<\[])\\(\\*)({CONTROL})"
 TURNS = T.ArrayType(T.StructType([T.StructField("role", T.StringType()), T.StructField("text", T.StringType())]))
 
 
-def paths(value, prefix: str = "") -> set[str]:
-    """The nested field paths of a JSON value; elements of arrays share the path ``[]``."""
-    if isinstance(value, dict):
-        return set().union(*(paths(v, f"{prefix}.{k}" if prefix else k) for k, v in value.items())) if value else {prefix + "{}"}
-    if isinstance(value, list):
-        return set().union(*(paths(v, prefix + "[]") for v in value)) if value else {prefix + "[]"}
-    return {prefix}
+#: Values nested deeper than this are not walked: the record has the layout of no paths.
+DEPTH = 200
+#: Fields beside the turns that any record may have; they are no part of its layout.
+ASIDE = frozenset(("id", "conv_id", "conversation_id", "uuid", "source", "dataset", "lang", "language", "meta", "metadata", "tags", "timestamp", "created_at"))
+
+
+def paths(record, aside: frozenset = ASIDE) -> set[str]:
+    """The nested field paths of a JSON value; elements of arrays share the path ``[]``. Fields of the record itself
+    that are ``aside`` have none."""
+    found, todo = set(), [("", record, 0)]
+    while todo:
+        at, value, depth = todo.pop()
+        if depth > DEPTH:
+            raise ValueError("nested too deeply")
+        if isinstance(value, dict):
+            inner = [(f"{at}.{k}" if at else k, v) for k, v in value.items() if at or k not in aside]
+            found |= {at + "{}"} if at and not inner else set()
+        elif isinstance(value, list):
+            inner = [(at + "[]", v) for v in value]
+            found |= {at + "[]"} if not inner else set()
+        else:
+            inner = []
+            found.add(at)
+        todo += [(p, v, depth + 1) for p, v in inner]
+    return found
 
 
 def fingerprint(found: Iterable[str]) -> str:
-    return hashlib.sha256("\n".join(sorted(found)).encode()).hexdigest()[:16]
+    return hashlib.sha256("\n".join(sorted(found)).encode("utf-8", "replace")).hexdigest()[:16]
 
 
 def messages(at: str, role: str, text: str, names: dict[str, str] | None = None) -> dict:
@@ -60,15 +79,17 @@ def fields(*pairs: tuple[str, str]) -> dict:
     return {"fields": pairs}
 
 
-#: Layouts: the field paths of each, beside the record's id fields, and its mapping.
+#: Layouts: the field paths of each, beside the record's ASIDE fields, and its mapping. An instruction is what the
+#: user asks, in every layout; an input is what it is about and follows it.
 LAYOUTS: list[tuple[tuple[str, ...], dict]] = [
     (("messages[].role", "messages[].content"), messages("messages", "role", "content")),
     (("conversations[].from", "conversations[].value"), messages("conversations", "from", "value", {"human": "user", "gpt": "assistant"})),
     (("prompt", "completion"), fields(("user", "prompt"), ("assistant", "completion"))),
     (("prompt", "response"), fields(("user", "prompt"), ("assistant", "response"))),
     (("instruction", "output"), fields(("user", "instruction"), ("assistant", "output"))),
-    (("instruction", "input", "output"), fields(("system", "instruction"), ("user", "input"), ("assistant", "output"))),
+    (("instruction", "input", "output"), fields(("user", "instruction"), ("user", "input"), ("assistant", "output"))),
     (("system", "prompt", "response"), fields(("system", "system"), ("user", "prompt"), ("assistant", "response"))),
+    (("system", "instruction", "output"), fields(("system", "system"), ("user", "instruction"), ("assistant", "output"))),
 ]
 
 
@@ -78,11 +99,12 @@ def registry(layouts=LAYOUTS) -> dict[str, dict]:
 
 def _turns(record: dict, mapping: dict) -> list[dict]:
     def text(x) -> str:
-        return x if isinstance(x, str) else "" if x is None else json.dumps(x, ensure_ascii=False)
+        said = x if isinstance(x, str) else "" if x is None else json.dumps(x, ensure_ascii=False)
+        return said.encode("utf-8", "replace").decode()  # half of a surrogate pair is no character: ?
 
     if "list" in mapping:
         return [{"role": mapping["names"].get(text(m.get(mapping["role"])), text(m.get(mapping["role"]))), "text": text(m.get(mapping["text"]))} for m in record[mapping["list"]]]
-    return [{"role": role, "text": text(record[name])} for role, name in mapping["fields"] if record[name] is not None]
+    return [{"role": role, "text": text(record.get(name))} for role, name in mapping["fields"] if record.get(name) is not None]
 
 
 def canonical_turns(records: DataFrame, record_col: str = "record", layouts=LAYOUTS) -> DataFrame:
@@ -98,10 +120,12 @@ def canonical_turns(records: DataFrame, record_col: str = "record", layouts=LAYO
         for raw in column:
             try:
                 record = json.loads(raw) if raw is not None else None
-            except ValueError:
-                record = None
-            mark = fingerprint(paths(record) if isinstance(record, dict) else ())
-            mapping = known.get(mark)
+                record = record if isinstance(record, dict) else {}
+                mark = fingerprint(paths(record))
+            except (ValueError, RecursionError):  # no JSON, or nested too deeply
+                record, mark = {}, fingerprint(())
+            # optional fields that are left open don't make another layout
+            mapping = known.get(mark) or known.get(fingerprint(paths({k: v for k, v in record.items() if v not in (None, [], {})})))
             marks.append(mark)
             turns.append(None if mapping is None else _turns(record, mapping))
         return pd.DataFrame({"fingerprint": marks, "turns": turns})
@@ -150,15 +174,15 @@ def read_back(records: DataFrame) -> DataFrame:
 def conversation_records(rows: DataFrame) -> DataFrame:
     """(conv_id, record): conversations as JSON records, in the layout that their roles allow.
 
-    A user's text and an answer become prompt and response, a system text before them instruction,
-    input and output; all others are lists of messages."""
+    A user's text and an answer become prompt and response, with a system text before them system, prompt and
+    response; all others are lists of messages."""
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     convs = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("t"))
     roles = F.col("t.role")
     pair, triple = roles == F.array(F.lit("user"), F.lit("assistant")), roles == F.array(F.lit("system"), F.lit("user"), F.lit("assistant"))
     record = (
         F.when(pair, F.to_json(F.struct(F.get(F.col("t.text"), F.lit(0)).alias("prompt"), F.get(F.col("t.text"), F.lit(1)).alias("response"))))
-        .when(triple, F.to_json(F.struct(F.get(F.col("t.text"), F.lit(0)).alias("instruction"), F.get(F.col("t.text"), F.lit(1)).alias("input"), F.get(F.col("t.text"), F.lit(2)).alias("output"))))
+        .when(triple, F.to_json(F.struct(F.get(F.col("t.text"), F.lit(0)).alias("system"), F.get(F.col("t.text"), F.lit(1)).alias("prompt"), F.get(F.col("t.text"), F.lit(2)).alias("response"))))
         .otherwise(F.to_json(F.struct(F.transform("t", lambda m: F.struct(m["role"].alias("role"), m["text"].alias("content"))).alias("messages"))))
     )
     return convs.select("conv_id", record.alias("record"))

@@ -14,6 +14,10 @@ so no task holds a source, however large.
 Every document is placed: slots go on after a source ends, so the remaining ones keep their relative
 order. ``on_target`` is true in the slots before the first source ends, where the targets hold.
 
+A document belongs to the block in which its first character falls. One longer than a block covers those that follow
+without a document of their own: their slots are empty, and the source is ahead of its target by the document's
+length until they have passed, so the bound in characters is one block and one document.
+
 Defined results: a null source is a source of its own; null text has size 0; rows that repeat
 id, text and source share a place; extra columns pass through and those named as a result give way; no documents, no rows.
 """
@@ -31,6 +35,9 @@ MAX_SOURCES = 100_000
 
 def shares(sizes: dict, period: int = PERIOD, temperature: float = TEMPERATURE, weights: dict | None = None) -> dict:
     """Whole shares of the period, at least 1 each, by largest remainders: of ``weights`` or of size ** temperature."""
+    missing = [s for s in sizes if weights and s not in weights]
+    if missing:
+        raise ValueError(f"no weight for {len(missing)} sources, such as {missing[0]!r}")
     raw = {s: float(weights[s] if weights else max(1, n) ** temperature) for s, n in sizes.items()}
     if any(w <= 0 for w in raw.values()):
         raise ValueError("weights must be positive")

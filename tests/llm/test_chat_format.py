@@ -59,7 +59,10 @@ def test_fingerprints_depend_on_structure_only():
         ({"conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "a"}]}, [("user", "q"), ("assistant", "a")]),
         ({"prompt": "q", "completion": "a"}, [("user", "q"), ("assistant", "a")]),
         ({"instruction": "q", "output": "a"}, [("user", "q"), ("assistant", "a")]),
-        ({"instruction": "s", "input": "q", "output": None}, [("system", "s"), ("user", "q")]),
+        ({"instruction": "q", "input": "about", "output": None}, [("user", "q"), ("user", "about")]),
+        ({"system": "s", "instruction": "q", "output": "a"}, [("system", "s"), ("user", "q"), ("assistant", "a")]),
+        ({"id": 1, "prompt": "q", "response": "a", "meta": {"k": [1]}}, [("user", "q"), ("assistant", "a")]),
+        ({"prompt": "q", "response": "a", "system": None, "history": []}, [("user", "q"), ("assistant", "a")]),
         ({"system": "s", "prompt": "q", "response": 7}, [("system", "s"), ("user", "q"), ("assistant", "7")]),
         ({"other": 1}, None),
     ],
@@ -78,6 +81,14 @@ def test_unknown_and_broken_records(spark):
     assert canonical_turns(spark.createDataFrame([], "record string")).collect() == []
 
 
+def test_deep_records_and_half_surrogates(spark):
+    deep = [(json.dumps({"prompt": "q", "response": "a"})[:-1] + ', "x": ' + "[" * n + "]" * n + "}",) for n in (150, 600, 100_000)]
+    half = [('{"prompt": "a\\ud800b", "response": "\\ud83d\\ude00"}',), ('{"\\udfff": 1}',)]
+    got = canonical_turns(spark.createDataFrame(deep + half, "record string")).collect()
+    assert [r.turns for r in got[:3]] == [None] * 3 and got[1].fingerprint == got[2].fingerprint == fingerprint(())
+    assert [t.text for t in got[3].turns] == ["a?b", "\U0001f600"] and got[4].turns is None
+
+
 def brute(rows):
     """The contract's columns but formatted_chars, of rows of (conv_id, turn, role, text)."""
     convs = {}
@@ -111,4 +122,4 @@ def test_query_on_no_rows(spark, tmp_path):
 def test_records_use_several_layouts(spark):
     rows = [(1, 0, "user", "q"), (1, 1, "assistant", "a"), (2, 0, "system", "s"), (2, 1, "user", "q"), (2, 2, "assistant", "a"), (3, 0, "user", "q")]
     got = {r.conv_id: set(json.loads(r.record)) for r in conversation_records(spark.createDataFrame(rows, CONVERSATIONS)).collect()}
-    assert got == {1: {"prompt", "response"}, 2: {"instruction", "input", "output"}, 3: {"messages"}}
+    assert got == {1: {"prompt", "response"}, 2: {"system", "prompt", "response"}, 3: {"messages"}}

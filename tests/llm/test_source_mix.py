@@ -65,3 +65,12 @@ def test_edges(spark, no_docs):
     rows = [(1, None, None), (None, "abc", "x"), (1, "abc", "x"), (1, "abc", "x"), (2, "z" * 50_000, "x"), (3, "", None)]
     got = mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "1 as BLOCK", "2 as s", "3 as h")).collect()
     assert len(got) == len(rows)
+
+
+def test_missing_weights_and_long_documents(spark):
+    rows = [(0, "x" * 95, "a"), (1, "y" * 10, "a"), (2, "z" * 10, "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    with pytest.raises(ValueError, match="no weight for 1 sources"):
+        mix_sources(docs, weights={"a": 1.0})
+    got = {r.doc_id: r for r in mix_sources(docs, weights={"a": 1.0, "b": 1.0}, block_chars=10).collect()}
+    assert got[2].block == 1 and {got[0].block, got[1].block} in ({1, 2}, {1, 10})  # blocks 2 to 9 are empty if the long one is first

@@ -35,17 +35,20 @@ def no_space(x: Column) -> Column:
     return F.regexp_replace(x, r"\s+", "")
 
 
+#: Characters that don't count in names, as ranges of a pattern: CJK and typographic punctuation, blanks, - and _.
+UNCOUNTED = r"[\u3000-\u303F\uFF5F-\uFF65\u2018-\u201F\u2026\u2014\s\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\uFEFF_-]+"
+
+
 def normalised(x: Column) -> Column:
-    """Full-width forms folded to half-width, punctuation of CJK text and blanks removed, lower case."""
-    folded = F.translate(x, FULL_WIDTH + "　", HALF_WIDTH + " ")
-    return F.lower(F.regexp_replace(folded, r"[\s、。《-】·—…‘-”]+", ""))
+    """Full-width forms folded to half-width, CJK and typographic punctuation, blanks, hyphens and underscores
+    removed, lower case."""
+    return F.lower(F.regexp_replace(F.translate(x, FULL_WIDTH, HALF_WIDTH), UNCOUNTED, ""))
 
 
 def title_key(x: Column) -> Column:
-    """A heading without a bracketed suffix and an ordinal in front, lower case, without blanks."""
-    plain = F.regexp_replace(x, r"[\(（\[].*?[\)）\]]\s*$", "")
-    plain = F.regexp_replace(plain, r"^\s*(?:第[一-鿿\d]+[章节篇]|\d+(?:\.\d+)*[\.、]?)\s*", "")
-    return F.lower(no_space(plain))
+    """A heading without blanks, bracketed parts and the ordinal of a chapter, section or part in front, lower case."""
+    plain = F.regexp_replace(no_space(x), r"[（(].*?[)）]", "")
+    return F.lower(F.regexp_replace(plain, r"^第[一二三四五六七八九十百千万零\d]+[章节篇]", ""))
 
 
 def slug(x: Column) -> Column:

@@ -15,7 +15,7 @@ from ..sources.tables import scan
 REGISTRY = Registry()
 QUERIES, SQL, query = REGISTRY.queries, REGISTRY.sql, REGISTRY.query
 
-from ..functions.columns import clamp, fuzzy_match, half_up, json_number, normalised, similarity  # noqa: E402
+from ..functions.columns import half_up, json_number  # noqa: E402
 
 #: Score bounds of the recall qualities 5 .. 1.
 QUALITY_BOUNDS = (90, 75, 60, 40, 20)
@@ -147,71 +147,36 @@ def greedy_matches(given, wanted, same):
     return F.aggregate(given, F.array().cast("array<int>"), step)
 
 
-def coverage_score(given, wanted, weight):
-    """Share of the wanted items that are met, times the weight, rounded."""
-    n = F.size(wanted)
-    return F.when(n == 0, F.lit(0)).otherwise(half_up(F.size(greedy_matches(given, wanted, lambda a, b: fuzzy_match(normalised(a), normalised(b)))) / n * weight)).cast("long")
+#: Phases of a session and where each may go.
+TRANSITIONS = {
+    "intro": ["history"], "history": ["exam", "tests"], "exam": ["history", "tests", "diagnosis"], "tests": ["exam", "diagnosis"],
+    "diagnosis": ["treatment"], "treatment": ["scoring"], "scoring": ["feedback"], "feedback": [],
+}
+#: The phases in which an intent is allowed.
+PERMISSIONS = {
+    "ask_history": ["intro", "history", "exam"], "physical_exam": ["exam", "history"], "order_test": ["tests", "exam"],
+    "mention_diagnosis": ["diagnosis", "exam", "tests"], "mention_treatment": ["diagnosis", "treatment"],
+    "phase_transition": ["history", "exam", "tests", "diagnosis"], "greeting": ["intro", "history", "exam", "tests"],
+    "off_topic": ["intro", "history", "exam", "tests", "diagnosis"], "empty": [], "unknown": ["intro", "history", "exam", "tests"],
+}
 
 
-def primary_score(given, target, aliases, others, full, partial, other, wrong):
-    """The score ladder of a primary answer: the target or an alias, similar to it, one of the others, wrong."""
-    g = normalised(given)
-    names = F.transform(F.concat(F.array(target), aliases), lambda x: normalised(x))
-    near = F.exists(names, lambda x: (similarity(g, x) > 0.7) & (F.length(g) > 0))
-    return F.when(F.array_contains(names, g), full).when(near, partial).when(F.array_contains(F.transform(others, lambda x: normalised(x)), g), other).otherwise(wrong)
+def _listed(table: dict):
+    return F.create_map(*(x for k, v in table.items() for x in (F.lit(k), F.array(*map(F.lit, v)).cast("array<string>"))))
 
 
-def grade(total, most):
-    share = F.try_divide(total, most)
-    return F.when(share >= 0.9, "excellent").when(share >= 0.7, "good").when(share >= 0.5, "pass").otherwise("fail")
+def permitted(intent, phase):
+    """Whether an intent is allowed in a phase; no unknown one is."""
+    return F.coalesce(F.array_contains(F.try_element_at(_listed(PERMISSIONS), intent), phase), F.lit(False))
 
 
-#: Substrings that veto a penalty, fixed values.
-NEGATIONS = ["不", "非", "无", "避免", "禁", "not ", "no ", "avoid"]
-
-
-def treatment_score(given, critical, dangerous, weight):
-    """Equal shares of the weight for critical items that are met, less 10 for each dangerous one named without a negation; 0 at least."""
-    met = F.size(F.filter(critical, lambda c: F.exists(given, lambda g: fuzzy_match(normalised(g), normalised(c)))))
-    plain = F.filter(given, lambda g: ~F.exists(F.array(*map(F.lit, NEGATIONS)), lambda w: F.contains(F.lower(g), w)))
-    hits = F.size(F.filter(dangerous, lambda d: F.exists(plain, lambda g: F.contains(normalised(g), normalised(d)))))
-    share = F.when(F.size(critical) > 0, met * weight / F.size(critical)).otherwise(F.lit(0))
-    return clamp(half_up(share - hits * 10), 0, weight).cast("long")
-
-
-def score_cases(cases: DataFrame) -> DataFrame:
-    """Rows with given_primary, target, aliases, others, given_evidence, evidence, given_treatments, critical and
-    dangerous get the scores of each dimension (40, 20, 25), their total and the grade."""
-    scored = cases.withColumns({
-        "primary_score": primary_score(F.col("given_primary"), F.col("target"), F.col("aliases"), F.col("others"), 40, 25, 10, 0),
-        "evidence_score": coverage_score(F.col("given_evidence"), F.col("evidence"), F.lit(20)),
-        "treatment_score": treatment_score(F.col("given_treatments"), F.col("critical"), F.col("dangerous"), F.lit(25)),
-    })
-    total = F.col("primary_score") + F.col("evidence_score") + F.col("treatment_score")
-    weak = F.array_compact(F.array(*(F.when(F.col(c) < most * 0.6, F.lit(c)) for c, most in (("primary_score", 40), ("evidence_score", 20), ("treatment_score", 25)))))
-    return scored.withColumn("total", total).withColumn("grade", grade(F.col("total"), F.lit(85))).withColumn("weak", weak)
-
-
-@query()
-def case_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rubric scores with documents' words standing in for answers (no SQL twin: array folds; tests have worked cases)."""
-    d = scan(spark, sf_dir, "documents", "doc_id", "text").withColumn("w", F.split("text", r"\s+"))
-    part = lambda a, n: F.slice(F.col("w"), a, n)
-    cases = d.select("doc_id", F.element_at("w", 1).alias("given_primary"), F.lower(F.element_at("w", 1)).alias("target"), part(2, 2).alias("aliases"), part(4, 2).alias("others"), part(1, 6).alias("given_evidence"), part(3, 6).alias("evidence"), part(1, 4).alias("given_treatments"), part(2, 3).alias("critical"), part(9, 2).alias("dangerous"))
-    return score_cases(cases).select("doc_id", "primary_score", "evidence_score", "treatment_score", "total", "grade", F.array_join("weak", ",").alias("weak"))
-
-
-#: Phases of a session and where each may go.
-TRANSITIONS = {"history": ["exam", "tests"], "exam": ["history", "tests", "diagnosis"], "tests": ["exam", "diagnosis"], "diagnosis": ["treatment"], "treatment": ["done"], "done": []}
-
-
-def replay_phases(events: DataFrame, by: list[str], order: list[str], wanted: str, start: str = "history") -> DataFrame:
+def replay_phases(events: DataFrame, by: list[str], order: list[str], wanted: str, start: str = "intro") -> DataFrame:
     """The phase each session is in after its wanted phases in order; moves that aren't allowed are counted and ignored."""
-    allowed = F.create_map(*(x for k, v in TRANSITIONS.items() for x in (F.lit(k), F.array(*map(F.lit, v)) if v else F.array().cast("array<string>"))))
+    allowed = _listed(TRANSITIONS)
     begin = F.struct(F.lit(start).alias("phase"), F.lit(0).alias("refused"))
 
     def step(s, x):
-        ok = F.array_contains(F.try_element_at(allowed, s["phase"]), x[wanted])
+        ok = F.coalesce(F.array_contains(F.try_element_at(allowed, s["phase"]), x[wanted]), F.lit(False))
         return F.struct(F.when(ok, x[wanted]).otherwise(s["phase"]).alias("phase"), F.when(ok, s["refused"]).otherwise(s["refused"] + 1).alias("refused"))
 
     gathered = events.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*order, wanted))).alias("x"))
@@ -219,15 +184,15 @@ def replay_phases(events: DataFrame, by: list[str], order: list[str], wanted: st
 
 
 @query("""
-WITH RECURSIVE e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, CASE event_type WHEN 'view' THEN 'exam' WHEN 'click' THEN 'tests' WHEN 'purchase' THEN 'diagnosis' WHEN 'signup' THEN 'treatment' ELSE 'history' END AS w FROM events),
-f AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS i, 'history' AS phase, 0 AS refused FROM e UNION ALL
+WITH RECURSIVE e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, CASE event_type WHEN 'view' THEN 'exam' WHEN 'click' THEN 'tests' WHEN 'purchase' THEN 'diagnosis' WHEN 'signup' THEN 'treatment' WHEN 'error' THEN 'scoring' ELSE 'history' END AS w FROM events),
+f AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS i, 'intro' AS phase, 0 AS refused FROM e UNION ALL
   SELECT user_id, ei, CASE WHEN ok THEN w ELSE phase END, CASE WHEN ok THEN refused ELSE refused + 1 END FROM (
-    SELECT f.user_id, phase, refused, e.i AS ei, e.w, (phase = 'history' AND w IN ('exam', 'tests')) OR (phase = 'exam' AND w IN ('history', 'tests', 'diagnosis')) OR (phase = 'tests' AND w IN ('exam', 'diagnosis')) OR (phase = 'diagnosis' AND w = 'treatment') OR (phase = 'treatment' AND w = 'done') AS ok
+    SELECT f.user_id, phase, refused, e.i AS ei, e.w, (phase = 'intro' AND w = 'history') OR (phase = 'history' AND w IN ('exam', 'tests')) OR (phase = 'exam' AND w IN ('history', 'tests', 'diagnosis')) OR (phase = 'tests' AND w IN ('exam', 'diagnosis')) OR (phase = 'diagnosis' AND w = 'treatment') OR (phase = 'treatment' AND w = 'scoring') OR (phase = 'scoring' AND w = 'feedback') AS ok
     FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1))
 SELECT user_id, phase, refused FROM f QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY i DESC) = 1""")
 def phases(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = scan(spark, sf_dir, "events", "user_id", "ts", "event_id", "event_type")
-    names = {"view": "exam", "click": "tests", "purchase": "diagnosis", "signup": "treatment"}
+    names = {"view": "exam", "click": "tests", "purchase": "diagnosis", "signup": "treatment", "error": "scoring"}
     wanted = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in names.items() for x in kv)), F.col("event_type")), F.lit("history"))
     return replay_phases(e.withColumn("w", wanted), ["user_id"], ["ts", "event_id"], "w")
 

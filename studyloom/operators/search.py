@@ -174,42 +174,76 @@ def stable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("p_partkey", stable_id([F.col("p_brand"), F.col("p_type"), F.col("p_name")], "kn-").alias("node_id"))
 
 
-#: (name, phase, pattern) in order; the first that fits both wins.
+#: Rules in order: name, intent, target, confidence, the phases in which it holds (none: all) and patterns. A table to
+#: be replaced by an application's own; these few fit the conversations.
 INTENTS = [
-    ("greeting", "user", r"(?i)^\s*(hello|hi|hey)\b"),
-    ("question", "user", r"\?\s*$"),
-    ("request", "user", r"(?i)\b(please|could you|can you)\b"),
-    ("instruction", "system", r"(?i)\byou\b"),
-    ("list", "assistant", r"(?m)^\s*(\d+\.|-)\s"),
-    ("short", "assistant", r"^.{0,80}$"),
+    ("greeting", "greeting", None, 0.95, (), (r"(?i)^(hello|hi|hey)\b",)),
+    ("question", "ask_history", "open", 0.8, ("user",), (r"\?", r"(?i)^(what|why|how|when|where|who)\b")),
+    ("request", "order_test", "request", 0.9, ("user",), (r"(?i)\b(please|could you|can you)\b",)),
+    ("instruction", "phase_transition", None, 0.85, ("system",), (r"(?i)\byou\b",)),
+    ("list", "mention_treatment", "list", 0.85, ("assistant",), (r"(^| )(\d+\.|-) ",)),
+    ("short", "mention_diagnosis", None, 0.85, ("assistant", "intro"), (r"^.{0,80}$",)),
 ]
+#: The intents whose rules hold in the first phase whatever their own phases, and what ends a text.
+OPENING, ENDS = ("ask_history", "unknown"), r"[,，。.！!？?]+$"
 
 
-def classify(text, phase, rules=INTENTS, default: str = "needs_model"):
-    """The first rule whose phase and pattern fit."""
-    out = F.lit(default)
-    for name, when, pattern in reversed(rules):
-        out = F.when((phase == F.lit(when)) & F.rlike(text, F.lit(pattern)), F.lit(name)).otherwise(out)
-    return out
+def parse_intent(text, phase, rules=INTENTS):
+    """A struct (type, target, confidence, rule, needs_model): the first rule that holds in the phase and one of whose
+    patterns is found in the text without its end marks; empty texts are ``empty``, others ``unknown`` for a model."""
+    shape = lambda kind, target, sure, rule, model: F.struct(F.lit(kind).alias("type"), F.lit(target).cast("string").alias("target"), F.lit(float(sure)).alias("confidence"), F.lit(rule).cast("string").alias("rule"), F.lit(model).alias("needs_model"))
+    clean = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", ""), ENDS, ""), r"\s+", " ")
+    out = shape("unknown", None, 0, None, True)
+    for name, kind, target, sure, phases, patterns in reversed(rules):
+        held = F.lit(True) if not phases else phase.isin(*phases, *(("intro",) if kind in OPENING else ()))
+        found = F.rlike(clean, F.lit("|".join(f"(?:{p})" for p in patterns)))
+        out = F.when(F.coalesce(held, F.lit(False)) & found, shape(kind, target, sure, name, False)).otherwise(out)
+    return F.when(clean == "", shape("empty", None, 1, None, False)).otherwise(out)
 
 
-@query(r"""
-SELECT role, CASE WHEN role = 'user' AND regexp_matches(text, '(?i)^\s*(hello|hi|hey)\b') THEN 'greeting' WHEN role = 'user' AND regexp_matches(text, '\?\s*$') THEN 'question' WHEN role = 'user' AND regexp_matches(text, '(?i)\b(please|could you|can you)\b') THEN 'request'
-  WHEN role = 'system' AND regexp_matches(text, '(?i)\byou\b') THEN 'instruction' WHEN role = 'assistant' AND regexp_matches(text, '(?m)^\s*(\d+\.|-)\s') THEN 'list' WHEN role = 'assistant' AND regexp_matches(text, '^.{0,80}$') THEN 'short' ELSE 'needs_model' END AS intent, count(*) AS n FROM conversations GROUP BY ALL""")
+def _intent_sql() -> str:
+    clean = r"regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g'), '[,，。.！!？?]+$', ''), '\s+', ' ', 'g')"
+    rules = " ".join(f"WHEN {'true' if not ph else 'role IN (' + ', '.join(repr(x) for x in (*ph, *(('intro',) if kind in OPENING else ()))) + ')'} AND regexp_matches(c, '{'|'.join(f'(?:{p})' for p in pats)}') THEN '{name}'" for name, kind, _, _, ph, pats in INTENTS)
+    return f"SELECT role, CASE WHEN c = '' THEN 'empty' {rules} ELSE 'unknown' END AS intent, count(*) AS n FROM (SELECT role, {clean} AS c FROM conversations) GROUP BY ALL"
+
+
+@query(_intent_sql())
 def intent_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = scan(spark, sf_dir, "conversations", "role", "text")
-    return c.groupBy("role", classify(F.col("text"), F.col("role")).alias("intent")).agg(F.count("*").alias("n"))
+    """How often each rule holds, the speaker standing for the phase."""
+    c = scan(spark, sf_dir, "conversations", "role", "text").withColumn("i", parse_intent(F.col("text"), F.col("role")))
+    return c.groupBy("role", F.coalesce("i.rule", "i.type").alias("intent")).agg(F.count("*").alias("n"))
+
+
+#: What in an input is meant to change a model's instructions.
+INJECTION = [
+    r"(?i)ignore (all |any )?(previous|prior|above) instructions", r"(?i)system (prompt|message|instruction)", r"(?i)developer (prompt|message|instruction)",
+    r"(?i)jailbreak|prompt injection", r"(?i)reveal (the )?(diagnosis|answer|rubric)", r"(?i)act as (a )?(doctor|clinician|system)",
+    r"忽略.{0,8}(之前|以上|前面).{0,8}(指令|要求|规则)", r"(系统|开发者).{0,4}(提示词|消息|指令)", r"(告诉|泄露|输出|显示).{0,8}(诊断|答案|评分规则|标准答案)",
+    r"(跳出|退出|忘记).{0,6}(患者|角色|设定)", r"越狱|提示词注入",
+]
+#: Advice that an output must not give.
+UNSAFE = [
+    r"(我建议你|你应该|你需要).{0,20}(服用|使用|停用|加量|减量|治疗|手术)", r"(治疗方案|处方|用药建议)(是|包括|：|:)",
+    r"(?i)\b(i recommend|you should|you need to)\b.{0,40}\b(take|stop|increase|decrease|treat|surgery)\b",
+]
 
 
-#: Patterns of instructions to a model and of contact data; the first that is found names the flag.
-FLAGS = [("override", r"(?i)ignore (all|previous)"), ("prompt", r"(?i)system prompt"), ("email", r"[A-Za-z0-9._-]+@[A-Za-z0-9-]+\.[a-z]+"), ("licence", r"(?i)licensed under"), ("shout", r"!!")]
+def first_pattern(text, patterns: list[str]):
+    """The first of the patterns that a text holds, else null. All are tried only where one of them is found at all."""
+    at_all = F.rlike(text, F.lit("|".join(f"(?:{p})" for p in patterns)))
+    return F.when(at_all, first_rule(text, [(p, p) for p in patterns]))
 
 
-@query(r"""
-SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)ignore (all|previous)') THEN 'override' WHEN regexp_matches(text, '(?i)system prompt') THEN 'prompt' WHEN regexp_matches(text, '[A-Za-z0-9._-]+@[A-Za-z0-9-]+\.[a-z]+') THEN 'email'
-  WHEN regexp_matches(text, '(?i)licensed under') THEN 'licence' WHEN regexp_matches(text, '!!') THEN 'shout' END AS flag FROM documents""")
+def _pattern_sql(patterns: list[str]) -> str:
+    return "CASE " + " ".join(f"WHEN regexp_matches(text, '{p}') THEN '{p}'" for p in patterns) + " END"
+
+
+@query(f"SELECT conv_id, turn, role, CASE WHEN role <> 'assistant' THEN {_pattern_sql(INJECTION)} END AS injection, CASE WHEN role = 'assistant' THEN {_pattern_sql(UNSAFE)} END AS unsafe FROM conversations")
 def safety_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", first_rule(F.col("text"), FLAGS).alias("flag"))
+    """Inputs that try to change the instructions and outputs that give unsafe advice."""
+    c = scan(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    said = F.col("role") == "assistant"
+    return c.select("conv_id", "turn", "role", F.when(~said, first_pattern(F.col("text"), INJECTION)).alias("injection"), F.when(said, first_pattern(F.col("text"), UNSAFE)).alias("unsafe"))
 
 
 def terms_in(texts: DataFrame, terms: DataFrame) -> DataFrame:

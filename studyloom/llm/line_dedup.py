@@ -8,7 +8,7 @@ sets is NUM / DEN or more.
    line (minima don't mind repeats, so equal lines merge before the shuffle).
 2. Banding. The 9 minima are the points of the affine plane of order 3, its 12 lines of 3 points each are
    the bands: lines of similarity 0.8 meet in one with probability 0.99, of 0.9 with 0.9995.
-3. Verification. A line's sketch has a bit for each value of 10 bits of its shingles' hashes. Each bit in which
+3. Verification. A line's sketch has a bit for each value of 11 bits of its shingles' hashes. Each bit in which
    two sketches differ stands for another shingle that one line has alone, so pairs with too many such bits
    are no links; the others are verified by exact Jaccard. In each bucket members are compared with one
    leader, the line that is most frequent (of near copies the least changed one). Where a bucket then still
@@ -35,7 +35,7 @@ from .shared import BROADCAST_BYTES, hinted, table, written
 
 SHINGLE, NUM, DEN = 8, 80, 100
 #: 64-bit words of a sketch.
-WORDS = 16
+WORDS = 32
 _BLANKS = " \t\r\f\u000b "
 #: Bytes of a character in the encoding whose characters are all of one size.
 _WIDE = 4

@@ -86,11 +86,16 @@ def signatures(lines: DataFrame) -> DataFrame:
 
 
 def sketches(keys: DataFrame) -> DataFrame:
-    """(h, size, w0 ...): of distinct lines (h, key) the shingles' number, repeats included, and the sketch in 64-bit words."""
+    """(h, size, w0 ...): of distinct lines (h, key) the sketch in 64-bit words, and the shingles' number or, as repeats
+    don't show in a sketch, a bit more; where its bits are too few for that number, the exact one."""
     bits = _hashed(keys).select("h", *(e for k in (0, 1) for e in (F.shiftrightunsigned(f"x{k}", 6).bitwiseAND(WORDS - 1).alias(f"word{k}"), F.expr(f"shiftleft(1L, cast(x{k} & 63 as int))").alias(f"bit{k}"))))
     word = lambda j: F.bit_or(F.when(F.col("word0") == j, F.col("bit0")).otherwise(0).bitwiseOR(F.when(F.col("word1") == j, F.col("bit1")).otherwise(0)))
     drawn = bits.groupBy("h").agg(*(word(j).alias(f"w{j}") for j in range(WORDS)))
-    return drawn.join(keys.select("h", F.greatest(F.lit(1), F.length("key") - SHINGLE + 1).alias("size")), "h")
+    whole = drawn.join(keys.select("h", "key", F.greatest(F.lit(1), F.length("key") - SHINGLE + 1).alias("places")), "h")
+    drawn_bits = sum((F.bit_count(f"w{j}") for j in range(WORDS)), F.lit(0))
+    expected = 64 * WORDS * (1 - F.exp(-F.col("places") / (64 * WORDS)))
+    size = F.when(drawn_bits < 0.9 * expected, F.size(_shingles(F.col("key")))).otherwise(F.col("places"))
+    return whole.select("h", size.alias("size"), *(f"w{j}" for j in range(WORDS)))
 
 
 def banded(minima: DataFrame) -> DataFrame:

@@ -5,7 +5,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from studyloom.llm.kernels import buffers
+from studyloom.llm import toxicity as toxic
+from studyloom.llm.kernels import buffers, mix
 from studyloom.llm.toxicity import BITS, best_threshold, features, score, toxicity, train_chain
 
 LABELS = "doc_id long, quality int, toxic int"
@@ -57,6 +58,48 @@ def test_score_matches_plain_sums(spark):
             assert r[f"is_{name}"] == (r[f"p_{name}"] >= m["threshold"])
 
 
+def dense_fit(x, extra, y, use):
+    """The same regression on a dense matrix: x has a 1 / sqrt(n) for each of a row's n features."""
+    xs, ys, more = x[use], y[use], extra[use]
+    there = xs > 0
+    ratio = np.log((there[ys > 0].sum(0) + 1) / (ys.sum() + 2)) - np.log((there[ys == 0].sum(0) + 1) / ((1 - ys).sum() + 2))
+    full = np.hstack([xs * ratio, more, np.ones((len(xs), 1))])
+    weight = np.where(ys > 0, 0.5 / ys.mean(), 0.5 / (1 - ys.mean())) / len(ys)
+    w = np.zeros(full.shape[1])
+    m, s = np.zeros_like(w), np.zeros_like(w)
+    for step in range(1, toxic.STEPS + 1):
+        grad = full.T @ (weight * (1 / (1 + np.exp(-full @ w)) - ys)) + np.append(toxic.L2 * w[:-1], 0)
+        m, s = 0.9 * m + 0.1 * grad, 0.99 * s + 0.01 * grad**2
+        w -= toxic.RATE * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-8)
+    return np.concatenate([w[: x.shape[1]] * ratio, w[x.shape[1] :]])
+
+
+def test_chain_matches_dense_matrices(spark):
+    """Out-of-fold probabilities, thresholds and weights of both links, with the first one's fed to the second."""
+    docs, labels = labelled(9, 90)
+    models = train_chain(*frames(spark, docs, labels))
+    rows, feature, _ = features(*buffers(pa.array([t for _, t in docs], pa.string())))
+    names, column = np.unique(feature, return_inverse=True)
+    x = np.zeros((90, len(names)))
+    x[rows, column] = 1
+    x /= np.sqrt(x.sum(1, keepdims=True))
+    folds = (mix(np.arange(90).astype(np.uint64)) % np.uint64(toxic.FOLDS)).astype(int)
+    extra = np.zeros((90, 0))
+    for name, y in (("unfit", np.array([1.0 - q for _, q, _ in labels])), ("toxic", np.array([float(t) for *_, t in labels]))):
+        p = np.zeros(90)
+        for fold in range(toxic.FOLDS):
+            w = dense_fit(x, extra, y, folds != fold)
+            out = folds == fold
+            p[out] = 1 / (1 + np.exp(-(np.hstack([x, extra, np.ones((90, 1))]) @ w)[out]))
+        w = dense_fit(x, extra, y, np.ones(90, bool))
+        got = models[name]
+        assert got["threshold"] == pytest.approx(best_threshold(p, y), abs=1e-6)
+        assert np.allclose(got["weights"][names], w[: len(names)], atol=1e-4) and np.allclose(got["weights"][SIZE:], w[len(names) :], atol=1e-4)
+        flagged = p >= got["threshold"]
+        assert got["f1"] == pytest.approx(2 * (flagged & (y > 0)).sum() / max(1, flagged.sum() + y.sum()))
+        extra = np.hstack([extra, p[:, None]])
+
+
 def test_features_are_distinct_words_and_beginnings():
     rows, feature, value = features(*buffers(pa.array(["Abcdefg abcdefg x", None, "", "abcde"], pa.string())))
     n = np.bincount(rows, minlength=4)

@@ -167,7 +167,7 @@ def _listed(table: dict):
 
 def permitted(intent, phase):
     """Whether an intent is allowed in a phase; no unknown one is."""
-    return F.coalesce(F.array_contains(F.try_element_at(_listed(PERMISSIONS), intent), phase), F.lit(False))
+    return F.coalesce(F.array_contains(F.try_element_at(_listed(PERMISSIONS), intent.cast("string")), phase.cast("string")), F.lit(False))
 
 
 def replay_phases(events: DataFrame, by: list[str], order: list[str], wanted: str, start: str = "intro") -> DataFrame:

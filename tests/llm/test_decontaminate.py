@@ -21,13 +21,13 @@ def brute(rows, items, window=10):
         for item, text in items:
             iw = lower(text)
             k = min(window, len(iw))
-            if item is None or not k:
+            if not k:
                 continue
             wins = {tuple(iw[a : a + k]) for a in range(len(iw) - k + 1)}
             for a in range(len(ws) - k + 1):
                 if tuple(ws[a : a + k]) in wins:
                     hit.update(range(a, a + k))
-                    found.add(str(item))
+                    found.add(None if item is None else str(item))
             for a in range(len(ws)):
                 for b in range(len(iw)):
                     n = 0
@@ -35,7 +35,7 @@ def brute(rows, items, window=10):
                         n += 1
                     if n >= k:
                         longest = max(longest, n)
-        out.append((i, len(ws), len(hit), sorted(found), bool(hit), longest))
+        out.append((i, len(ws), len(hit), sorted(found, key=lambda x: (x is None, x or "")), bool(hit), longest))
     return out
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .shared import forget, written
@@ -26,7 +26,7 @@ def _stars(edges: DataFrame, larger_only: bool) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b); root is the least node of the component.
 
-    Rounds end when a round changes nothing; each is written to the shared folder, so no round
+    Rounds end when a round changes nothing, which is observed as it is written; each is written to the shared folder, so no round
     is computed twice and a lost executor costs its own tasks only. Self-loops give a node with
     itself as root. Null ends are ignored.
     """
@@ -35,8 +35,10 @@ def components(edges: DataFrame) -> DataFrame:
     now = written(edges.where("a != b").distinct(), "edges")
     mark = None
     while True:
-        after = written(_stars(_stars(now, True), False), "edges")
-        seen = after.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.hash("a", "b").cast("long"))).first()
+        seen_by = Observation()
+        round_ = _stars(_stars(now, True), False).observe(seen_by, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x"), F.sum(F.hash("a", "b").cast("long")).alias("s"))
+        after = written(round_, "edges")
+        seen = seen_by.get
         forget(now)
         now = after
         if mark == seen:

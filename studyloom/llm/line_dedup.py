@@ -86,7 +86,7 @@ def signatures(lines: DataFrame) -> DataFrame:
 
 
 def sketches(keys: DataFrame) -> DataFrame:
-    """(h, size, w0 ...): of distinct lines (h, key) the sketch in 64-bit words, and the shingles' number or, as repeats
+    """(h, size, words): of distinct lines (h, key) the sketch as an array of 64-bit words, and the shingles' number or, as repeats
     don't show in a sketch, a bit more; where its bits are too few for that number, the exact one."""
     bits = _hashed(keys).select("h", *(e for k in (0, 1) for e in (F.shiftrightunsigned(f"x{k}", 6).bitwiseAND(WORDS - 1).alias(f"word{k}"), F.expr(f"shiftleft(1L, cast(x{k} & 63 as int))").alias(f"bit{k}"))))
     word = lambda j: F.bit_or(F.when(F.col("word0") == j, F.col("bit0")).otherwise(0).bitwiseOR(F.when(F.col("word1") == j, F.col("bit1")).otherwise(0)))
@@ -95,7 +95,7 @@ def sketches(keys: DataFrame) -> DataFrame:
     drawn_bits = sum((F.bit_count(f"w{j}") for j in range(WORDS)), F.lit(0))
     expected = 64 * WORDS * (1 - F.exp(-F.col("places") / (64 * WORDS)))
     size = F.when(drawn_bits < 0.9 * expected, F.size(_shingles(F.col("key")))).otherwise(F.col("places"))
-    return whole.select("h", size.alias("size"), *(f"w{j}" for j in range(WORDS)))
+    return whole.select("h", size.alias("size"), F.array(*(f"w{j}" for j in range(WORDS))).alias("words"))
 
 
 def banded(minima: DataFrame) -> DataFrame:
@@ -127,7 +127,8 @@ def _similar(pairs: DataFrame, keys: DataFrame, num: int, den: int) -> DataFrame
 def _able(x: str, y: str, num: int, den: int) -> F.Column:
     """Whether sketches leave it open that lines link: of sets of sizes a and b that do, at most
     (a + b) (den - num) / (den + num) elements are in one only."""
-    apart = sum((F.bit_count(F.col(f"{x}w{j}").bitwiseXOR(F.col(f"{y}w{j}"))) for j in range(WORDS)), F.lit(0))
+    unlike = F.zip_with(f"{x}words", f"{y}words", lambda u, v: F.bit_count(u.bitwiseXOR(v)))
+    apart = F.aggregate(unlike, F.lit(0), lambda n, k: n + k)
     return F.lit(den + num) * apart <= F.lit(den - num) * (F.col(f"{x}size") + F.col(f"{y}size"))
 
 

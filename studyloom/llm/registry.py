@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, jaccard_join, line_dedup, quality_rules, source_mix, substring_dedup, token_count, toxicity, warc_audit
+from . import chat_format, decontaminate, divergence, jaccard_join, line_dedup, quality_rules, source_mix, substring_dedup, token_count, toxicity, warc_audit
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_jaccard_join": jaccard_join.op9_jaccard_join,
     "op10_chat_format": chat_format.op10_chat_format,
+    "op11_source_divergence": divergence.op11_source_divergence,
 }
 SQL = {
     "op1_substring_dedup": substring_dedup.SQL,
@@ -22,4 +23,5 @@ SQL = {
     "op4_warc_audit": warc_audit.SQL,
     "op9_jaccard_join": jaccard_join.SQL,
     "op10_chat_format": chat_format.SQL,
+    "op11_source_divergence": divergence.SQL,
 }

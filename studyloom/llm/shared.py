@@ -36,6 +36,13 @@ def forget(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def prefix_for(df: DataFrame, mark: str = "__") -> str:
+    """A beginning that no column of ``df`` has, for the names of helper columns."""
+    while any(c.lower().startswith(mark) for c in df.columns):
+        mark += "_"
+    return mark
+
+
 def n_partitions(docs: DataFrame, column: str = "text", per: int = PARTITION_BYTES) -> int:
     """Shuffle partitions for work in proportion to the text: the session's number, or more if the text is larger."""
     total = docs.agg(F.sum(F.octet_length(F.col(column)))).first()[0] or 0

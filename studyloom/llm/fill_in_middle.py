@@ -13,9 +13,8 @@ if it is empty or holds one of the sentinels, or for PLAIN percent of ids; of th
 a sentinel cannot begin in one part and end in the next, so the parse is exact.
 
 Defined results: null text counts as empty, so it is plain and its output is empty; rows with a null id are hashed
-as ``<seed>:``; repeated ids are cut by the same hashes; a ``unit`` must match every text without gaps, else what it
-skips would be lost, so such texts are plain; an empty table gives an empty result; other columns pass through, those named as a result give way,
-in any case of letters.
+as ``<seed>:``; repeated ids are cut by the same hashes; a text in which ``unit`` leaves gaps is plain, so that nothing is
+lost, and its n null; an empty table gives an empty result; other columns pass through, those named as a result give way, in any case of letters.
 """
 
 from __future__ import annotations
@@ -82,7 +81,7 @@ def fill_in_middle(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     for form, order in parts.items():
         output = output.when(col("form") == form, F.concat(*(x for mark, part in order for x in (F.lit(mark), col(part)))))
     chars = lambda part: F.when(col("form") != "plain", F.char_length(col(part)).cast("long"))
-    return out.select(*(F.col(f"`{c}`") for c in kept), col("n").alias("n"), col("form").alias("form"), chars("prefix").alias("prefix_chars"), chars("middle").alias("middle_chars"), output.alias("output"))
+    return out.select(*(F.col(f"`{c}`") for c in kept), F.when(whole, col("n")).alias("n"), col("form").alias("form"), chars("prefix").alias("prefix_chars"), chars("middle").alias("middle_chars"), output.alias("output"))
 
 
 def restored(output: Column, form: Column) -> Column:

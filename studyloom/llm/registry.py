@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, divergence, fill_in_middle, jaccard_join, line_dedup, quality_rules, source_mix, substring_dedup, token_count, toxicity, warc_audit
+from . import chat_format, decontaminate, divergence, fill_in_middle, jaccard_join, line_crf, line_dedup, quality_rules, source_mix, substring_dedup, token_count, toxicity, warc_audit
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_jaccard_join": jaccard_join.op9_jaccard_join,
     "op10_chat_format": chat_format.op10_chat_format,
     "op11_source_divergence": divergence.op11_source_divergence,
+    "op12_quality_classifier": line_crf.op12_quality_classifier,
     "op13_fill_in_middle": fill_in_middle.op13_fill_in_middle,
 }
 SQL = {

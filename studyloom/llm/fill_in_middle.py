@@ -65,16 +65,16 @@ def fill_in_middle(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     at = lambda c: (col(c) / F.lit(BLOCK)).cast("int")
     out = add(out, pa=at("a"), pb=at("b"), ua=(col("a") % BLOCK).cast("int"), ub=(col("b") % BLOCK).cast("int"))
     out = add(out, **{f"in{c}": _units(F.coalesce(F.get(col("pieces"), col(f"p{c}")), F.lit("")), unit) for c in "ab"})
-    rest = 2**31 - 1
     joined = lambda array, start, length: F.array_join(F.slice(array, start, length), "")
+    after = lambda array, place: joined(col(array), place + 1, F.size(col(array)))
     same = col("pa") == col("pb")
     out = add(
         out,
         prefix=F.concat(joined(col("pieces"), F.lit(1), col("pa")), joined(col("ina"), F.lit(1), col("ua"))),
         middle=F.when(same, joined(col("ina"), col("ua") + 1, col("ub") - col("ua"))).otherwise(
-            F.concat(joined(col("ina"), col("ua") + 1, F.lit(rest)), joined(col("pieces"), col("pa") + 2, F.greatest(col("pb") - col("pa") - 1, F.lit(0))), joined(col("inb"), F.lit(1), col("ub")))
+            F.concat(after("ina", col("ua")), joined(col("pieces"), col("pa") + 2, F.greatest(col("pb") - col("pa") - 1, F.lit(0))), joined(col("inb"), F.lit(1), col("ub")))
         ),
-        suffix=F.concat(joined(col("inb"), col("ub") + 1, F.lit(rest)), joined(col("pieces"), col("pb") + 2, F.lit(rest))),
+        suffix=F.concat(after("inb", col("ub")), after("pieces", col("pb") + 1)),
     )
     parts = {"psm": ((PREFIX, "prefix"), (SUFFIX, "suffix"), (MIDDLE, "middle")), "spm": ((SUFFIX, "suffix"), (PREFIX, "prefix"), (MIDDLE, "middle"))}
     output = F.when(col("form") == "plain", col("text"))

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Full-width forms and their half-width counterparts.
 FULL_WIDTH = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
@@ -95,10 +98,24 @@ def sentences(x: Column) -> Column:
     return F.filter(F.split(x, r"(?<=[。！？；\n.!?;])"), lambda s: F.trim(s) != "")
 
 
+def bare_array(x: pa.Array) -> pa.Array:
+    """Texts in compatibility form (NFKC), lower case, without blanks, punctuation and symbols."""
+    return pc.replace_substring_regex(pc.utf8_lower(pc.utf8_normalize(x, form="NFKC")), r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{FEFF}\p{Z}\p{P}\p{S}]", "")
+
+
+@F.arrow_udf(T.StringType())
+def bare(x: pa.Array) -> pa.Array:
+    """``bare_array`` as a column; no built-in function normalises to NFKC."""
+    return bare_array(x)
+
+
 def word_in(text: Column, term: Column) -> Column:
-    """Short terms (up to 3 characters) count at word bounds only, longer ones anywhere; case doesn't count."""
-    bounded = F.concat(F.lit(r"(?i)(^|[^\p{L}\p{N}])\Q"), term, F.lit(r"\E($|[^\p{L}\p{N}])"))
-    return F.when(F.length(term) <= 3, F.rlike(text, bounded)).otherwise(F.contains(F.lower(text), F.lower(term)))
+    """ASCII letters and digits up to 4 characters count at word bounds only, in any case; other terms anywhere once both
+    are ``bare``, if two characters are left of them."""
+    trimmed = F.regexp_replace(term, r"^\s+|\s+$", "")
+    bounded = F.concat(F.lit("(?i)(^|[^a-z0-9])"), trimmed, F.lit("($|[^a-z0-9])"))
+    key = bare(trimmed)
+    return F.when(F.rlike(trimmed, F.lit("^[A-Za-z0-9]{1,4}$")), F.rlike(text, bounded)).otherwise((F.length(key) >= 2) & F.contains(bare(text), key))
 
 
 def json_number(text: Column, path: str) -> Column:

@@ -13,7 +13,7 @@ from ..sources.tables import scan
 REGISTRY = Registry()
 QUERIES, SQL, query = REGISTRY.queries, REGISTRY.sql, REGISTRY.query
 
-from ..functions.columns import bigrams, cosine, first_rule, fuzzy_match, jaccard, similarity, stable_id, title_key, usable_vector, word_in  # noqa: E402
+from ..functions.columns import bigrams, cosine, first_rule, fuzzy_match, jaccard, similarity, stable_id, title_key, usable_vector  # noqa: E402
 
 DIM = 64
 
@@ -244,61 +244,3 @@ def safety_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = scan(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
     said = F.col("role") == "assistant"
     return c.select("conv_id", "turn", "role", F.when(~said, first_pattern(F.col("text"), INJECTION)).alias("injection"), F.when(said, first_pattern(F.col("text"), UNSAFE)).alias("unsafe"))
-
-
-def terms_in(texts: DataFrame, terms: DataFrame) -> DataFrame:
-    """(text, term) for each distinct text (text) and term (term) that it holds by ``word_in``.
-
-    A term is looked up by its rarest trigram among the terms (a shorter term by itself), among the texts'
-    distinct grams of one to three characters, and verified."""
-    low = F.lower("term")
-    size = F.least(F.length(low), F.lit(3))
-    grams = terms.where("length(term) > 0").distinct().select("term", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(low) - size + 1), lambda i: F.substring(low, i, size)))).alias("gram"))
-    often = grams.groupBy("gram").agg(F.count("*").alias("often"))
-    keyed = grams.join(often, "gram").groupBy("term").agg(F.min(F.struct("often", "gram"))["gram"].alias("gram"))
-    lower = F.lower("text")
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(lower)))
-    held = texts.where("text is not null").distinct().select("text", F.explode(F.array_distinct(F.flatten(F.transform(starts, lambda i: F.array(*(F.substring(lower, i, F.lit(k)) for k in (1, 2, 3))))))).alias("gram"))
-    return held.join(keyed, "gram").where(word_in(F.col("text"), F.col("term"))).select("text", "term")
-
-
-@query("""
-WITH t AS (SELECT DISTINCT p_name AS term FROM part) SELECT conv_id, turn, role, (SELECT term FROM t WHERE CASE WHEN length(term) <= 3 THEN false ELSE contains(lower(text), lower(term)) END ORDER BY length(term) DESC, term LIMIT 1) AS leak FROM conversations""")
-def leak_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The longest of all terms that a text gives away, the first of equally long ones."""
-    c = scan(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
-    hits = terms_in(c.select("text"), scan(spark, sf_dir, "part", F.col("p_name").alias("term")))
-    best = hits.groupBy("text").agg(F.min_by("term", F.struct(-F.length("term"), "term")).alias("leak"))
-    return c.join(best, "text", "left").select("conv_id", "turn", "role", "leak")
-
-
-def quotes(docs: DataFrame, items: DataFrame, head: int = 5) -> DataFrame:
-    """(doc_id, item_id) where the words of a whole item (item_id, text) stand one after another in a document (doc_id, text).
-
-    Items are found by their first ``head`` words (or fewer) among the documents' windows of as many words, then
-    compared whole."""
-    words = lambda c: F.regexp_extract_all(c, F.lit(r"\S+"), F.lit(0))
-    i = items.select("item_id", words(F.col("text")).alias("iw")).where("size(iw) > 0").withColumn("k", F.least(F.size("iw"), F.lit(head)))
-    i = i.select("item_id", "iw", "k", F.xxhash64(F.array_join(F.slice("iw", F.lit(1), F.col("k")), " ")).alias("x"))
-    widths = [r.k for r in i.select("k").distinct().collect()]  # at most ``head`` numbers
-    d = docs.select("doc_id", words(F.col("text")).alias("dw"))
-
-    def windows(k):
-        heads = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("dw") - k + 1)), lambda p: F.struct(F.lit(k).alias("k"), F.xxhash64(F.array_join(F.slice("dw", p, F.lit(k)), " ")).alias("x")))
-        return F.when(F.size("dw") >= k, heads)
-
-    at = [windows(k) for k in widths]
-    seen = d.select("doc_id", F.explode(F.array_distinct(F.flatten(F.array_compact(F.array(*at))))).alias("w")).select("doc_id", "w.k", "w.x") if widths else d.select("doc_id", F.lit(0).alias("k"), F.lit(0).cast("long").alias("x")).limit(0)
-    pairs = seen.join(i, ["k", "x"]).join(d, "doc_id")
-    joined = lambda c: F.concat(F.lit(" "), F.array_join(c, " "), F.lit(" "))
-    return pairs.where(F.contains(joined("dw"), joined("iw"))).select("doc_id", "item_id").distinct()
-
-
-@query(r"""
-WITH d AS (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(text, '[^\t\n\x0B\f\r ]+'), ' ') || ' ' AS t FROM documents), b AS (SELECT item_id, ' ' || array_to_string(regexp_extract_all(text, '[^\t\n\x0B\f\r ]+'), ' ') || ' ' AS t FROM benchmark)
-SELECT b.item_id, count(d.doc_id) AS n_docs, min(d.doc_id) AS first_doc FROM b LEFT JOIN d ON contains(d.t, b.t) GROUP BY b.item_id""")
-def quoted_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many documents hold an item's whole text, word for word, and the first of them."""
-    b = scan(spark, sf_dir, "benchmark", "item_id", "text")
-    found = quotes(scan(spark, sf_dir, "documents", "doc_id", "text"), b)
-    return b.select("item_id").join(found, "item_id", "left").groupBy("item_id").agg(F.count("doc_id").alias("n_docs"), F.min("doc_id").alias("first_doc"))

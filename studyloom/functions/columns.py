@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Sequence
 
 import pyarrow as pa
@@ -100,7 +101,8 @@ def sentences(x: Column) -> Column:
 
 def bare_array(x: pa.Array) -> pa.Array:
     """Texts in compatibility form (NFKC), lower case, without blanks, punctuation and symbols."""
-    return pc.replace_substring_regex(pc.utf8_lower(pc.utf8_normalize(x, form="NFKC")), r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{FEFF}\p{Z}\p{P}\p{S}]", "")
+    composed = pa.array([t if t is None or t.isascii() else unicodedata.normalize("NFKC", t) for t in x.to_pylist()], pa.string())
+    return pc.replace_substring_regex(pc.utf8_lower(composed), r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{FEFF}\p{Z}\p{P}\p{S}]", "")
 
 
 @F.arrow_udf(T.StringType())

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ..operators import activity, catalog, folds, graph, loads, scoring, search, temporal, terms, texts, validation
+from ..operators import activity, catalog, folds, graph, loads, resolve, scoring, search, temporal, terms, texts, validation
 from ..streaming import incremental
 
-_MODULES = (activity, catalog, temporal, graph, search, terms, folds, scoring, validation, texts, loads, incremental)
+_MODULES = (activity, catalog, temporal, graph, search, terms, resolve, folds, scoring, validation, texts, loads, incremental)
 QUERIES: dict = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 SQL: dict[str, str] = {name: s for m in _MODULES for name, s in m.SQL.items()} | {"stream_reviews": folds.SQL["sm2"]}

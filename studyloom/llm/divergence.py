@@ -40,8 +40,8 @@ TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes of text that a task counts at once.
 PIECE = 32 << 20
-#: Kept counts in one shard of the divergence step.
-SHARD_ROWS = 1 << 19
+#: Kept counts in one shard of the divergence step; each shard yields sums for all pairs of sources, so shards are few.
+SHARD_ROWS = 1 << 17
 
 #: The empty term, which no text holds, stands for the group itself and keeps groups without terms.
 COUNT = f"""
@@ -127,7 +127,7 @@ def divergence(docs: DataFrame, text: str = "text", lang: str = "lang", source:
     vocabulary = sums.where("source is null").select(F.col("lang").alias("l"), F.col("terms").alias("v"))
     stats = written(sums.join(vocabulary, F.col("lang") == F.col("l"), "left").select("lang", "source", "total", F.coalesce("v", F.lit(0)).cast("long").alias("terms")), "groups")
 
-    shards = max(int(kept.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-kept.count() // SHARD_ROWS))
+    shards = max(1, -(-kept.count() // SHARD_ROWS))
     none = F.lit(None)
     counts = kept.where(is_term).select(F.pmod(F.xxhash64("lang", "term"), F.lit(shards)).cast("int").alias("shard"), "lang", "source", "term", "n", none.cast("long").alias("total"), none.cast("long").alias("terms"))
     to_all = stats.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "lang", "source", none.cast("string").alias("term"), none.cast("long").alias("n"), "total", "terms")

@@ -170,6 +170,12 @@ def permitted(intent, phase):
     return F.coalesce(F.array_contains(F.try_element_at(_listed(PERMISSIONS), intent.cast("string")), phase.cast("string")), F.lit(False))
 
 
+def wanted_phase(event_type):
+    """The phase that an event of the tables stands for."""
+    names = {"view": "exam", "click": "tests", "purchase": "diagnosis", "signup": "treatment", "error": "scoring"}
+    return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in names.items() for x in kv)), event_type), F.lit("history"))
+
+
 def replay_phases(events: DataFrame, by: list[str], order: list[str], wanted: str, start: str = "intro") -> DataFrame:
     """The phase each session is in after its wanted phases in order; moves that aren't allowed are counted and ignored."""
     allowed = _listed(TRANSITIONS)
@@ -192,9 +198,7 @@ f AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS i, 'intro' AS phase, 0 AS re
 SELECT user_id, phase, refused FROM f QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY i DESC) = 1""")
 def phases(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = scan(spark, sf_dir, "events", "user_id", "ts", "event_id", "event_type")
-    names = {"view": "exam", "click": "tests", "purchase": "diagnosis", "signup": "treatment", "error": "scoring"}
-    wanted = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in names.items() for x in kv)), F.col("event_type")), F.lit("history"))
-    return replay_phases(e.withColumn("w", wanted), ["user_id"], ["ts", "event_id"], "w")
+    return replay_phases(e.withColumn("w", wanted_phase(F.col("event_type"))), ["user_id"], ["ts", "event_id"], "w")
 
 
 @query("""

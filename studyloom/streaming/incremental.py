@@ -22,9 +22,9 @@ EVENTS = T.StructType([
 ])
 
 
-def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table as a stream, with an event time that watermarks accept."""
-    return spark.readStream.schema(EVENTS).option("pathGlobFilter", "events*.parquet").parquet(sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+def event_stream(spark: SparkSession, sf_dir: str, files: int = 1000) -> DataFrame:
+    """The events table as a stream of ``files`` files a batch, with an event time that watermarks accept."""
+    return spark.readStream.schema(EVENTS).option("pathGlobFilter", "events*.parquet").option("maxFilesPerTrigger", files).parquet(sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def tumbling_counts(events: DataFrame, late: str = "1 day") -> DataFrame:
@@ -82,13 +82,13 @@ def review_states(events: DataFrame) -> DataFrame:
     return e.groupBy("user_id").applyInPandasWithState(advance, "user_id long, interval long, ease double, reps long", "interval long, ease double, reps long", "update", GroupStateTimeout.NoTimeout)
 
 
-def run_once(spark: SparkSession, sf_dir: str, transform: Callable[[DataFrame], DataFrame], mode: str = "complete", keys: list[str] | None = None) -> DataFrame:
+def run_once(spark: SparkSession, sf_dir: str, transform: Callable[[DataFrame], DataFrame], mode: str = "complete", keys: list[str] | None = None, files: int = 1000) -> DataFrame:
     """The result of a transformation after the whole stream, as a Parquet table in the shared folder.
 
     Each micro-batch overwrites a folder of its own, so one that is run again leaves no second copy. Of a complete
     result the last batch counts, of appended rows all, of updated ones the last of each of ``keys``."""
     where = f"{shared_folder(spark)}/stream-{uuid4().hex}"
-    result = transform(event_stream(spark, sf_dir))
+    result = transform(event_stream(spark, sf_dir, files))
 
     def save(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{where}/out/n={number}")

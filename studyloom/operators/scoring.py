@@ -58,21 +58,29 @@ def _any(conditions):
     return out
 
 
-def synonyms(a, b, groups=SYNONYMS):
-    """Whether two normalised names are of one group."""
-    known = [F.array(*(normalised(F.lit(t)) for t in group)) for group in groups]
-    return _any(F.array_contains(g, a) & F.array_contains(g, b) for g in known)
+def _groups(groups=SYNONYMS):
+    """A map from normalised names to the numbers of their groups."""
+    known: dict[str, list[int]] = {}
+    for k, group in enumerate(groups):
+        for t in group:
+            known.setdefault(t, []).append(k)
+    return F.map_from_entries(F.array(*(F.struct(normalised(F.lit(t)).alias("key"), F.array(*map(F.lit, ks)).alias("value")) for t, ks in known.items())))
 
 
-def names(item, main: str, aliases: str):
-    """The normalised names of an item: its own and the aliases."""
-    return F.transform(F.concat(F.array(_text(item[main])), _list(item[aliases])), normalised)
+def named(text, groups):
+    """A struct (name, groups): a text normalised once, and the groups of synonyms that hold it (``groups``: their map)."""
+    name = normalised(_text(text))
+    return F.transform(F.array(name), lambda n: F.struct(n.alias("name"), F.coalesce(F.try_element_at(groups, n), F.array().cast("array<int>")).alias("groups")))[0]
 
 
-def same_diagnosis(given, item):
-    """Whether a given text names a differential diagnosis: equal to a name of it, or a synonym of one."""
-    g = normalised(_text(given))
-    return F.exists(names(item, "diagnosis", "aliases"), lambda x: (g == x) | synonyms(g, x))
+def names(item, main: str, aliases: str, groups):
+    """The names of an item, its own and the aliases, as ``named`` structs."""
+    return F.transform(F.concat(F.array(_text(item[main])), _list(item[aliases])), lambda x: named(x, groups))
+
+
+def same_name(given, others):
+    """Whether a ``named`` text is equal to one of the others or its synonym."""
+    return F.exists(others, lambda x: (given["name"] == x["name"]) | F.arrays_overlap(given["groups"], x["groups"]))
 
 
 def reasoning_points(text):
@@ -83,49 +91,60 @@ def reasoning_points(text):
     return F.when(n < 5, 0).when((hits >= 2) | (n > 30), 2).when((hits >= 1) | (n > 15), 1).otherwise(0)
 
 
-def diagnosis_score(submission, truth, points):
+def prepared(submission, truth, groups):
+    """All names of a case normalised once, before they are compared with each other: columns for the scores."""
+    given = lambda d: F.struct(named(d["diagnosis"], groups).alias("is"), reasoning_points(d["reasoning"]).alias("points"))
+    known = lambda d: F.struct(names(d, "diagnosis", "aliases", groups).alias("names"), F.coalesce(d["mustExclude"], F.lit(False)).alias("must"))
+    plain = lambda x: normalised(x)
+    action = lambda t: F.struct(F.transform(F.concat(F.array(_text(t["action"])), _list(t["aliases"])), plain).alias("names"), _or0(t["penalty"]).alias("penalty"))
+    critical = lambda t: F.transform(F.concat(F.array(_text(t["action"])), _list(t["aliases"])), plain)
+    meant = lambda g: F.struct(normalised(g).alias("name"), (~_any(F.contains(g, F.lit(w)) for w in NEGATIONS)).alias("meant"))
+    return {
+        "main": named(submission["primaryDiagnosis"], groups), "primary": normalised(_text(truth["diagnosis"]["primary"])), "own": names(truth["diagnosis"], "primary", "primaryAliases", groups),
+        "given": F.transform(_list(submission["differentials"]), given), "known": F.transform(_list(truth["differentials"]), known),
+        "shown": F.transform(_list(submission["evidence"]), plain), "wanted": F.transform(_list(truth["evidence"]), plain),
+        "treatments": F.transform(_list(submission["treatments"]), meant), "critical": F.transform(_list(truth["treatment"]["critical"]), critical), "dangerous": F.transform(_list(truth["treatment"]["dangerous"]), action),
+    }
+
+
+def diagnosis_score(x, points):
     """The ladder of the main diagnosis: a name or synonym of it, nearly so (over 0.7), of its kind, a differential, wrong."""
-    given, main = normalised(_text(submission["primaryDiagnosis"])), normalised(_text(truth["diagnosis"]["primary"]))
-    own = names(truth["diagnosis"], "primary", "primaryAliases")
+    given, main = x["main"]["name"], x["primary"]
     longer = F.greatest(F.length(given), F.length(main))
     near = F.when(F.contains(given, main) | F.contains(main, given), F.least(F.length(given), F.length(main)) / F.greatest(longer, F.lit(1))).otherwise(similarity(given, main))
     kind = _any(F.contains(given, F.lit(k)) & F.contains(main, F.lit(k)) for k in KINDS)
-    other = F.exists(_list(truth["differentials"]), lambda d: same_diagnosis(submission["primaryDiagnosis"], d))
-    exact = F.exists(own, lambda x: (given == x) | synonyms(given, x))
-    return F.when(exact, points["exactMatch"]).when(near > 0.7, points["partialMatch"]).when(kind, points["categoryMatch"]).when(other, points["hitDifferential"]).otherwise(points["wrong"])
+    other = F.exists(x["known"], lambda d: same_name(x["main"], d["names"]))
+    return F.when(same_name(x["main"], x["own"]), points["exactMatch"]).when(near > 0.7, points["partialMatch"]).when(kind, points["categoryMatch"]).when(other, points["hitDifferential"]).otherwise(points["wrong"])
 
 
-def differential_score(submission, truth, points):
+def differential_score(x, points):
     """4 points and up to 2 for its reasoning for each given differential that takes one of the truth's, the first still
     free; missingCritical for each that must be excluded and is not named; 0 to the weight."""
-    known, given = _list(truth["differentials"]), _list(submission["differentials"])
+    known, given = x["known"], x["given"]
 
     def step(s, g):
-        free = F.filter(F.sequence(F.lit(1), F.greatest(F.size(known), F.lit(1))), lambda i: (i <= F.size(known)) & ~F.array_contains(s["used"], i) & F.coalesce(same_diagnosis(g["diagnosis"], F.get(known, i - 1)), F.lit(False)))
+        free = F.filter(F.sequence(F.lit(1), F.greatest(F.size(known), F.lit(1))), lambda i: (i <= F.size(known)) & ~F.array_contains(s["used"], i) & F.coalesce(same_name(g["is"], F.get(known, i - 1)["names"]), F.lit(False)))
         hit = F.size(free) > 0
-        return F.struct(F.when(hit, F.array_append(s["used"], F.get(free, F.lit(0)))).otherwise(s["used"]).alias("used"), F.when(hit, s["points"] + 4 + reasoning_points(g["reasoning"])).otherwise(s["points"]).alias("points"))
+        return F.struct(F.when(hit, F.array_append(s["used"], F.get(free, F.lit(0)))).otherwise(s["used"]).alias("used"), F.when(hit, s["points"] + 4 + g["points"]).otherwise(s["points"]).alias("points"))
 
     met = F.aggregate(given, F.struct(F.array().cast("array<int>").alias("used"), F.lit(0).alias("points")), step)["points"]
-    missed = F.filter(known, lambda d: F.coalesce(d["mustExclude"], F.lit(False)) & ~F.exists(given, lambda g: same_diagnosis(g["diagnosis"], d)))
+    missed = F.filter(known, lambda d: d["must"] & ~F.exists(given, lambda g: same_name(g["is"], d["names"])))
     return clamp(met + F.size(missed) * points["missingCritical"], 0, points["weight"])
 
 
-def evidence_score(submission, truth, points):
+def evidence_score(x, points):
     """The share of the truth's evidence that is met, each item once, of the weight."""
-    wanted = _list(truth["evidence"])
-    met = F.size(greedy_matches(_list(submission["evidence"]), wanted, lambda a, b: fuzzy_match(normalised(a), normalised(b))))
-    return F.when(F.size(wanted) > 0, half_up(met / F.size(wanted) * points["weight"])).otherwise(0).cast("long")
+    met = F.size(greedy_matches(x["shown"], x["wanted"], fuzzy_match))
+    return F.when(F.size(x["wanted"]) > 0, half_up(met / F.size(x["wanted"]) * points["weight"])).otherwise(0).cast("long")
 
 
-def treatment_score(submission, truth, points):
+def treatment_score(x, points):
     """An equal share of the weight for each critical treatment that is met, less the penalty of each dangerous one
     for each given treatment that names it without a negation; 0 to the weight."""
-    given, critical = _list(submission["treatments"]), _list(truth["treatment"]["critical"])
-    fits = lambda g, item: F.exists(names(item, "action", "aliases"), lambda x: fuzzy_match(normalised(g), x))
-    met = F.size(F.filter(critical, lambda c: F.exists(given, lambda g: fits(g, c))))
-    meant = F.filter(given, lambda g: ~_any(F.contains(g, F.lit(w)) for w in NEGATIONS))
-    lost = F.aggregate(_list(truth["treatment"]["dangerous"]), F.lit(0.0), lambda s, d: s + F.size(F.filter(meant, lambda g: fits(g, d))) * _or0(d["penalty"]))
-    gained = F.when(F.size(critical) > 0, met * points["weight"] / F.size(critical)).otherwise(0.0)
+    fits = lambda g, named_: F.exists(named_, lambda n: fuzzy_match(g["name"], n))
+    met = F.size(F.filter(x["critical"], lambda c: F.exists(x["treatments"], lambda g: fits(g, c))))
+    lost = F.aggregate(x["dangerous"], F.lit(0.0), lambda s, d: s + F.size(F.filter(x["treatments"], lambda g: g["meant"] & fits(g, d["names"]))) * d["penalty"])
+    gained = F.when(F.size(x["critical"]) > 0, met * points["weight"] / F.size(x["critical"])).otherwise(0.0)
     return half_up(clamp(gained - lost, 0, points["weight"])).cast("long")
 
 
@@ -137,7 +156,10 @@ def score_submissions(cases: DataFrame) -> DataFrame:
     """``cases`` (submission, truth, rubric) with a score for each dimension, total_score, max_score, grade, strengths and weaknesses."""
     sub, truth, rubric = F.col("submission"), F.col("truth"), F.col("rubric")
     parts = {"diagnosis": diagnosis_score, "differential": differential_score, "evidence": evidence_score, "treatment": treatment_score}
-    out = cases.withColumns({f"{k}_score": f(sub, truth, rubric[k]).cast("long") for k, f in parts.items()})
+    ready = cases.withColumn("__groups", _groups())
+    ready = ready.withColumns({f"__{k}": c for k, c in prepared(sub, truth, F.col("__groups")).items()})
+    x = {c[2:]: F.col(c) for c in ready.columns if c.startswith("__")}
+    out = ready.withColumns({f"{k}_score": f(x, rubric[k]).cast("long") for k, f in parts.items()}).drop(*(c for c in ready.columns if c.startswith("__")))
     total, most = sum((F.col(f"{k}_score") for k in parts), F.lit(0)), sum((rubric[k]["weight"] for k in parts), F.lit(0))
     strong = F.array(*(F.struct(F.lit(k).alias("name"), (F.col(f"{k}_score") >= rubric[k]["weight"] * share).alias("is")) for k, share in STRONG.items()))
     out = out.withColumns({"total_score": total.cast("long"), "max_score": most.cast("long"), "strengths": F.filter(strong, lambda x: x["is"])["name"], "weaknesses": F.filter(strong, lambda x: ~x["is"])["name"]})

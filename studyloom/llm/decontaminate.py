@@ -5,9 +5,10 @@ suffix array orders the start of every word by the words that follow, up to the
 sorted by the first three words, then refined by doubling where suffixes still tie, as deep as the
 longest item. All suffixes of the benchmark are binary-searched at once: the neighbours of the
 insertion point give the longest verbatim match of each suffix, and a second search bounds the range
-of suffixes that start with a whole window, which are all its occurrences. A document lies in one
-shard, so nothing is shuffled; the benchmark goes out in blocks of at most ITEM_BYTES of text, one scan
-of the documents per block (one block up to 32 MB), and the blocks' hits are merged per document.
+of suffixes that start with a whole window, which are all its occurrences. Windows that several items share
+are searched out once. A document lies in one shard, so nothing is shuffled; the benchmark goes out in blocks of at
+most ITEM_BYTES of text (one block up to 32 MB). Of several blocks each scans the documents and its hits are
+written before the next one is read; then they are put together by document.
 
 Words are compared by 64-bit hashes of their lower-cased bytes. Defined results: null or blank texts
 have no words and are clean; items without words match nothing; every text of an id is searched and the id
@@ -18,6 +19,8 @@ extra columns pass through, and a column named as a result gives way to it.
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -26,7 +29,7 @@ from pyspark.sql import types as T
 
 from .arrow import with_computed
 from .kernels import ALNUM, buffers, byte_table, row_of, span_hashes, words
-from .shared import table
+from .shared import prefix_for, table, written
 
 WINDOW = 10
 #: Text of the benchmark that is sent to the tasks at once.
@@ -122,16 +125,27 @@ def _items(ids: list, texts: list, window: int) -> dict:
     width = np.minimum(window, n)[row]
     names = [None if i is None else str(i) for i in ids]
     at = {name: k for k, name in enumerate(dict.fromkeys(names))}
-    return {"ids": list(at), "id_of": np.array([at[name] for name in names], np.int64), "words": span_hashes(data, starts, ends, byte_table(lower=True)), "row": row, "left": left, "width": width, "longest": int(n.max(initial=0))}
+    return {"ids": list(at), "id_of": np.array([at[name] for name in names], np.int64), "words": span_hashes(data, starts, ends, byte_table(lower=True)), "row": row, "left": left, "width": width, "window": window, "longest": int(n.max(initial=0))}
+
+
+def _ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of all ranges lo to hi, one after another, and the range that each belongs to."""
+    count = hi - lo
+    which = np.repeat(np.arange(len(lo)), count)
+    return lo[which] + np.arange(len(which)) - (np.cumsum(count) - count)[which], which
+
 
+def _shard_hits(data: np.ndarray, off: np.ndarray, items: dict) -> dict:
+    """Of a shard: first (the first word of each row), hit (by word), pairs (row, number of the item's id) and best (row, its longest
+    match's words, first word and item word).
 
-def _shard_hits(data: np.ndarray, off: np.ndarray, items: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple]:
-    """(first word of each row, hit words, occurrences' words, (place of each, item, item word))."""
+    Equal windows of several items are one: their occurrences are listed once, not once for each item."""
     starts, ends, first = words(data, off, ALNUM)
     hit = np.zeros(len(starts), bool)
     none = np.zeros(0, np.int64)
+    out = {"first": first, "hit": hit, "pairs": (none, none), "best": (none, none, none, none)}
     if not len(starts) or not len(items["words"]):
-        return first, hit, none, (none, none)
+        return out
     # dense symbols: even for the shard's words, odd for an item's word that the shard lacks; 0 ends a document
     own, inverse = np.unique(span_hashes(data, starts, ends, byte_table(lower=True)), return_inverse=True)
     row = row_of(np.arange(len(starts)), first)
@@ -147,16 +161,65 @@ def _shard_hits(data: np.ndarray, off: np.ndarray, items: dict) -> tuple[np.ndar
     longest = np.maximum(_common(codes, sa, spot, query, at, left), _common(codes, sa, spot - 1, query, at, left))
     whole = (longest >= width) & (left >= width)
     at, width = at[whole], width[whole]
+    if not len(at):
+        return out
     lo, hi = _search(codes, sa, query, at, width, False), _search(codes, sa, query, at, width, True)
-    count = hi - lo
-    which = np.repeat(np.arange(len(at)), count)
-    occ = sa[np.repeat(lo - np.concatenate([[0], np.cumsum(count)[:-1]]) if len(count) else lo, count) + np.arange(int(count.sum()))]
+    _, some, window = np.unique(np.stack([lo, width]), axis=1, return_index=True, return_inverse=True)
+    window = window.ravel()
+    where, which = _ranges(lo[some], hi[some])
+    occ = sa[where]
     word = occ - np.searchsorted(np.flatnonzero(codes == 0), occ)  # back to word indexes
+    wide = width[some][which]
     marks = np.zeros(len(starts) + 1, np.int64)
     np.add.at(marks, word, 1)
-    np.add.at(marks, word + width[which], -1)
-    hit = np.cumsum(marks)[:-1] > 0
-    return first, hit, word, (at[which], width[which])
+    np.add.at(marks, word + wide, -1)
+    out["hit"] = np.cumsum(marks)[:-1] > 0
+
+    # each row's windows once, then their items
+    seen = np.unique(np.stack([row[word], which]), axis=1)
+    names = np.unique(np.stack([window, items["id_of"][items["row"][at]]]), axis=1)
+    edge = np.searchsorted(names[0], np.arange(len(some) + 1))
+    where, k = _ranges(edge[seen[1]], edge[seen[1] + 1])
+    pairs = np.unique(seen[0][k] * len(items["ids"]) + names[1][where])
+    out["pairs"] = (pairs // len(items["ids"]), pairs % len(items["ids"]))
+    out["best"] = _longest(codes, place, row, word, wide, np.minimum.reduceat(at[np.argsort(window, kind="stable")], np.searchsorted(np.sort(window), np.arange(len(some))))[which], items, query, at)
+    return out
+
+
+def _longest(codes: np.ndarray, place: np.ndarray, row: np.ndarray, word: np.ndarray, wide: np.ndarray, least: np.ndarray, items: dict, query: np.ndarray, at: np.ndarray) -> tuple:
+    """(row, words, first word, item word) of each row's longest match, the earliest of several, in the item that comes first.
+
+    From each word at which a window occurs, the neighbours of the document's suffix among the suffixes of the items that have hits
+    tell how far an item goes on with it."""
+    rows_of_items = np.unique(items["row"][at])
+    member = np.flatnonzero(np.isin(items["row"], rows_of_items))
+    ends_item = np.append(items["row"][member][1:] != items["row"][member][:-1], True)
+    spot = np.arange(len(member)) + np.cumsum(ends_item) - ends_item
+    texts = np.zeros(len(member) + len(rows_of_items), np.int64)
+    texts[spot] = query[member]
+    back = np.zeros(len(texts), np.int64)
+    back[spot] = member
+    isa = suffix_array(texts, items["longest"] + 1)
+    order = np.lexsort((least, -wide, word))
+    head = order[np.concatenate([[True], word[order][1:] != word[order][:-1]])]
+    word, wide, least = word[head], wide[head], least[head]
+    to_end = np.searchsorted(np.flatnonzero(codes == 0), place[word])
+    length = np.flatnonzero(codes == 0)[to_end] - place[word]
+    near = _search(texts, isa, codes, place[word], length, False)
+    common = np.maximum(_common(texts, isa, near, codes, place[word], length), _common(texts, isa, near - 1, codes, place[word], length))
+    goes_on = common >= items["window"]  # so many words begin a window of the item that has them
+    size = np.where(goes_on, common, wide)
+    best = np.lexsort((word, -size, row[word]))
+    best = best[np.concatenate([[True], row[word][best][1:] != row[word][best][:-1]])]
+    item = least[best]
+    far = np.flatnonzero(goes_on[best])
+    if len(far):
+        w, n = place[word[best][far]], size[best][far]
+        lo, hi = _search(texts, isa, codes, w, n, False), _search(texts, isa, codes, w, n, True)
+        bounds, same = np.unique(np.stack([lo, hi]), axis=1, return_inverse=True)
+        least_of = np.minimum.reduceat(np.append(back[isa], np.iinfo(np.int64).max), bounds.T.ravel())[::2]
+        item[far] = least_of[same.ravel()]
+    return row[word[best]], size[best], word[best], item
 
 
 def find_contamination(docs: DataFrame, ids: list, texts: list, text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -166,27 +229,18 @@ def find_contamination(docs: DataFrame, ids: list, texts: list, text_col: str =
 
     def compute(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         data, off = buffers(batch.column(text_col))
-        first, hit, word, (iw, width) = _shard_hits(data, off, items)
-        rows = len(off) - 1
-        hit_at = np.flatnonzero(hit)
+        got = _shard_hits(data, off, items)
+        first, rows = got["first"], len(off) - 1
+        hit_at = np.flatnonzero(got["hit"])
         hit_row = row_of(hit_at, first)
         hits = pa.ListArray.from_arrays(pa.array(np.searchsorted(hit_row, np.arange(rows + 1)), pa.int32()), pa.array(hit_at - first[hit_row], pa.int32()))
-        row, item = row_of(word, first), items["id_of"][items["row"][iw]]
-        pairs = np.unique(np.stack([row, item]), axis=1) if len(row) else np.zeros((2, 0), np.int64)
-        found = pa.ListArray.from_arrays(pa.array(np.searchsorted(pairs[0], np.arange(rows + 1)), pa.int32()), pa.array([items["ids"][i] for i in pairs[1]], pa.string()))
-        # runs of windows on one diagonal are one verbatim match
-        order = np.lexsort((word, word - iw, row))
-        w, q, r, wd = word[order], iw[order], row[order], width[order]
-        fresh = np.concatenate([[True], (w[1:] != w[:-1] + 1) | (q[1:] != q[:-1] + 1) | (r[1:] != r[:-1])]) if len(w) else np.zeros(0, bool)
-        head = np.flatnonzero(fresh)
-        length = np.diff(np.append(head, len(w))) - 1 + wd[head]
-        best = np.lexsort((q[head], w[head], -length, r[head]))
-        top = best[np.concatenate([[True], r[head][best][1:] != r[head][best][:-1]])] if len(best) else best
-        long_n, long_at, long_item = np.zeros(rows, np.int64), np.full(rows, -1), [None] * rows
-        long_n[r[head][top]], long_at[r[head][top]] = length[top], w[head][top] - first[r[head][top]]
-        for k in top:
-            long_item[r[head][k]] = items["ids"][items["id_of"][items["row"][q[head][k]]]]
-        return {"n_words": pa.array(np.diff(first)), "hit_words": hits, "hit_items": found, "longest_words": pa.array(long_n), "longest_at": pa.array(long_at), "longest_item": pa.array(long_item, pa.string())}
+        row, item = got["pairs"]
+        found = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(rows + 1)), pa.int32()), pa.array(items["ids"], pa.string()).take(pa.array(item)))
+        top, size, word, at = got["best"]
+        long_n, long_at, long_item = np.zeros(rows, np.int64), np.full(rows, -1), np.full(rows, -1)
+        long_n[top], long_at[top], long_item[top] = size, word - first[top], items["id_of"][items["row"][at]]
+        named = pa.array(items["ids"], pa.string()).take(pa.array(long_item, mask=long_item < 0))
+        return {"n_words": pa.array(np.diff(first)), "hit_words": hits, "hit_items": found, "longest_words": pa.array(long_n), "longest_at": pa.array(long_at), "longest_item": named}
 
     fields = [T.StructField("n_words", T.LongType()), T.StructField("hit_words", T.ArrayType(T.IntegerType())), T.StructField("hit_items", T.ArrayType(T.StringType())), T.StructField("longest_words", T.LongType()), T.StructField("longest_at", T.LongType()), T.StructField("longest_item", T.StringType())]
     return with_computed(docs, text_col, compute, fields)
@@ -210,17 +264,35 @@ def _item_blocks(benchmark: DataFrame, item_col: str, text_col: str, limit: int)
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, limit: int = ITEM_BYTES) -> DataFrame:
     """``docs`` with n_words, n_hit, hit_items (sorted as strings, null last), contaminated and the longest match's
     longest_words, longest_at and longest_item."""
-    out, part = None, "__part"
-    for ids, texts in _item_blocks(benchmark, item_col, item_text, limit):
-        got = find_contamination(docs if out is None else out, ids, texts, text_col, window)
-        got = got.withColumn(part, F.struct("longest_words", "longest_at", "longest_item"))
-        if out is not None:
-            got = got.withColumn("__hits", F.array_distinct(F.concat("__hits", "hit_words"))).withColumn("__items", F.array_distinct(F.concat("__items", "hit_items"))).withColumn("__best", F.greatest("__best", part))
-        else:
-            got = got.withColumn("__hits", F.col("hit_words")).withColumn("__items", F.col("hit_items")).withColumn("__best", F.col(part))
-        out = got.drop(part)
-    out = out.withColumns({"n_hit": F.size("__hits").cast("long"), "hit_items": F.array_sort("__items"), "longest_words": F.col("__best.longest_words"), "longest_at": F.col("__best.longest_at"), "longest_item": F.col("__best.longest_item")})
-    return out.withColumn("contaminated", F.col("n_hit") > 0).drop("__hits", "__items", "__best", "hit_words")
+    new = ("n_words", "n_hit", "hit_items", "longest_words", "longest_at", "longest_item", "contaminated")
+    h = prefix_for(docs)
+    kept = [c for c in docs.columns if c.lower() not in new]
+    parts = [F.col(c) for c in ("n_words", "hit_words", "hit_items", "longest_words", "longest_at", "longest_item")]
+    # columns get names that clash with none, and their own again at the end; the text goes along once
+    aside = {c: f"{h}text" if c == text_col else f"{h}{k}" for k, c in enumerate(kept)}
+    texts = docs.select(*(F.col(f"`{c}`").alias(name) for c, name in aside.items()), *([] if text_col in aside else [F.col(f"`{text_col}`").alias(f"{h}text")]))
+    blocks = _item_blocks(benchmark, item_col, item_text, limit)
+    ids, some = next(blocks)
+    more = next(blocks, None)
+    if more is None:
+        out = find_contamination(texts, ids, some, f"{h}text", window)
+    else:
+        # several blocks: each one's hits are written, for the documents that have any, and put together by document
+        texts = written(texts.withColumn(f"{h}n", F.monotonically_increasing_id()), "texts")
+        found = []
+        for ids, some in chain([(ids, some), more], blocks):
+            hits = find_contamination(texts.select(f"{h}n", f"{h}text"), ids, some, f"{h}text", window)
+            found.append(written(hits.where("size(hit_words) > 0").select(f"{h}n", *parts[1:]), "hits"))
+        every = found[0].sparkSession.read.schema(found[0].schema).parquet(*(x._written_path for x in found))
+        best = F.max(F.struct("longest_words", (-F.col("longest_at")).alias("later"), "longest_item"))
+        merged = every.groupBy(f"{h}n").agg(F.array_distinct(F.flatten(F.collect_list("hit_words"))).alias("hit_words"), F.array_distinct(F.flatten(F.collect_list("hit_items"))).alias("hit_items"), best.alias("best"))
+        merged = merged.select(f"{h}n", "hit_words", "hit_items", "best.longest_words", (-F.col("best.later")).alias("longest_at"), "best.longest_item")
+        counted = find_contamination(texts, [], [], f"{h}text", window).drop("hit_words", "hit_items", "longest_words", "longest_at", "longest_item")
+        out = counted.join(merged, f"{h}n", "left")
+    n_hit = F.coalesce(F.size("hit_words"), F.lit(0)).cast("long")
+    items = F.array_sort(F.coalesce("hit_items", F.array().cast("array<string>")))
+    out = out.select(*aside.values(), "n_words", n_hit.alias("n_hit"), items.alias("hit_items"), F.coalesce("longest_words", F.lit(0)).alias("longest_words"), F.coalesce("longest_at", F.lit(-1)).alias("longest_at"), "longest_item")
+    return out.select(*(F.col(name).alias(c) for c, name in aside.items()), "n_words", "n_hit", "hit_items", "longest_words", "longest_at", "longest_item", (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -85,3 +85,31 @@ def test_edges(spark, no_docs):
     assert [r.contaminated for r in decontaminate(docs, none).collect()] == [False] * 4
     got = decontaminate(docs, some).collect()
     assert sorted(str(r.doc_id) for r in got if r.contaminated) == ["None"] and all(r.item_id == 9 for r in got)
+
+
+def test_a_head_shared_by_many_items(spark):
+    """Items and occurrences of one window are not multiplied: 20,000 by 20,000 of them in a few documents."""
+    head = "please answer the following question as well as you can"
+    items = [(k, f"{head} item{k} ends") for k in range(20_000)]
+    docs = [(d, " ".join(f"{head} x{d}" for _ in range(4000))) for d in range(5)] + [(9, f"so {head} item77 ends here")]
+    got = decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    rows = {r.doc_id: r for r in got.selectExpr("doc_id", "n_hit", "size(hit_items) as n", "longest_words", "longest_at", "longest_item").collect()}
+    assert all((rows[d].n_hit, rows[d].n, rows[d].longest_words, rows[d].longest_at, rows[d].longest_item) == (40_000, 20_000, 10, 0, "0") for d in range(5))
+    assert (rows[9].n_hit, rows[9].n, rows[9].longest_words, rows[9].longest_at, rows[9].longest_item) == (12, 20_000, 12, 1, "77")
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 200])
+def test_longest_match_and_its_place(spark, limit):
+    items = [(1, "a b c d e f g h i j k l"), (2, "z a b c d e f g h i j q"), (3, "c d"), (4, "b c d e f g h i j k")]
+    docs = [(1, "x a b c d e f g h i j k y"), (2, "c d and c d"), (3, "z a b c d e f g h i j k l"), (4, "nothing")]
+    got = decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), limit=limit).collect()
+    best = {r.doc_id: (r.longest_words, r.longest_at, r.longest_item) for r in got}
+    assert best == {1: (11, 1, "1"), 2: (2, 0, "3"), 3: (12, 1, "1"), 4: (0, -1, None)}
+
+
+def test_clashing_names_pass_through(spark):
+    docs = spark.createDataFrame([(1, "one two", "p", "q", "r", 5)], "doc_id long, text string, __row string, __n string, hit_words string, Longest_At int")
+    got = decontaminate(docs, spark.createDataFrame([(1, "one two")], "item_id long, text string"))
+    assert got.columns == ["doc_id", "text", "__row", "__n", "hit_words", "n_words", "n_hit", "hit_items", "longest_words", "longest_at", "longest_item", "contaminated"]
+    r = got.first()
+    assert (r["__row"], r["__n"], r.hit_words, r.n_hit, r.longest_at) == ("p", "q", "r", 2, 0)

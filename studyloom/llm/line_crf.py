@@ -143,44 +143,51 @@ def with_neighbours(bins: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def _scan(steps: np.ndarray, longest: int) -> np.ndarray:
-    """Products of each matrix with those before it, by doubling; a matrix with equal rows begins anew."""
+def _scan(step: tuple[np.ndarray, ...], longest: int) -> tuple[np.ndarray, ...]:
+    """Products of each 2 x 2 matrix (its four entries, each an array) with those before it, by doubling; a matrix with
+    equal rows begins anew."""
     d = 1
     while d < longest:
-        more = steps.copy()
-        more[d:] = steps[:-d] @ steps[d:]
-        more /= more.max(axis=(1, 2), keepdims=True)
-        steps = more
+        (a, b, c, e), (p, q, r, t) = (x[:-d] for x in step), (x[d:] for x in step)
+        new = (a * p + b * r, a * q + b * t, c * p + e * r, c * q + e * t)
+        total = new[0] + new[1] + new[2] + new[3]
+        for whole, part in zip(step, new, strict=True):
+            whole[d:] = part / total
         d *= 2
-    return steps
+    return step
 
 
 def marginals(emission: np.ndarray, transition: np.ndarray, first: np.ndarray, pairs: bool = False):
-    """P(good) of each line by forward-backward, all texts at once; with ``pairs`` also the sums of P(state before, state).
+    """P(good) of each line by forward-backward, all texts at once; with ``pairs`` also P(state before, state), lines x 4.
 
     ``emission`` is a line's log odds of good by its features, ``transition`` a 2 x 2 matrix of logs (from, to)."""
     n = len(emission)
     if not n:
-        return (np.zeros(0), np.zeros((0, 2, 2))) if pairs else np.zeros(0)
+        return (np.zeros(0), np.zeros((0, 4))) if pairs else np.zeros(0)
     high = np.maximum(emission, 0)
-    state = np.stack([np.exp(-high), np.exp(emission - high)], 1)  # bad, good
-    step = np.exp(transition - transition.max())[None] * state[:, None, :]
+    bad, good = np.exp(-high), np.exp(emission - high)
+    (bb, bg), (gb, gg) = np.exp(transition - transition.max())
     begins, ends, longest = first[:-1], first[1:] - 1, int(np.diff(first).max())
-    step[begins] = state[begins][:, None, :]
-    forward = _scan(step, longest)[:, 0]
-    back = np.ones((n, 2, 2))
-    back[:-1] = step[1:]
-    back[ends] = 1.0
-    backward = _scan(back[::-1].transpose(0, 2, 1), longest)[::-1, 0]  # the transposed products of what follows
-    both = forward * backward
-    good = both[:, 1] / both.sum(1)
+    step = [bb * bad, bg * good, gb * bad, gg * good]  # from bad to bad, bad to good, good to bad, good to good
+    for k, state in enumerate((bad, good, bad, good)):
+        step[k][begins] = state[begins]
+    forward = _scan(tuple(x.copy() for x in step), longest)[:2]
+    after = [np.ones(n) for _ in step]
+    for x, y in zip(after, step, strict=True):
+        x[:-1] = y[1:]
+        x[ends] = 1.0
+    back = _scan(tuple(after[k][::-1].copy() for k in (0, 2, 1, 3)), longest)  # transposed: the products of what follows
+    backward = (back[0][::-1], back[1][::-1])
+    both = forward[1] * backward[1]
+    p_good = both / (forward[0] * backward[0] + both)
     if not pairs:
-        return good
-    joint = np.zeros((n, 2, 2))
-    joint[1:] = forward[:-1, :, None] * step[1:] * backward[1:, None, :]
+        return p_good
+    joint = np.zeros((n, 4))
+    for k, x in enumerate(step):
+        joint[1:, k] = forward[k // 2][:-1] * x[1:] * backward[k % 2][1:]
     joint[begins] = 0
-    total = joint.sum((1, 2), keepdims=True)
-    return good, joint / np.where(total > 0, total, 1)
+    total = joint.sum(1, keepdims=True)
+    return p_good, joint / np.where(total > 0, total, 1)
 
 
 def emissions(index: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -207,7 +214,7 @@ def fit_crf(index: np.ndarray, first: np.ndarray, good: np.ndarray, doc_weight:
         grad = np.empty_like(w)
         grad[:SIZE] = np.bincount(flat, np.repeat(lack, index.shape[1]), SIZE)
         grad[SIZE] = lack.sum()
-        grad[SIZE + 1 :] = (seen - np.einsum("l,lij->ij", per_line, joint)).ravel()[1:]
+        grad[SIZE + 1 :] = (seen.ravel() - per_line @ joint)[1:]
         grad -= L2 * w
         m, s = 0.9 * m + 0.1 * grad, 0.99 * s + 0.01 * grad * grad
         w += RATE * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-8)

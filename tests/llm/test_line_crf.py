@@ -35,7 +35,7 @@ def test_forward_backward_equals_enumeration():
     good, pairs = C.marginals(emission, transition, first, pairs=True)
     for a, b in itertools.pairwise(first):
         want = enumerated(emission[a:b], transition)
-        assert np.allclose(good[a:b], want[0]) and np.allclose(pairs[a:b], want[1])
+        assert np.allclose(good[a:b], want[0]) and np.allclose(pairs[a:b], want[1].reshape(-1, 4))
     extreme = C.marginals(np.array([800.0, -800, 800, 0]), np.array([[0.0, -50], [-50, 0]]), np.array([0, 4]))
     assert np.isfinite(extreme).all()
 

@@ -55,6 +55,62 @@ def idempotent_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load_report(p, load_section(once, source, "p_partkey", "p_brand"), source, "p_partkey", "p_brand")
 
 
+def cascade_delete(tables: dict[str, DataFrame], references: list[tuple[str, str, str, str]], start: str, doomed: str) -> dict[str, DataFrame]:
+    """The tables after the rows of ``start`` that the condition ``doomed`` holds for are deleted, and with them all rows that refer to a
+    deleted one, along ``references``: (child, column, parent, parent's column). A null refers to nothing.
+
+    Keys go from table to table, each table is read once for each reference and joined by its key. A table that leads back to
+    itself is an error, as its depth is not known."""
+    children: dict[str, list] = {}
+    for child, column, parent, key in references:
+        children.setdefault(parent, []).append((child, column, key))
+    order, open_ = [], []
+
+    def visit(name: str) -> None:
+        if name in open_:
+            raise ValueError("tables refer to each other in a circle: " + " > ".join([*open_[open_.index(name) :], name]))
+        if name not in order:
+            open_.append(name)
+            for child, *_ in children.get(name, []):
+                visit(child)
+            open_.pop()
+            order.insert(0, name)  # parents before their children
+
+    visit(start)
+    gone = {start: tables[start].where(F.coalesce(F.expr(doomed), F.lit(False)))}
+    out = dict(tables) | {start: tables[start].where(~F.coalesce(F.expr(doomed), F.lit(False)))}
+    for name in order:
+        marks = [(column, gone[parent].select(F.col(key).alias(column)).where(F.col(column).isNotNull()).distinct()) for child, column, parent, key in references if child == name and parent in gone]
+        if name == start or not marks:
+            continue
+        rest, lost = tables[name], None
+        for column, keys in marks:
+            hit = rest.join(keys, column, "left_semi").select(*tables[name].columns)
+            lost, rest = hit if lost is None else lost.unionByName(hit), rest.join(keys, column, "left_anti").select(*tables[name].columns)
+        gone[name], out[name] = lost, rest
+    return out
+
+
+@query("""
+WITH c AS (SELECT c_custkey FROM customer WHERE c_acctbal < 0), o AS (SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM c))
+SELECT 'customer' AS name, count(*) AS n, sum(c_custkey) AS keys FROM customer WHERE c_acctbal >= 0 UNION ALL
+SELECT 'orders', count(*), sum(o_orderkey) FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM o) UNION ALL
+SELECT 'lineitem', count(*), sum(l_orderkey) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM o) UNION ALL
+SELECT 'events', count(*), sum(event_id) FROM events WHERE user_id NOT IN (SELECT c_custkey FROM c)""")
+def cascade_deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left when customers in debt go, with their orders, these orders' lines and their events."""
+    keys = {"customer": "c_custkey", "orders": "o_orderkey", "lineitem": "l_orderkey", "events": "event_id"}
+    extra = {"customer": ["c_acctbal"], "orders": ["o_custkey"], "lineitem": [], "events": ["user_id"]}
+    tables = {t: scan(spark, sf_dir, t, k, *extra[t]) for t, k in keys.items()}
+    refs = [("orders", "o_custkey", "customer", "c_custkey"), ("lineitem", "l_orderkey", "orders", "o_orderkey"), ("events", "user_id", "customer", "c_custkey")]
+    left = cascade_delete(tables, refs, "customer", "c_acctbal < 0")
+    rows = [df.agg(F.count("*").alias("n"), F.sum(keys[t]).alias("keys")).select(F.lit(t).alias("name"), "n", "keys") for t, df in left.items()]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out
+
+
 def conditional_update(df: DataFrame, condition: str, changes: dict[str, str]) -> DataFrame:
     """Rows with ``changed``: where the condition holds the columns take new values, else they stay."""
     ok = F.coalesce(F.expr(condition), F.lit(False))

@@ -18,10 +18,11 @@ from ..functions.columns import bigrams, cosine, first_rule, fuzzy_match, jaccar
 DIM = 64
 
 
-def nearest(vectors: DataFrame, target, k: int, id_col: str = "vec_id", vector: str = "embedding", size: int = DIM) -> DataFrame:
-    """The ``k`` rows of largest cosine similarity to a vector; exact, unusable vectors left out; ties by id."""
+def nearest(vectors: DataFrame, target, k: int, id_col: str = "vec_id", vector: str = "embedding", size: int = DIM, kept=None) -> DataFrame:
+    """The ``k`` rows of largest cosine similarity to a vector (of the rows that the condition ``kept`` holds for, if there is one);
+    exact, unusable vectors left out; ties by id."""
     wanted = F.array(*(F.lit(float(x)) for x in target))
-    scored = vectors.where(usable_vector(F.col(vector), size)).withColumn("similarity", cosine(F.col(vector), wanted))
+    scored = (vectors if kept is None else vectors.where(kept)).where(usable_vector(F.col(vector), size)).withColumn("similarity", cosine(F.col(vector), wanted))
     return scored.orderBy(F.desc("similarity"), id_col).limit(k)
 
 
@@ -36,6 +37,17 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(scan(spark, sf_dir, "embeddings", "vec_id", "embedding"), _query_vector(spark, sf_dir), 5).select("vec_id", F.round("similarity", 6).alias("similarity"))
 
 
+@query("""
+SELECT vec_id, label, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)), 6) AS similarity FROM embeddings
+WHERE label = (SELECT label FROM embeddings WHERE vec_id = 0) ORDER BY 3 DESC, 1 LIMIT 5""")
+def vector_topk_within(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of one label."""
+    v = scan(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
+    own = v.where("vec_id = 0").first()
+    near = nearest(v, own.embedding, 5, kept=F.col("label") == own.label)
+    return near.select("vec_id", "label", F.round("similarity", 6).alias("similarity"))
+
+
 def lexical(text, words: list[str]):
     """Share of the query's distinct words that a text has."""
     tokens = F.split(F.lower(text), r"[^\p{L}\p{N}]+")

@@ -94,18 +94,15 @@ def status_of(m):
 
 def lock_fold(nodes: DataFrame, by: list[str], order: list[str], chapter: str, level: str) -> DataFrame:
     """Nodes in order with ``locked``: a node is locked if the one before it in the same chapter is locked or not
-    mastered and it has been hardly begun (below 20). An order-dependent fold per path."""
-    item = F.struct(*order, F.col(chapter).alias("chapter"), F.col(level).alias("level"))
-    start = F.struct(F.lit(None).cast("string").alias("chapter"), F.lit(True).alias("open"), F.array().cast("array<boolean>").alias("out"))
-
-    def step(s, x):
-        first = ~s["chapter"].eqNullSafe(x["chapter"])
-        locked = ~first & ~s["open"] & (x["level"] < 20)
-        return F.struct(x["chapter"].alias("chapter"), (~locked & (x["level"] >= 80)).alias("open"), F.array_append(s["out"], locked).alias("out"))
-
-    path = nodes.groupBy(*by).agg(F.array_sort(F.collect_list(item)).alias("x"))
-    out = path.withColumn("locked", F.aggregate("x", start, step)["out"])
-    return out.select(*by, F.explode(F.arrays_zip("x", "locked")).alias("z")).select(*by, *(F.col(f"z.x.{o}").alias(o) for o in order), F.col("z.x.chapter").alias("chapter"), F.col("z.x.level").alias("level"), F.col("z.locked").alias("locked"))
+    mastered and it has been hardly begun (below 20); a null level counts as 0.
+
+    A locked node is below 20, so it is not mastered either: only the level of the node before matters, and a window
+    over each path tells it."""
+    w = Window.partitionBy(*by).orderBy(*order)
+    now = F.coalesce(F.col(level), F.lit(0))
+    named = nodes.select(*by, *order, F.col(chapter).alias("chapter"), F.col(level).alias("level"), F.lag(F.struct(F.col(chapter).alias("chapter"), now.alias("level"))).over(w).alias("before"))
+    same = F.col("before").isNotNull() & F.col("before.chapter").eqNullSafe(F.col("chapter"))
+    return named.select(*by, *order, "chapter", "level", (same & (F.col("before.level") < 80) & (F.coalesce("level", F.lit(0)) < 20)).alias("locked"))
 
 
 @query("""

@@ -145,17 +145,18 @@ def _apart(placed: DataFrame) -> DataFrame:
 
 def _between(placed: DataFrame, marks: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) of lines of one bucket and different components that their sketches allow, without those
-    of two lines that are ``done`` (compared already in this bucket)."""
+    of two lines that are ``done`` (compared already in this bucket). Lines that share several buckets meet in the first of these."""
     full = placed.join(marks, "h")
-    met = _drawn(full, "x_").join(_drawn(full, "y_"), (F.col("x_b") == F.col("y_b")) & (F.col("x_c") < F.col("y_c")) & ~(F.col("x_done") & F.col("y_done")) & _able("x_", "y_", num, den))
-    return met.select(F.col("x_h").alias("a"), F.col("y_h").alias("b")).distinct()
+    here = F.array_min(F.array_intersect("x_buckets", "y_buckets")) == F.col("x_b")
+    met = _drawn(full, "x_").join(_drawn(full, "y_"), (F.col("x_b") == F.col("y_b")) & (F.col("x_c") < F.col("y_c")) & ~(F.col("x_done") & F.col("y_done")) & _able("x_", "y_", num, den) & here)
+    return met.select(F.col("x_h").alias("a"), F.col("y_h").alias("b"))
 
 
 def line_components(met: DataFrame, keys: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
     """(node, root) of the distinct lines that are similar to another one, by digest.
 
     met: (b, h, p, lead), lines in buckets with another one and the bucket's highest rank; keys: their (h, key)."""
-    marks = written(sketches(keys), "sketches")
+    marks = written(sketches(keys).join(met.groupBy("h").agg(F.collect_set("b").alias("buckets")), "h"), "sketches")
     leads = met.where("p = lead").select("lead", F.col("h").alias("b")).distinct()
     near = met.where("p != lead").select(F.col("h").alias("a"), "lead").distinct().join(leads, "lead").select("a", "b")
     near = near.join(_drawn(marks, "x_"), F.col("a") == F.col("x_h")).join(_drawn(marks, "y_"), F.col("b") == F.col("y_h")).where(_able("x_", "y_", num, den)).select("a", "b")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -157,21 +157,73 @@ def first_rule(text: Column, rules: Sequence[tuple[str, str]], default: str | No
     return out
 
 
-def chunks(units: Column, limit: int, tail: int, least: int) -> Column:
-    """Texts filled from ``units`` up to ``limit`` characters; each next one starts with the last ``tail``
-    characters of the one before; those below ``least`` are dropped. An order-dependent fold within a row."""
-    start = F.struct(F.lit("").alias("now"), F.array().cast("array<string>").alias("done"))
+def by_row(fold: Callable[[list[str]], list[str]], units: Column) -> Column:
+    """An array of texts made from another by an order-dependent fold in plain Python, for a batch of rows at once."""
+
+    def apply(column: pa.Array) -> pa.Array:
+        return pa.array([None if u is None else fold([x for x in u if x is not None]) for u in column.to_pylist()], pa.list_(pa.string()))
 
-    def step(acc, unit):
-        over = (F.length(acc["now"]) + F.length(unit) > limit) & (F.length(acc["now"]) > 0)
-        done = F.when(F.length(F.trim(acc["now"])) >= least, F.array_append(acc["done"], F.trim(acc["now"]))).otherwise(acc["done"])
-        carried = F.when(F.length(acc["now"]) > tail, F.substring(acc["now"], -tail, tail)).otherwise(acc["now"])
-        return F.struct(F.when(over, F.concat(carried, unit)).otherwise(F.concat(acc["now"], unit)).alias("now"), F.when(over, done).otherwise(acc["done"]).alias("done"))
+    apply.__annotations__ = {"column": pa.Array, "return": pa.Array}
+    return F.arrow_udf(apply, T.ArrayType(T.StringType()))(units)
 
-    def finish(acc):
-        return F.when(F.length(F.trim(acc["now"])) >= least, F.array_append(acc["done"], F.trim(acc["now"]))).otherwise(acc["done"])
 
-    return F.aggregate(units, start, step, finish)
+def chunks(units: Column, limit: int, tail: int, least: int) -> Column:
+    """Texts filled from ``units`` up to ``limit`` characters; each next one starts with the last ``tail``
+    characters of the one before; those below ``least`` are dropped. Linear in the text."""
+
+    def fold(parts: list[str]) -> list[str]:
+        now, done = "", []
+        for unit in parts:
+            if now and len(now) + len(unit) > limit:
+                done.append(now.strip(" "))
+                now = (now[-tail:] if tail else "") + unit
+            else:
+                now += unit
+        return [x for x in [*done, now.strip(" ")] if len(x) >= least]
+
+    return by_row(fold, units)
+
+
+def overlapping(units: Column, most: int, overlap: int) -> Column:
+    """Texts filled from ``units`` up to ``most`` characters, each with the last ``overlap`` characters of the one before in front
+    if that fits; a unit of over ``most`` is cut into pieces of as many that overlap as much."""
+
+    def fold(parts: list[str]) -> list[str]:
+        now, done = "", []
+        for unit in parts:
+            if len(unit) > most:
+                done += [now] * bool(now)
+                done += [p for i in range(0, len(unit), most - overlap) if (p := unit[i : i + most].strip())]
+                now = ""
+            elif now and len(now) + len(unit) > most:
+                done.append(now)
+                led = ((now[-overlap:] if overlap else "") + unit).strip()
+                now = led if len(led) <= most else unit
+            else:
+                now += unit
+        return [*done, now] if now else done
+
+    return by_row(fold, units)
+
+
+def by_paragraph(text: Column, most: int) -> Column:
+    """A text, if it has over ``most`` characters its paragraphs filled up to as many, a longer paragraph in pieces."""
+
+    def fold(parts: list[str]) -> list[str]:
+        now, size, done = [], 0, []
+        for p in parts:
+            if now and (len(p) > most or size + 2 + len(p) > most):
+                done.append("\n\n".join(now))
+                now, size = [], 0
+            if len(p) > most:
+                done += [p[i : i + most] for i in range(0, len(p), most)]
+            else:
+                size += len(p) + 2 * bool(now)
+                now.append(p)
+        return [*done, "\n\n".join(now)] if now else done
+
+    paragraphs = F.filter(F.transform(F.split(text, r"\n\s*\n"), lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")), lambda p: p != "")
+    return F.when(F.length(text) <= most, F.array(text)).otherwise(by_row(fold, paragraphs))
 
 
 def windows(text: Column, size: int, overlap: int) -> Column:

@@ -11,7 +11,7 @@ from ..sources.tables import scan
 REGISTRY = Registry()
 QUERIES, SQL, query = REGISTRY.queries, REGISTRY.sql, REGISTRY.query
 
-from ..functions.columns import bigram_similarity, chunks, first_rule, json_in_text, sentences, slug, windows  # noqa: E402
+from ..functions.columns import bigram_similarity, by_paragraph, chunks, first_rule, json_in_text, overlapping, sentences, slug, windows  # noqa: E402
 
 
 def sentence_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = 450, tail: int = 80, least: int = 30) -> DataFrame:
@@ -35,6 +35,26 @@ def window_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.posexplode(windows(F.col("text"), 1200, 120)).alias("chunk_no", "chunk")).select("doc_id", "chunk_no", F.md5("chunk").alias("chunk_md5"))
 
 
+def overlapping_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 1200, overlap: int = 120) -> DataFrame:
+    """(id, chunk_no, chunk): sentences and lines filled up to ``most`` characters, each chunk led by the end of the one before; null texts have none."""
+    clean = F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"[ \t]+", " "), r"^\s+|\s+$", ""))
+    units = F.filter(F.transform(F.split(clean, r"(?<=[。！？；\n])"), lambda u: F.regexp_replace(u, r"^\s+|\s+$", "")), lambda u: u != "")
+    return docs.select(id_col, F.posexplode(overlapping(units, most, overlap)).alias("chunk_no", "chunk"))
+
+
+@query()
+def overlapped_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of up to 1200 characters of all documents with an overlap (an order-dependent fold: tests compare with Python)."""
+    out = overlapping_chunks(scan(spark, sf_dir, "documents", "doc_id", "text"))
+    return out.select("doc_id", "chunk_no", F.length("chunk").alias("n_chars"), F.md5("chunk").alias("chunk_md5"))
+
+
+def markdown_pieces(docs: DataFrame, id_col: str, text_col: str, most: int, least: int = 40) -> DataFrame:
+    """(id, section_no, piece_no, h1, h2, h3, body): the sections, those of over ``most`` characters split at paragraphs; pieces of at least ``least``."""
+    rows = markdown_sections(docs, id_col, text_col, 1).select(id_col, "section_no", "h1", "h2", "h3", F.posexplode_outer(by_paragraph(F.col("body"), most)).alias("piece_no", "body"))
+    return rows.where(F.length(F.trim("body")) >= least).select(id_col, "section_no", "piece_no", "h1", "h2", "h3", "body")
+
+
 def markdown_sections(docs: DataFrame, id_col: str, text_col: str, least: int = 40) -> DataFrame:
     """(id, section_no, h1, h2, h3, body): text between headings of levels 1 to 3 with the headings above it."""
     from .temporal import carry_headings

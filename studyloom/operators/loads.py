@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import stable_id
 from ..plans.registry import Registry
 from ..sources.tables import scan
 
@@ -172,3 +173,52 @@ def usage_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Uses counted once a day and user."""
     e = scan(spark, sf_dir, "events", "user_id", "event_type", "ts").where("event_type = 'view'")
     return e.groupBy("user_id").agg(F.count_distinct(F.to_date("ts")).alias("used"))
+
+
+#: The title of a failed extraction, as a key; the least content of a row without sections; what stands for a missing chapter and title.
+FAILED, LEAST_CONTENT, NO_CHAPTER, POINTS = "extractionfailed", 15, "未分类", "知识要点"
+
+
+def finalized(rows: DataFrame, book: dict[str, str], part: str | None = None, section: str | None = None) -> DataFrame:
+    """``rows`` (order_num, title, chapter, sub_chapter, content, anchor, failed, sections) ready to load: id, path, book and provenance.
+
+    Rows without a title or with that of a failed extraction, failed ones and ones with neither sections nor LEAST_CONTENT characters of
+    content go. ``part`` and ``section``, where given, stand for the row's own chapter and sub_chapter, else a blank
+    chapter is NO_CHAPTER and a blank sub_chapter null. The id is stable over loads; of rows with one id the first by order_num (then by content) stays. A row without
+    sections gets its content as one. The provenance holds a digest of the content and, where it differs, the row's own chapter.
+
+    ``book``: id, subject and edition."""
+    text = lambda c: F.trim(F.coalesce(F.col(c), F.lit("")))
+    key = lambda c: F.lower(F.regexp_replace(c, r"\s+", ""))
+    has_sections = F.coalesce(F.size("sections") > 0, F.lit(False))
+    fine = (text("title") != "") & (key(F.col("title")) != FAILED) & ~F.coalesce("failed", F.lit(False)) & (has_sections | (F.length(text("content")) >= LEAST_CONTENT))
+    blank = lambda c: F.nullif(c, F.lit(""))
+    own = blank(text("chapter"))
+    chapter = F.lit(part) if part else F.coalesce(own, F.lit(NO_CHAPTER))
+    sub = F.lit(section) if section else blank(text("sub_chapter"))
+    out = rows.where(F.coalesce(fine, F.lit(False))).withColumns({"title": text("title"), "content": text("content"), "own": own, "chapter": chapter, "sub_chapter": sub, "anchor": blank(text("anchor"))})
+    parts = [F.lit(book["id"]), F.col("chapter"), F.coalesce("sub_chapter", F.lit("")), key(F.col("title"))]
+    out = out.withColumn("id", F.when(F.col("anchor").isNull(), stable_id(parts, "kn-")).otherwise(stable_id([*parts, F.col("anchor")], "kn-")))
+    one = F.struct("title", "chapter", "sub_chapter", "content", "anchor", "own", "sections")
+    first = out.groupBy("id").agg(F.min_by(F.struct("order_num", one.alias("r")), F.struct("order_num", "content")).alias("x")).select("id", "x.order_num", "x.r.*")
+    listed = F.when(F.coalesce(F.size("sections") > 0, F.lit(False)), F.col("sections")).when(F.col("content") != "", F.array(F.struct(F.lit(POINTS).alias("title"), F.col("content").alias("content"))))
+    path = F.array_compact(F.array(F.lit(book["subject"]), "chapter", "sub_chapter", "title"))
+    elsewhere = F.when(F.col("own") != F.col("chapter"), F.col("own"))
+    provenance = F.struct(F.substring(F.sha2("content", 256), 1, 16).alias("content_hash"), F.col("anchor").alias("source_anchor"), elsewhere.alias("own_chapter"))
+    return first.select("id", "order_num", "title", F.lit(book["subject"]).alias("subject"), "chapter", "sub_chapter", F.lit(book["id"]).alias("book_id"), F.lit(book["edition"]).alias("edition"), "content", listed.alias("sections"), path.alias("knowledge_path"), provenance.alias("provenance"))
+
+
+@query(r"""
+WITH r AS (SELECT doc_id, trim(split_part(text, chr(10), 1)) AS title, trim(lang) AS chapter, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE source END AS sub, trim(text) AS content, CASE WHEN doc_id % 5 = 0 THEN 'a' || doc_id % 7 END AS anchor FROM documents),
+v AS (SELECT *, 'kn-' || substr(sha256('book' || chr(0) || chapter || chr(0) || coalesce(sub, '') || chr(0) || lower(regexp_replace(title, '\s+', '', 'g')) || CASE WHEN anchor IS NULL THEN '' ELSE chr(0) || anchor END), 1, 20) AS id
+      FROM r WHERE title <> '' AND doc_id % 11 <> 0 AND length(content) >= 15)
+SELECT id, min(doc_id) AS order_num, arg_min(len(list_filter(['subject', chapter, sub, title], lambda x: x IS NOT NULL)), doc_id) AS depth, arg_min(substr(sha256(content), 1, 16), doc_id) AS content_hash FROM v GROUP BY id""")
+def finalized_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as rows to load, their first lines as titles."""
+    d = scan(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
+    rows = d.select(
+        F.col("doc_id").alias("order_num"), F.trim(F.substring_index("text", "\n", 1)).alias("title"), F.col("lang").alias("chapter"), F.when(F.col("doc_id") % 3 != 0, F.col("source")).alias("sub_chapter"), F.col("text").alias("content"),
+        F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("a"), (F.col("doc_id") % 7).cast("string"))).alias("anchor"), (F.col("doc_id") % 11 == 0).alias("failed"), F.lit(None).cast("array<struct<title:string,content:string>>").alias("sections"),
+    )
+    out = finalized(rows, {"id": "book", "subject": "subject", "edition": "1"})
+    return out.select("id", "order_num", F.size("knowledge_path").cast("long").alias("depth"), F.col("provenance.content_hash").alias("content_hash"))

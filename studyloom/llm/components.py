@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .shared import forget, written
+from .shared import forget, settle, written
 
 
 def _stars(edges: DataFrame, larger_only: bool) -> DataFrame:
@@ -44,6 +44,7 @@ def components(edges: DataFrame) -> DataFrame:
         if mark == seen:
             break
         mark = seen
+    settle(edges.sparkSession)
     stars = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     roots = stars.select(F.col("root").alias("node"), "root").distinct()
     known = stars.union(roots)

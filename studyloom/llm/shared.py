@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,6 +37,13 @@ def forget(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def settle(spark: SparkSession) -> None:
+    """Let go of what ended jobs have left. Spark frees their shuffles, broadcasts and accumulators when their handles on the driver
+    are collected, which in a long chain of small jobs comes late."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def prefix_for(df: DataFrame, mark: str = "__") -> str:
     """A beginning that no column of ``df`` has, for the names of helper columns."""
     while any(c.lower().startswith(mark) for c in df.columns):

@@ -10,6 +10,8 @@ documents are written as Parquet to the shared folder and read again.
 4. decontaminate: documents that hold a window of a benchmark item go.
 5. source_mix: the rest get their blocks and slots in a mixture by source and are laid out in that order.
 
+Each stage first lets the driver drop what the one before has left.
+
 Null texts and ids pass every stage unless a stage's operator says otherwise; empty input gives empty
 output with the same columns.
 """
@@ -24,16 +26,18 @@ from studyloom.llm import jaccard_join as _jaccard
 from studyloom.llm import line_dedup as _lines
 from studyloom.llm import source_mix as _mix
 from studyloom.llm import toxicity as _toxicity
-from studyloom.llm.shared import n_partitions, table, written
+from studyloom.llm.shared import n_partitions, settle, table, written
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    settle(spark)
     columns = docs.columns
     scored = _toxicity.toxicity(docs, table(spark, sf_dir, "labels"))
     return scored.where(~F.col("is_toxic")).select(*columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    settle(spark)
     out = _lines.line_dedup(docs)
     emptied = (F.col("n_lines") > 0) & (F.col("n_lines") == F.col("n_removed_lines"))
     out = out.where(~emptied)
@@ -43,15 +47,18 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    settle(spark)
     return _jaccard.keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    settle(spark)
     out = _decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
     return out.where(~F.col("contaminated")).select(*docs.columns)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    settle(spark)
     mixed = _mix.mix_sources(docs)
     return mixed.repartitionByRange(n_partitions(docs), "slot", "position").sortWithinPartitions("slot", "position")
 

@@ -41,6 +41,27 @@ def sliding_quota(events: DataFrame, late: str = "1 day") -> DataFrame:
     return g.select(F.unix_seconds("window.start").alias("start"), "user_id", "n", F.round("total", 4).alias("total"))
 
 
+#: Seconds of a quota's windows and from one's start to the next's, and partial rows that one task merges.
+HOUR, SLIDE, MERGED = 3600, 300, 500_000
+
+
+def quota_parts(events: DataFrame) -> DataFrame:
+    """(start, user_id, n, total): requests and cost of each user in the 5 minutes from ``start``, of which every hour consists."""
+    start = F.floor(F.unix_seconds("ts") / SLIDE) * SLIDE
+    return events.where("ts is not null").groupBy(start.cast("long").alias("start"), "user_id").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+
+
+def merged_quota(parts: DataFrame) -> DataFrame:
+    """``sliding_quota`` from its parts, of which a user may have several with one start. Parts are dealt out by user before they
+    are spread over the hours that hold them, so an event is shuffled once, not once for each hour."""
+    spark = parts.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-parts.count() // MERGED))
+    hours = F.sequence(F.col("start") - (HOUR - SLIDE), F.col("start"), F.lit(SLIDE))
+    each = parts.repartition(tasks, "user_id").select(F.explode(hours).alias("start"), "user_id", "n", "total")
+    g = each.groupBy("start", "user_id").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    return g.select("start", "user_id", "n", F.round("total", 4).alias("total"))
+
+
 def session_groups(events: DataFrame, gap: str = "2 hours", late: str = "1 day") -> DataFrame:
     """Sessions of each user by gaps."""
     e = events.withWatermark("ts", late) if events.isStreaming else events
@@ -82,18 +103,21 @@ def review_states(events: DataFrame) -> DataFrame:
     return e.groupBy("user_id").applyInPandasWithState(advance, "user_id long, interval long, ease double, reps long", "interval long, ease double, reps long", "update", GroupStateTimeout.NoTimeout)
 
 
-def run_once(spark: SparkSession, sf_dir: str, transform: Callable[[DataFrame], DataFrame], mode: str = "complete", keys: list[str] | None = None, files: int = 1000) -> DataFrame:
+def run_once(spark: SparkSession, sf_dir: str, transform: Callable[[DataFrame], DataFrame], mode: str = "complete", keys: list[str] | None = None, files: int = 1000, partial: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """The result of a transformation after the whole stream, as a Parquet table in the shared folder.
+    With ``partial`` each batch is written as that aggregates it, so that the stream needs no state and the caller merges the parts.
 
     Each micro-batch overwrites a folder of its own, so one that is run again leaves no second copy. Of a complete
     result the last batch counts, of appended rows all, of updated ones the last of each of ``keys``."""
     where = f"{shared_folder(spark)}/stream-{uuid4().hex}"
     result = transform(event_stream(spark, sf_dir, files))
+    kept = partial or (lambda batch: batch)
 
     def save(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{where}/out/n={number}")
+        kept(batch).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{where}/out/n={number}")
 
-    shape = T.StructType([*result.schema.fields, T.StructField("batch", T.IntegerType())])
+    columns = kept(spark.createDataFrame([], result.schema)).schema
+    shape = T.StructType([*columns.fields, T.StructField("batch", T.IntegerType())])
     spark.createDataFrame([], shape).write.parquet(f"{where}/out/n=-1")  # no events, no rows
     sink = result.writeStream.foreachBatch(save).outputMode(mode).option("checkpointLocation", f"{where}/state")
     sink.trigger(availableNow=True).start().awaitTermination()
@@ -103,7 +127,7 @@ def run_once(spark: SparkSession, sf_dir: str, transform: Callable[[DataFrame],
     elif mode == "update":
         last = out.groupBy(*keys).agg(F.max("batch").alias("batch"))
         out = out.join(last, [*keys, "batch"])
-    return out.select(*result.columns)
+    return out.select(*columns.names)
 
 
 def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,7 +135,8 @@ def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run_once(spark, sf_dir, sliding_quota)
+    parts = run_once(spark, sf_dir, lambda e: e.select("ts", "user_id", "value"), "append", partial=quota_parts)
+    return merged_quota(parts)
 
 
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,41 +26,44 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 
 
 class PhaseReplay(StatefulProcessor):
-    """Settled phase and waiting events of one session."""
+    """Settled phase and waiting events of one session, in one state value: each call reads and writes it once, however many
+    events wait, as every access is a round trip between the worker and the JVM."""
 
     def __init__(self, start: str, idle_ms: int) -> None:
         self.start, self.idle_ms = start, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.settled = handle.getValueState("settled", "phase string, refused long, late long, until long, last long")
-        self.waiting = handle.getMapState("waiting", "at long, event_id long", "wanted string")
+        self.session = handle.getValueState("session", "phase string, refused long, late long, until long, last long, timer long, at array<long>, event_id array<long>, wanted array<string>")
 
-    def _now(self) -> list:
-        got = self.settled.get()
-        return list(got) if got is not None else [self.start, 0, 0, -(1 << 62), -(1 << 62)]
-
-    def _pending(self) -> list:
-        return sorted((k[0], k[1], v[0]) for k, v in self.waiting.iterator())
+    def _now(self) -> tuple[list, dict]:
+        """What is settled, and the waiting events by (at, event_id)."""
+        got = self.session.get()
+        if got is None:
+            return [self.start, 0, 0, -(1 << 62), -(1 << 62), None], {}
+        at, event_id, wanted = got[6:]
+        return list(got[:6]), dict(zip(zip(at, event_id, strict=True), wanted, strict=True))
 
     @staticmethod
     def _apply(phase: str, refused: int, wanted: str) -> tuple[str, int]:
         return (wanted, refused) if wanted in TRANSITIONS[phase] else (phase, refused + 1)
 
-    def _settle(self, now: list, watermark_ms: int) -> list:
+    def _settle(self, now: list, waiting: dict, watermark_ms: int) -> list:
         """Apply what the watermark has passed; what still waits is returned."""
         rest = []
-        for at, event_id, wanted in self._pending():
+        for (at, event_id), wanted in sorted(waiting.items()):
             if at // 1000 <= watermark_ms:
                 now[0], now[1] = self._apply(now[0], now[1], wanted)
-                self.waiting.removeKey((at, event_id))
             else:
                 rest.append((at, event_id, wanted))
         now[3] = max(now[3], watermark_ms)
-        self.settled.update(tuple(now))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(rest[0][0] // 1000 + 1 if rest else now[4] + self.idle_ms)
+        timer = rest[0][0] // 1000 + 1 if rest else now[4] + self.idle_ms
+        if timer != now[5]:
+            if now[5] is not None:
+                self.handle.deleteTimer(now[5])
+            self.handle.registerTimer(timer)
+            now[5] = timer
+        self.session.update((*now, *([r[k] for r in rest] for k in range(3))))
         return rest
 
     def _report(self, key: tuple, now: list, rest: list) -> Row:
@@ -70,23 +73,22 @@ class PhaseReplay(StatefulProcessor):
         return Row(user_id=key[0], phase=phase, refused=refused, late=now[2], waiting=len(rest))
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
-        now, watermark = self._now(), timerValues.getCurrentWatermarkInMs()
-        for r in rows:
-            if r.at // 1000 <= now[3]:
+        (now, waiting), watermark = self._now(), timerValues.getCurrentWatermarkInMs()
+        for at, event_id, wanted in ((r.at, r.event_id, r.wanted) for r in rows):
+            if at // 1000 <= now[3]:
                 now[2] += 1
             else:
-                self.waiting.updateValue((r.at, r.event_id), (r.wanted,))
-                now[4] = max(now[4], r.at // 1000)
-        yield self._report(key, now, self._settle(now, watermark))
+                waiting[at, event_id] = wanted
+                now[4] = max(now[4], at // 1000)
+        yield self._report(key, now, self._settle(now, waiting, watermark))
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
-        now, watermark = self._now(), timerValues.getCurrentWatermarkInMs()
-        rest = self._settle(now, watermark)
+        (now, waiting), watermark = self._now(), timerValues.getCurrentWatermarkInMs()
+        rest = self._settle(now, waiting, watermark)
         yield self._report(key, now, rest)
         if not rest and watermark >= now[4] + self.idle_ms:
-            self.settled.clear()
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
+            self.session.clear()
+            self.handle.deleteTimer(now[5])
 
     def close(self) -> None:
         pass

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
+import re
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +15,7 @@ from ..sources.tables import scan
 REGISTRY = Registry()
 QUERIES, SQL, query = REGISTRY.queries, REGISTRY.sql, REGISTRY.query
 
-from ..functions.columns import bigram_similarity, by_paragraph, chunks, first_rule, json_in_text, overlapping, sentences, slug, windows  # noqa: E402
+from ..functions.columns import by_paragraph, by_row, chunks, first_rule, json_in_text, overlapping, sentences, slug, windows  # noqa: E402
 
 
 def sentence_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = 450, tail: int = 80, least: int = 30) -> DataFrame:
@@ -82,34 +86,56 @@ def numbered_topics(text):
     return F.aggregate(found, start, step, lambda s: F.when(F.size(s["out"]) >= 2, s["out"]).otherwise(F.array().cast("array<string>")))
 
 
+def _fresh(points: Iterable[str], least: int, most: float, k: int | None = None) -> list[str]:
+    """The first ``k`` of ``distinct_points``; a point's pairs of characters are made once, and none are compared beyond ``k``."""
+    kept: list[tuple[str, set[str]]] = []
+    for x in points:
+        if k is not None and len(kept) >= k:
+            break
+        pairs = {x[i : i + 2] for i in range(len(x) - 1)}
+
+        def like(y: str, others: set[str], x: str = x, pairs: set[str] = pairs) -> float:
+            if x and y and (x in y or y in x):
+                return min(len(x), len(y)) / max(len(x), len(y))
+            return len(pairs & others) / len(pairs | others) if pairs or others else 0.0
+
+        if len(x) >= least and all(like(*y) < most for y in kept):
+            kept.append((x, pairs))
+    return [x for x, _ in kept]
+
+
 def distinct_points(points, least: int = 6, most: float = 0.68):
     """Points of at least ``least`` characters that are less than ``most`` similar to every one kept before."""
-    def step(kept, x):
-        fresh = (F.length(x) >= least) & F.forall(kept, lambda k: bigram_similarity(k, x) < most)
-        return F.when(fresh, F.array_append(kept, x)).otherwise(kept)
-
-    return F.aggregate(points, F.array().cast("array<string>"), step)
+    return by_row(lambda units: _fresh(units, least, most), points)
 
 
 #: Words that make a sentence more or less worth a place in a digest, and their weights; fixed values.
 DIGEST_TERMS = [("definition", 1.0), ("cause", 1.0), ("result", 1.0), ("because", 1.0), ("history", -3.0)]
+_SEPARATORS, _DIGIT = "，,；;、 ", re.compile("[0-9]")
+
+
+def _score(s: str) -> float:
+    low = s.lower()
+    return sum(w for t, w in DIGEST_TERMS if t in low) + 0.5 * bool(_DIGIT.search(s)) + 1.0 * (12 <= len(s) <= 78)
 
 
 def digest(text, k: int = 4):
     """The ``k`` best sentences in their order: the best 2k by score, near repeats dropped, then the first k."""
-    units = F.transform(sentences(text), lambda s: F.trim(s))
-    score = lambda s: sum((F.when(F.contains(F.lower(s), F.lit(t)), F.lit(w)).otherwise(F.lit(0.0)) for t, w in DIGEST_TERMS), F.lit(0.0)) + F.when(F.rlike(s, F.lit(r"\d")), F.lit(0.5)).otherwise(F.lit(0.0)) + F.when(F.length(s).between(12, 78), F.lit(1.0)).otherwise(F.lit(0.0))
-    ranked = F.array_sort(F.transform(units, lambda s, i: F.struct((-score(s)).alias("score"), i.alias("i"), s.alias("s"))))
-    chosen = F.array_sort(F.transform(F.slice(ranked, 1, 2 * k), lambda x: F.struct(x["i"].alias("i"), x["s"].alias("s"))))
-    short = F.transform(chosen, lambda x: shortened(x["s"]))
-    return F.slice(distinct_points(short), 1, k)
+
+    def fold(units: list[str]) -> list[str]:
+        units = [u.strip(" ") for u in units]
+        best = sorted(heapq.nsmallest(2 * k, ((-_score(s), i) for i, s in enumerate(units))), key=lambda x: x[1])
+        return _fresh((shortened(units[i]) for _, i in best), 6, 0.68, k)
+
+    return by_row(fold, sentences(text))
 
 
-def shortened(s, most: int = 78, least: int = 48):
+def shortened(s: str, most: int = 78, least: int = 48) -> str:
     """Up to ``most`` characters, cut at the last separator from ``least`` on if there is one."""
-    head = F.substring(s, 1, most)
-    at_mark = F.regexp_extract(head, rf"(?s)^(.{{{least - 1},}}[，,；;、 ])", 1)
-    return F.when(F.length(s) <= most, s).when(at_mark != "", F.trim(F.regexp_replace(at_mark, "[，,；;、 ]+$", ""))).otherwise(head)
+    if len(s) <= most:
+        return s
+    cut = max(s.rfind(c, least - 1, most) for c in _SEPARATORS)
+    return s[:cut].rstrip(_SEPARATORS) if cut >= 0 else s[:most]
 
 
 @query()

@@ -16,6 +16,11 @@ FULL_WIDTH = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
 HALF_WIDTH = "".join(chr(c) for c in range(0x21, 0x7F))
 
 
+def let(x: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once a row; a lambda computes what it refers to for each element."""
+    return F.get(F.transform(F.array(x), body), F.lit(0))
+
+
 def half_up(x: Column) -> Column:
     """Round half toward positive infinity, to a whole number."""
     return F.floor(x + F.lit(0.5))
@@ -81,6 +86,12 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(either == 0, F.lit(0.0)).otherwise(both / either)
 
 
+def distinct_jaccard(a: Column, b: Column) -> Column:
+    """``jaccard`` of arrays without repeats, without making their union."""
+    sizes = F.size(a) + F.size(b)
+    return let(F.size(F.array_intersect(a, b)), lambda both: F.when(sizes == 0, F.lit(0.0)).otherwise(both / (sizes - both)))
+
+
 def bigram_similarity(a: Column, b: Column) -> Column:
     """Bigram Jaccard, or the length ratio if one text holds the other."""
     inside = F.contains(a, b) | F.contains(b, a)

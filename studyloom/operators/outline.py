@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import bigrams, jaccard
+from ..functions.columns import bigrams, distinct_jaccard, let
 from ..plans.registry import Registry
 from ..sources.tables import scan
 
@@ -159,9 +159,10 @@ def content_points(docs: DataFrame, keys: Sequence[str], text_col: str, most: in
     mark = "|".join(MARKERS)
     text = F.regexp_replace(stripped(text), rf"(?m)(^|[\s。！？；：:])({mark})\s*", "$1\n$2 ")
     marked = F.regexp_replace(_lines(text), f"(?m)^({mark}){_LINE_WHITE}*", f"{BEGIN}$1{END}")
-    rows = docs.select(F.struct(*keys).alias("of"), F.explode_outer(_parts(marked)).alias("p")).select("of", F.col("p.no").alias("point_no"), F.col("p.head").alias("marker"), stripped(F.col("p.rest")).alias("rest"))
+    # more than blanks and one colon, or a named mark; judged before blanks go, as the filter would strip the text once more
+    told = F.rlike(F.col("p.rest"), F.lit(f"[^\\s\\p{{Z}}﻿：:]|[：:]{_WHITE}*[：:]")) | F.rlike(F.col("p.head"), F.lit(r"^【.*[^\s\p{Z}].*】$"))
+    rows = docs.select(F.struct(*keys).alias("of"), F.explode_outer(_parts(marked)).alias("p")).where(told).select("of", F.col("p.no").alias("point_no"), F.col("p.head").alias("marker"), stripped(F.col("p.rest")).alias("rest"))
     is_named, inside = F.substring("marker", 1, 1) == "【", F.substr("marker", F.lit(2), F.length("marker") - 2)
-    rows = rows.where((F.regexp_replace("rest", r"^[：:]\s*", "") != "") | (is_named & F.rlike("marker", F.lit(r"^【.*[^\s\p{Z}].*】$"))))
     first = F.substring_index("rest", "\n", 1)
     rows = rows.withColumns({"first": first, "more": F.when(F.contains("rest", F.lit("\n")), F.substr("rest", F.length(first) + 2)).otherwise("")})
     rows = _titled(rows, "first")
@@ -222,19 +223,24 @@ LONGEST, CUT, SHORTEST, ALIKE = 78, 48, 6, 0.68
 def canonical_title(title: Column) -> Column:
     """The usual title for a section's; an unusual one is cut to 16 characters."""
     value = F.regexp_replace(F.regexp_replace(title, f"{_WHITE}+", ""), "[：:]+$", "")
-    out = F.when(F.length(value) > 16, F.concat(F.substring(value, 1, 16), F.lit("…"))).otherwise(value)
-    for pattern, name in reversed(CANONICAL):
-        out = F.when(F.rlike(value, F.lit(pattern)), name).otherwise(out)
-    return out
+
+    def named(value: Column) -> Column:
+        out = F.when(F.length(value) > 16, F.concat(F.substring(value, 1, 16), F.lit("…"))).otherwise(value)
+        for pattern, name in reversed(CANONICAL):
+            out = F.when(F.rlike(value, F.lit(pattern)), name).otherwise(out)
+        return out
+
+    return let(value, named)
 
 
 def bracket_sections(text: Column) -> Column:
     """An array of (no, title, content): the parts after 【headings】, from 8 characters on, under their canonical titles; what stands before the first
     (from 12 on), or a text without headings, is the core."""
     parts = _parts(F.regexp_replace(_plain(text), r"【([^】\n]{1,40})】", f"{BEGIN}$1{END}"))
-    alone = ~F.rlike(_plain(text), F.lit(r"【[^】\n]{1,40}】"))
-    shaped = F.transform(parts, lambda p: F.struct(p["no"].alias("no"), F.when(p["no"] == 0, CORE).otherwise(canonical_title(p["head"])).alias("title"), stripped(p["rest"]).alias("content")))
-    return F.filter(shaped, lambda p: alone | (F.length(p["content"]) >= F.when(p["no"] == 0, 12).otherwise(8)))
+    shaped = lambda p: F.struct(p["no"].alias("no"), F.when(p["no"] == 0, CORE).otherwise(canonical_title(p["head"])).alias("title"), stripped(p["rest"]).alias("content"))
+    # a text without headings is one part
+    kept = lambda all_: F.filter(all_, lambda p: (F.size(all_) == 1) | (F.length(p["content"]) >= F.when(p["no"] == 0, 12).otherwise(8)))
+    return let(F.transform(parts, shaped), kept)
 
 
 def topics(text: Column) -> Column:
@@ -251,10 +257,11 @@ def topics(text: Column) -> Column:
         return F.struct(F.when(hit, s["next"] + 1).otherwise(s["next"]).alias("next"), F.when(hit, F.array_append(s["chosen"], p["i"])).otherwise(s["chosen"]).alias("chosen"))
 
     # no more are chosen than there are numbers
-    chosen = F.aggregate(numbered, F.struct(F.lit(1).cast("long").alias("next"), F.array().cast("array<int>").alias("chosen")), step, lambda s: s["chosen"])
-    begun = F.transform(numbered, lambda p: F.when(F.array_contains(chosen, p["i"]), F.concat(F.lit(BEGIN), p["title"], F.lit(END), p["rest"])).otherwise(F.concat(p["head"], p["rest"])))
-    out = F.transform(_parts(F.array_join(begun, "")), lambda p: F.struct(p["no"].alias("no"), p["head"].alias("title"), stripped(p["rest"]).alias("content")))
-    return F.when(F.size(chosen) >= 2, out).otherwise(F.filter(out, lambda p: F.lit(False)))
+    choose = lambda all_: F.aggregate(all_, F.struct(F.lit(1).cast("long").alias("next"), F.array().cast("array<int>").alias("chosen")), step, lambda s: s["chosen"])
+    begun = lambda all_, chosen: F.transform(all_, lambda p: F.when(F.array_contains(chosen, p["i"]), F.concat(F.lit(BEGIN), p["title"], F.lit(END), p["rest"])).otherwise(F.concat(p["head"], p["rest"])))
+    out = lambda all_, chosen: F.transform(_parts(F.array_join(begun(all_, chosen), "")), lambda p: F.struct(p["no"].alias("no"), p["head"].alias("title"), stripped(p["rest"]).alias("content")))
+    none = F.array().cast("array<struct<no:int,title:string,content:string>>")
+    return let(numbered, lambda all_: let(choose(all_), lambda chosen: F.when(F.size(chosen) >= 2, out(all_, chosen)).otherwise(none)))
 
 
 def compared(text: Column) -> Column:
@@ -267,7 +274,7 @@ def alike(a: Column, b: Column) -> Column:
     similarity of pairs of characters; 0 if one is empty."""
     x, y = a["plain"], b["plain"]
     inside = F.contains(x, y) | F.contains(y, x)
-    return F.when((x == "") | (y == ""), 0.0).when(inside, F.least(F.length(x), F.length(y)) / F.greatest(F.length(x), F.length(y))).otherwise(jaccard(a["pairs"], b["pairs"]))
+    return F.when((x == "") | (y == ""), 0.0).when(inside, F.least(F.length(x), F.length(y)) / F.greatest(F.length(x), F.length(y))).otherwise(distinct_jaccard(a["pairs"], b["pairs"]))
 
 
 def digest_text(text: Column) -> Column:
@@ -330,8 +337,8 @@ def digests(rows: DataFrame, keys: Sequence[str], text_col: str, k: str = "k") -
     listed = listed.withColumn("best", F.slice(F.array_sort(counted), F.lit(1), 2 * F.col("k")))
     listed = listed.withColumn("best", F.array_sort(F.transform("best", lambda x, r: F.struct(x["i"].alias("i"), r.alias("r"), x["text"].alias("text"), x["plain"].alias("plain"), x["pairs"].alias("pairs")))))
     none = F.filter("best", lambda x: F.lit(False))
-    fresh = F.aggregate("best", none, lambda kept, x: F.when((F.length(x["text"]) >= SHORTEST) & F.forall(kept, lambda y: alike(y, x) < ALIKE), F.array_append(kept, x)).otherwise(kept))
-    return listed.withColumn("fresh", F.slice(fresh, F.lit(1), F.col("k"))).select("of.*", F.col("fresh.text").alias("digest"))
+    fresh = F.aggregate("best", none, lambda kept, x: F.when((F.size(kept) < F.col("k")) & (F.length(x["text"]) >= SHORTEST) & F.forall(kept, lambda y: alike(y, x) < ALIKE), F.array_append(kept, x)).otherwise(kept))
+    return listed.withColumn("fresh", fresh).select("of.*", F.col("fresh.text").alias("digest"))
 
 
 def _without_tables(title: Column, content: Column) -> Column:
@@ -354,10 +361,10 @@ def outlines(docs: DataFrame, id_col: str, text_col: str, sections_col: str | No
     base = docs.select(id_col, F.coalesce(text_col, F.lit("")).alias("text"), given.alias("given")).withColumn("topics", topics(F.col("text")))
     single = F.array(F.struct(F.lit(0).alias("no"), F.lit("").alias("title"), F.col("text").alias("content")))
     many = F.size("topics") > 0
-    groups = base.select(id_col, "given", many.alias("many"), F.explode(F.when(many, F.filter("topics", lambda t: t["no"] > 0)).otherwise(single)).alias("g"))
+    groups = base.select(id_col, "given", many.alias("many"), F.explode_outer(F.when(many, F.filter("topics", lambda t: t["no"] > 0)).otherwise(single)).alias("g"))
     listed = F.transform("given", lambda s, i: F.struct(i.alias("no"), canonical_title(F.coalesce(s["title"], F.lit(""))).alias("title"), stripped(F.coalesce(s["content"], F.lit(""))).alias("content")))
     found = F.when(~F.col("many") & (F.size(F.coalesce("given", F.array())) > 0), listed).otherwise(bracket_sections(F.col("g.content")))
-    rows = groups.select(id_col, "many", F.col("g.no").alias("group_no"), F.col("g.title").alias("group_title"), F.explode(found).alias("s")).where("s.title != '' and length(s.content) >= 8")
+    rows = groups.select(id_col, "many", F.col("g.no").alias("group_no"), F.col("g.title").alias("group_title"), F.explode_outer(found).alias("s")).where("s.title != '' and length(s.content) >= 8")
     keys = [id_col, "group_no", "title"]
     rows = rows.select(id_col, "many", "group_no", "group_title", F.col("s.no").alias("no"), canonical_title(F.col("s.title")).alias("title"), F.col("s.content").alias("content"))
     once = rows.groupBy(*keys, "many", "group_title", compared(F.col("content")).alias("same")).agg(F.min(F.struct("no", "content")).alias("x"))

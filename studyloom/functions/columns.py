@@ -73,7 +73,11 @@ def similarity(a: Column, b: Column) -> Column:
 def fuzzy_match(a: Column, b: Column, least: float = 0.8) -> Column:
     """Equal, one inside the other, or similar beyond ``least``; false if either is empty."""
     filled = (F.length(a) > 0) & (F.length(b) > 0)
-    return filled & ((a == b) | F.contains(a, b) | F.contains(b, a) | (similarity(a, b) > least))
+    longer = F.greatest(F.length(a), F.length(b))
+    # edits are counted only as far as they leave the texts similar; beyond that there are -1
+    edits = F.call_function("levenshtein", a, b, (F.floor(longer * F.lit(1 - least)) + 1).cast("int"))
+    near = let(edits, lambda n: (n >= 0) & (1.0 - n / longer > least))
+    return filled & ((a == b) | F.contains(a, b) | F.contains(b, a) | near)
 
 
 def bigrams(x: Column) -> Column:

@@ -15,7 +15,7 @@ from ..sources.tables import scan
 REGISTRY = Registry()
 QUERIES, SQL, query = REGISTRY.queries, REGISTRY.sql, REGISTRY.query
 
-from ..functions.columns import half_up, json_number  # noqa: E402
+from ..functions.columns import half_up, json_number, let  # noqa: E402
 
 #: Score bounds of the recall qualities 5 .. 1.
 QUALITY_BOUNDS = (90, 75, 60, 40, 20)
@@ -139,7 +139,8 @@ def greedy_matches(given, wanted, same):
     """Indexes of ``wanted`` that the given texts take, one after another: each takes the first free one it fits."""
     def step(used, text):
         free = F.filter(F.sequence(F.lit(0), F.size(wanted) - 1), lambda i: ~F.array_contains(used, i) & same(text, F.get(wanted, i)))
-        return F.when((F.size(wanted) > 0) & (F.size(free) > 0), F.array_append(used, F.get(free, F.lit(0)))).otherwise(used)
+        first = let(free, lambda x: F.get(x, F.lit(0)))
+        return let(F.when(F.size(wanted) > 0, first), lambda i: F.when(i.isNotNull(), F.array_append(used, i)).otherwise(used))
 
     return F.aggregate(given, F.array().cast("array<int>"), step)
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import clamp, fuzzy_match, half_up, normalised, similarity
+from ..functions.columns import clamp, fuzzy_match, half_up, let, normalised, similarity
 from ..plans.registry import Registry
 from ..sources.tables import scan
 from .folds import greedy_matches
@@ -124,8 +124,8 @@ def differential_score(x, points):
 
     def step(s, g):
         free = F.filter(F.sequence(F.lit(1), F.greatest(F.size(known), F.lit(1))), lambda i: (i <= F.size(known)) & ~F.array_contains(s["used"], i) & F.coalesce(same_name(g["is"], F.get(known, i - 1)["names"]), F.lit(False)))
-        hit = F.size(free) > 0
-        return F.struct(F.when(hit, F.array_append(s["used"], F.get(free, F.lit(0)))).otherwise(s["used"]).alias("used"), F.when(hit, s["points"] + 4 + g["points"]).otherwise(s["points"]).alias("points"))
+        took = lambda i: F.struct(F.when(i.isNotNull(), F.array_append(s["used"], i)).otherwise(s["used"]).alias("used"), F.when(i.isNotNull(), s["points"] + 4 + g["points"]).otherwise(s["points"]).alias("points"))
+        return let(F.get(free, F.lit(0)), took)
 
     met = F.aggregate(given, F.struct(F.array().cast("array<int>").alias("used"), F.lit(0).alias("points")), step)["points"]
     missed = F.filter(known, lambda d: d["must"] & ~F.exists(given, lambda g: same_name(g["is"], d["names"])))

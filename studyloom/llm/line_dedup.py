@@ -7,7 +7,8 @@ sets is NUM / DEN or more.
 1. Signatures. Lines explode to shingles and shrink again by hash aggregation to 9 minima per distinct
    line (minima don't mind repeats, so equal lines merge before the shuffle).
 2. Banding. The 9 minima are the points of the affine plane of order 3, its 12 lines of 3 points each are
-   the bands: lines of similarity 0.8 meet in one with probability 0.99, of 0.9 with 0.9995.
+   the bands: lines of similarity 0.8 meet in one with probability 0.99, of 0.9 with 0.9995. Near copies share
+   most of their bands, so buckets of the same members are one: a bucket's name is a digest of its members.
 3. Verification. A line's sketch has a bit for each value of 11 bits of its shingles' hashes. Each bit in which
    two sketches differ stands for another shingle that one line has alone, so pairs with too many such bits
    are no links; the others are verified by exact Jaccard. In each bucket members are compared with one
@@ -16,8 +17,7 @@ sets is NUM / DEN or more.
 4. Union-find as alternating star joins, then one line per component stays: its first occurrence by
    (id, line number).
 
-Buckets are counted by partial aggregation and joined back to their lines, so that Spark deals a hot one out
-to several tasks. Shingles are compared by 64-bit hashes within a pair of lines, lines by 64-bit digests.
+Lines are shuffled to their buckets once, as two numbers each; a window that can spill counts a bucket's members. Shingles are compared by 64-bit hashes within a pair of lines, lines by 64-bit digests.
 
 Defined results: blank lines stay and are compared with nothing; null text stays null; rows with a null id
 keep all lines and cause no removal; rows equal in id and text are one document and keep the same lines;
@@ -27,15 +27,19 @@ and those named as a result give way; no documents, no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import BROADCAST_BYTES, hinted, table, written
+from .shared import BROADCAST_BYTES, hinted, small, table, written
 
 SHINGLE, NUM, DEN = 8, 80, 100
 #: 64-bit words of a sketch.
 WORDS = 32
+#: Shingles to a row where they are hashed.
+STEP = 4
 _BLANKS = " \t\r\f\u000b "
 #: Bytes of a character in the encoding whose characters are all of one size.
 _WIDE = 4
@@ -47,15 +51,17 @@ def _planes() -> list[list[int]]:
 
 
 def _shingles(key) -> F.Column:
-    """The distinct shingles' hashes of one line."""
-    every = F.transform(F.regexp_extract_all(key, F.lit(rf"(?s)(?=(.{{{SHINGLE}}}))."), F.lit(1)), lambda s: F.xxhash64(s))
-    return F.when(F.length(key) < SHINGLE, F.array(F.xxhash64(key))).otherwise(F.array_distinct(every))
+    """The distinct shingles' hashes of one line. The encoded line is bound to a variable, else it would be made for each shingle."""
+    places = F.sequence(F.lit(0), F.greatest(F.lit(0), F.length(key) - SHINGLE))
+    of = lambda u: F.transform(places, lambda i: F.xxhash64(F.substring(u, _WIDE * i + 1, F.lit(_WIDE * SHINGLE))))
+    return F.array_distinct(F.flatten(F.transform(F.array(F.encode(key, "UTF-32")), of)))
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, th, no, key, h): the non-blank lines of documents with an id; th and h digest the text and the key."""
     text = F.col(text_col)
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), F.posexplode(F.split(text, "\n")).alias("no", "line"))
+    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), F.split(text, "\n").alias("lines"))
+    rows = texts.select("id", "th", F.posexplode("lines").alias("no", "line"))
     keyed = rows.select("id", "th", "no", F.lower(F.trim("line", F.lit(_BLANKS))).alias("key")).where("key != ''")
     return keyed.withColumn("h", F.xxhash64("key"))
 
@@ -66,20 +72,20 @@ def _mask(i: int) -> int:
 
 
 def _hashed(lines: DataFrame) -> DataFrame:
-    """(h, first, x0, x1): for every second character of lines (h, key) the hashes of the shingle there and of the next."""
+    """(h, places, first, x0 ...): for every STEP-th character of lines (h, key) the hashes of the shingles there and at the next ones."""
     wide = lines.select("h", F.encode("key", "UTF-32").alias("u"))
     wide = wide.select("h", "u", F.greatest(F.lit(0), (F.octet_length("u") / _WIDE).cast("int") - SHINGLE).alias("last"))
-    each = wide.select("h", "u", "last", F.explode(F.sequence(F.lit(0), "last", F.lit(2))).alias("i"))
-    x = [F.xxhash64(F.substring("u", _WIDE * i + 1, F.lit(_WIDE * SHINGLE))) for i in (F.col("i"), F.least(F.col("i") + 1, F.col("last")))]
-    return each.select("h", (F.col("i") == 0).alias("first"), x[0].alias("x0"), x[1].alias("x1"))
+    each = wide.select("h", "u", "last", F.explode(F.sequence(F.lit(0), "last", F.lit(STEP))).alias("i"))
+    x = [F.xxhash64(F.substring("u", _WIDE * (F.least(F.col("i") + k, F.col("last")) if k else F.col("i")) + 1, F.lit(_WIDE * SHINGLE))) for k in range(STEP)]
+    return each.select("h", (F.col("last") + 1).alias("places"), (F.col("i") == 0).alias("first"), *(x[k].alias(f"x{k}") for k in range(STEP)))
 
 
 def signatures(lines: DataFrame) -> DataFrame:
     """(h, n, p, m0 ...): distinct lines with their occurrences, minima and rank p as a leader: first by
     occurrences times length, then by hash."""
     # 5 permutations of one half of the hash and 4 of the other: exclusive or with masks
-    halves = _hashed(lines).select("h", "first", *(f(F.col(f"x{k}")).cast("int").alias(f"{name}{k}") for k in (0, 1) for name, f in (("a", lambda x: x.bitwiseAND(0x7FFFFFFF)), ("b", lambda x: F.shiftrightunsigned(x, 33)))))
-    least = [F.least(*(F.col(f"{'ab'[i % 2]}{k}").bitwiseXOR(_mask(i // 2)) for k in (0, 1))) for i in range(9)]
+    halves = _hashed(lines).select("h", "first", *(f(F.col(f"x{k}")).cast("int").alias(f"{name}{k}") for k in range(STEP) for name, f in (("a", lambda x: x.bitwiseAND(0x7FFFFFFF)), ("b", lambda x: F.shiftrightunsigned(x, 33)))))
+    least = [F.least(*(F.col(f"{'ab'[i % 2]}{k}").bitwiseXOR(_mask(i // 2)) for k in range(STEP))) for i in range(9)]
     minima = halves.groupBy("h").agg(F.count_if("first").alias("n"), F.count("*").alias("weight"), *(F.min(x).alias(f"m{i}") for i, x in enumerate(least)))
     rank = F.shiftleft(F.least("weight", F.lit((1 << 19) - 1)), 44).bitwiseOR(F.col("h").bitwiseAND((1 << 44) - 1))
     return minima.select("h", "n", rank.alias("p"), *(f"m{i}" for i in range(9)))
@@ -88,27 +94,40 @@ def signatures(lines: DataFrame) -> DataFrame:
 def sketches(keys: DataFrame) -> DataFrame:
     """(h, size, words): of distinct lines (h, key) the sketch as an array of 64-bit words, and the shingles' number or, as repeats
     don't show in a sketch, a bit more; where its bits are too few for that number, the exact one."""
-    bits = _hashed(keys).select("h", *(e for k in (0, 1) for e in (F.shiftrightunsigned(f"x{k}", 6).bitwiseAND(WORDS - 1).alias(f"word{k}"), F.expr(f"shiftleft(1L, cast(x{k} & 63 as int))").alias(f"bit{k}"))))
-    word = lambda j: F.bit_or(F.when(F.col("word0") == j, F.col("bit0")).otherwise(0).bitwiseOR(F.when(F.col("word1") == j, F.col("bit1")).otherwise(0)))
-    drawn = bits.groupBy("h").agg(*(word(j).alias(f"w{j}") for j in range(WORDS)))
-    whole = drawn.join(keys.select("h", "key", F.greatest(F.lit(1), F.length("key") - SHINGLE + 1).alias("places")), "h")
+    bits = _hashed(keys).select("h", "places", *(e for k in range(STEP) for e in (F.shiftrightunsigned(f"x{k}", 6).bitwiseAND(WORDS - 1).alias(f"word{k}"), F.expr(f"shiftleft(1L, cast(x{k} & 63 as int))").alias(f"bit{k}"))))
+    word = lambda j: F.bit_or(reduce(lambda x, y: x.bitwiseOR(y), (F.when(F.col(f"word{k}") == j, F.col(f"bit{k}")).otherwise(0) for k in range(STEP))))
+    drawn = bits.groupBy("h").agg(F.max("places").alias("places"), *(word(j).alias(f"w{j}") for j in range(WORDS)))
     drawn_bits = sum((F.bit_count(f"w{j}") for j in range(WORDS)), F.lit(0))
     expected = 64 * WORDS * (1 - F.exp(-F.col("places") / (64 * WORDS)))
-    size = F.when(drawn_bits < 0.9 * expected, F.size(_shingles(F.col("key")))).otherwise(F.col("places"))
-    return whole.select("h", size.alias("size"), F.array(*(f"w{j}" for j in range(WORDS))).alias("words"))
+    drawn = written(drawn.select("h", "places", (drawn_bits < 0.9 * expected).alias("few"), F.array(*(f"w{j}" for j in range(WORDS))).alias("words")), "drawn")
+    few = drawn.where("few").select("h")
+    light = F.broadcast if small(few, 64) else lambda df: df
+    exact = keys.join(light(few), "h").select("h", F.size(_shingles(F.col("key"))).alias("exact"))
+    return drawn.join(light(exact), "h", "left").select("h", F.coalesce("exact", "places").alias("size"), "words")
 
 
 def banded(minima: DataFrame) -> DataFrame:
-    """(b, h, p): each line in its bands' buckets."""
-    keys = [F.xxhash64(F.lit(k), *(f"m{i}" for i in plane)) for k, plane in enumerate(_planes())]
-    return minima.select("h", "p", F.explode(F.array(*keys)).alias("b"))
+    """(b, h): each line in its bands' buckets. 48 bits tell buckets apart; where two fall together, more lines are compared."""
+    keys = [F.xxhash64(F.lit(k), *(f"m{i}" for i in plane)).bitwiseAND((1 << 48) - 1) for k, plane in enumerate(_planes())]
+    return minima.select("h", F.explode(F.array(*keys)).alias("b"))
+
+
+def shared_buckets(minima: DataFrame) -> DataFrame:
+    """(b, h): lines that share a bucket with another one. Buckets of the same members are one, b is their members' digest."""
+    inside = Window.partitionBy("b")
+    met = banded(minima).select("h", F.count("*").over(inside).alias("k"), F.bit_xor("h").over(inside).alias("members")).where("k > 1")
+    return met.select(F.xxhash64("k", "members").alias("b"), "h").distinct()
 
 
 def _met(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The signatures, and (b, h, p, lead): lines that share a bucket with another one, with its highest rank."""
+    """(h, near, many): the lines that matter, those in a bucket with another one or in several places;
+    (b, h, p, buckets): the lines that share a bucket with another one, with their ranks and all such buckets."""
     minima = written(signatures(lines), "minima")
-    buckets = written(banded(minima).groupBy("b").agg(F.max("p").alias("lead"), F.count("*").alias("k")).where("k > 1").drop("k"), "buckets")
-    return minima, written(banded(minima).join(hinted(buckets, 64), "b"), "met")
+    shared = written(shared_buckets(minima), "shared")
+    watch = minima.select("h", "n", "p").join(shared.select("h", F.lit(True).alias("near")).distinct(), "h", "left").where("near or n > 1")
+    watch = written(watch.select("h", "p", F.coalesce("near", F.lit(False)).alias("near"), (F.col("n") > 1).alias("many")), "watch")
+    met = shared.join(watch.where("near").select("h", "p"), "h").withColumn("buckets", F.collect_list("b").over(Window.partitionBy("h")))
+    return watch.select("h", "near", "many"), written(met, "met")
 
 
 def _fits(o, x, y, num: int, den: int) -> F.Column:
@@ -117,9 +136,11 @@ def _fits(o, x, y, num: int, den: int) -> F.Column:
 
 
 def _similar(pairs: DataFrame, keys: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose exact Jaccard similarity reaches num / den; keys: (h, key) of distinct lines."""
-    x = pairs.join(keys.select(F.col("h").alias("a"), "key"), "a").select("a", "b", "key")
-    y = keys.join(pairs.select(F.col("b").alias("h")).distinct(), "h").select(F.col("h").alias("b"), _shingles(F.col("key")).alias("sb"))
+    """The pairs (a, b), a written table, whose exact Jaccard similarity reaches num / den; keys: (h, key) of distinct lines."""
+    light = F.broadcast if small(pairs, 128) else lambda df: df
+    x = keys.select(F.col("h").alias("a"), "key").join(light(pairs), "a").select("a", "b", "key")
+    # dealt out before the shingles are made, as these are larger than their line
+    y = keys.join(light(pairs.select(F.col("b").alias("h")).distinct()), "h").repartition("h").select(F.col("h").alias("b"), _shingles(F.col("key")).alias("sb"))
     joined = x.join(y, "b").select("a", "b", _shingles(F.col("key")).alias("sa"), "sb")
     return joined.where(_fits(F.size(F.array_intersect("sa", "sb")), F.size("sa"), F.size("sb"), num, den)).select("a", "b")
 
@@ -137,9 +158,9 @@ def _drawn(marks: DataFrame, k: str) -> DataFrame:
     return marks.select(*(F.col(c).alias(f"{k}{c}") for c in marks.columns))
 
 
-def _apart(placed: DataFrame) -> DataFrame:
-    """The rows of buckets b that hold more than one component c."""
-    split = placed.groupBy("b").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("b")
+def _apart(placed: DataFrame, done: F.Column) -> DataFrame:
+    """The rows of buckets b that hold more than one component c and not only lines that are done."""
+    split = placed.groupBy("b").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.bool_and(done).alias("all")).where("lo < hi and not all").select("b")
     return placed.join(split, "b")
 
 
@@ -155,24 +176,28 @@ def _between(placed: DataFrame, marks: DataFrame, num: int, den: int) -> DataFra
 def line_components(met: DataFrame, keys: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
     """(node, root) of the distinct lines that are similar to another one, by digest.
 
-    met: (b, h, p, lead), lines in buckets with another one and the bucket's highest rank; keys: their (h, key)."""
-    marks = written(sketches(keys).join(met.groupBy("h").agg(F.collect_set("b").alias("buckets")), "h"), "sketches")
-    leads = met.where("p = lead").select("lead", F.col("h").alias("b")).distinct()
-    near = met.where("p != lead").select(F.col("h").alias("a"), "lead").distinct().join(leads, "lead").select("a", "b")
+    met: (b, h, p, buckets), a written table as _met gives it; keys: its lines' (h, key). A bucket's leader has met all
+    others there in the first step, so that it is not compared in the later ones."""
+    marks = written(sketches(keys), "sketches")
+    led = written(met.join(met.groupBy("b").agg(F.max_by("h", "p").alias("lead")), "b").where("h != lead"), "led")
+    near = led.select(F.col("h").alias("a"), F.col("lead").alias("b")).distinct()
     near = near.join(_drawn(marks, "x_"), F.col("a") == F.col("x_h")).join(_drawn(marks, "y_"), F.col("b") == F.col("y_h")).where(_able("x_", "y_", num, den)).select("a", "b")
-    roots = written(components(_similar(written(near, "near"), keys, num, den)), "roots")
-    placed = _apart(met.join(roots.withColumnRenamed("node", "h"), "h", "left").select("b", "h", "p", F.coalesce("root", "h").alias("c")))
+    near = written(near, "near")
+    tried = near.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
+    roots = written(components(_similar(near, keys, num, den)), "roots")
+    placed = _apart(led.join(roots.withColumnRenamed("node", "h"), "h", "left").select("b", "h", "p", "buckets", F.coalesce("root", "h").alias("c")), F.lit(False))
     one = placed.groupBy("b", "c").agg(F.max("p").alias("most"))
-    placed = written(placed.join(one, ["b", "c"]).select("b", "h", "p", "c", (F.col("p") == F.col("most")).alias("done")), "placed")
+    placed = written(placed.join(one, ["b", "c"]).select("b", "h", "buckets", "c", (F.col("p") == F.col("most")).alias("done")), "placed")
     for one_each in (True, False):
-        some = placed.where("done").withColumn("done", F.lit(False)) if one_each else _apart(placed)
-        links = written(_similar(written(_between(some, marks, num, den), "between"), keys, num, den), "links")
+        some = placed.where("done").withColumn("done", F.lit(False)) if one_each else _apart(placed, F.col("done"))
+        fresh = _between(some, marks, num, den).join(tried, (F.least("a", "b") == F.col("lo")) & (F.greatest("a", "b") == F.col("hi")), "left_anti")
+        links = written(_similar(written(fresh, "between"), keys, num, den), "links")
         if links.isEmpty():
             continue
         known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
         roots = written(components(known.union(links)), "roots")
         again = roots.select(F.col("node").alias("h"), "root")
-        placed = placed.join(again, "h", "left").select("b", "h", "p", F.coalesce("root", "c").alias("c"), "done")
+        placed = placed.join(again, "h", "left").select("b", "h", "buckets", F.coalesce("root", "c").alias("c"), "done")
     return roots
 
 
@@ -184,13 +209,13 @@ def components_of(lines: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = NUM, den: int = DEN) -> DataFrame:
     """``docs`` without the lines that repeat an earlier one, with n_lines (non-blank, before) and n_removed_lines."""
     lines = lines_of(docs, id_col, text_col)
-    minima, met = _met(lines)
-    # the lines that matter: in a bucket with another one, or in several places
-    watch = minima.select("h", "n").join(met.select("h", F.lit(True).alias("near")).distinct(), "h", "left").where("near or n > 1").select("h", F.coalesce("near", F.lit(False)).alias("near"))
-    places = written(lines.join(hinted(written(watch, "watch"), 64), "h"), "places")
+    watch, met = _met(lines)
+    places = lines.join(hinted(watch, 64), "h").withColumn("key", F.when(F.col("near"), F.col("key")))
+    places = written(places, "places")
     keys = written(places.where("near").select("h", "key").dropDuplicates(["h"]), "keys")
     roots = line_components(met, keys, num, den)
-    placed = places.select("h", F.struct("id", "no", "th").alias("place")).join(roots.withColumnRenamed("node", "h"), "h", "left").select("place", F.coalesce("root", "h").alias("root"))
+    placed = places.select("h", "many", F.struct("id", "no", "th").alias("place")).join(roots.withColumnRenamed("node", "h"), "h", "left").where("many or root is not null")
+    placed = placed.select("place", F.coalesce("root", "h").alias("root"))
     keep = placed.groupBy("root").agg(F.min("place").alias("keep"))
     repeats = placed.join(keep, "root").where("place != keep").select("place.id", "place.th", "place.no")
     drops = written(repeats.groupBy("id", "th").agg(F.collect_set("no").alias("gone")), "drops")

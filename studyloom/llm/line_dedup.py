@@ -57,12 +57,19 @@ def _shingles(key) -> F.Column:
     return F.array_distinct(F.flatten(F.transform(F.array(F.encode(key, "UTF-32")), of)))
 
 
+def _trimmed(line) -> F.Column:
+    """The line without blanks around it. Trimming at the right walks through the whole line, so only lines that end in a blank are."""
+    blank_end = reduce(lambda x, y: x | y, (F.endswith(line, F.lit(c)) for c in sorted(set(_BLANKS))))
+    return F.ltrim(F.when(blank_end, F.rtrim(line, F.lit(_BLANKS))).otherwise(line), F.lit(_BLANKS))
+
+
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, th, no, key, h): the non-blank lines of documents with an id; th and h digest the text and the key."""
     text = F.col(text_col)
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), F.split(text, "\n").alias("lines"))
     rows = texts.select("id", "th", F.posexplode("lines").alias("no", "line"))
-    keyed = rows.select("id", "th", "no", F.lower(F.trim("line", F.lit(_BLANKS))).alias("key")).where("key != ''")
+    # blank lines go by their beginning: a filter on the key would make each key twice, once to test it
+    keyed = rows.where(F.ltrim("line", F.lit(_BLANKS)) != "").select("id", "th", "no", F.lower(_trimmed(F.col("line"))).alias("key"))
     return keyed.withColumn("h", F.xxhash64("key"))
 
 
@@ -92,18 +99,18 @@ def signatures(lines: DataFrame) -> DataFrame:
 
 
 def sketches(keys: DataFrame) -> DataFrame:
-    """(h, size, words): of distinct lines (h, key) the sketch as an array of 64-bit words, and the shingles' number or, as repeats
+    """(h, size, ones, words): of distinct lines (h, key) the sketch as an array of 64-bit words, its set bits, and the shingles' number or, as repeats
     don't show in a sketch, a bit more; where its bits are too few for that number, the exact one."""
     bits = _hashed(keys).select("h", "places", *(e for k in range(STEP) for e in (F.shiftrightunsigned(f"x{k}", 6).bitwiseAND(WORDS - 1).alias(f"word{k}"), F.expr(f"shiftleft(1L, cast(x{k} & 63 as int))").alias(f"bit{k}"))))
     word = lambda j: F.bit_or(reduce(lambda x, y: x.bitwiseOR(y), (F.when(F.col(f"word{k}") == j, F.col(f"bit{k}")).otherwise(0) for k in range(STEP))))
     drawn = bits.groupBy("h").agg(F.max("places").alias("places"), *(word(j).alias(f"w{j}") for j in range(WORDS)))
     drawn_bits = sum((F.bit_count(f"w{j}") for j in range(WORDS)), F.lit(0))
     expected = 64 * WORDS * (1 - F.exp(-F.col("places") / (64 * WORDS)))
-    drawn = written(drawn.select("h", "places", (drawn_bits < 0.9 * expected).alias("few"), F.array(*(f"w{j}" for j in range(WORDS))).alias("words")), "drawn")
+    drawn = written(drawn.select("h", "places", (drawn_bits < 0.9 * expected).alias("few"), drawn_bits.alias("ones"), F.array(*(f"w{j}" for j in range(WORDS))).alias("words")), "drawn")
     few = drawn.where("few").select("h")
     light = F.broadcast if small(few, 64) else lambda df: df
     exact = keys.join(light(few), "h").select("h", F.size(_shingles(F.col("key"))).alias("exact"))
-    return drawn.join(light(exact), "h", "left").select("h", F.coalesce("exact", "places").alias("size"), "words")
+    return drawn.join(light(exact), "h", "left").select("h", F.coalesce("exact", "places").alias("size"), "ones", "words")
 
 
 def banded(minima: DataFrame) -> DataFrame:
@@ -147,10 +154,11 @@ def _similar(pairs: DataFrame, keys: DataFrame, num: int, den: int) -> DataFrame
 
 def _able(x: str, y: str, num: int, den: int) -> F.Column:
     """Whether sketches leave it open that lines link: of sets of sizes a and b that do, at most
-    (a + b) (den - num) / (den + num) elements are in one only."""
+    (a + b) (den - num) / (den + num) elements are in one only. The numbers of set bits, which differ by no more than that, are compared first."""
     unlike = F.zip_with(f"{x}words", f"{y}words", lambda u, v: F.bit_count(u.bitwiseXOR(v)))
     apart = F.aggregate(unlike, F.lit(0), lambda n, k: n + k)
-    return F.lit(den + num) * apart <= F.lit(den - num) * (F.col(f"{x}size") + F.col(f"{y}size"))
+    most = F.lit(den - num) * (F.col(f"{x}size") + F.col(f"{y}size"))
+    return (F.lit(den + num) * F.abs(F.col(f"{x}ones") - F.col(f"{y}ones")) <= most) & (F.lit(den + num) * apart <= most)
 
 
 def _drawn(marks: DataFrame, k: str) -> DataFrame:
@@ -228,7 +236,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     joined = joined.withColumn("__lines", F.split(F.col(text_col), "\n"))
     left = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone"))
     kept = F.array_join(F.transform(left, lambda i: F.get(F.col("__lines"), i)), "\n")
-    n_lines = F.size(F.filter(F.coalesce("__lines", F.array()), lambda x: F.trim(x, F.lit(_BLANKS)) != "")).cast("long")
+    n_lines = F.size(F.filter(F.coalesce("__lines", F.array()), lambda x: F.ltrim(x, F.lit(_BLANKS)) != "")).cast("long")
     new = {"n_lines": n_lines, "n_removed_lines": F.coalesce(F.size("__gone"), F.lit(0)).cast("long"), text_col: F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(kept)}
     return joined.withColumns(new).drop("__id", "__th", "__gone", "__lines")
 

@@ -90,12 +90,6 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(either == 0, F.lit(0.0)).otherwise(both / either)
 
 
-def distinct_jaccard(a: Column, b: Column) -> Column:
-    """``jaccard`` of arrays without repeats, without making their union."""
-    sizes = F.size(a) + F.size(b)
-    return let(F.size(F.array_intersect(a, b)), lambda both: F.when(sizes == 0, F.lit(0.0)).otherwise(both / (sizes - both)))
-
-
 def bigram_similarity(a: Column, b: Column) -> Column:
     """Bigram Jaccard, or the length ratio if one text holds the other."""
     inside = F.contains(a, b) | F.contains(b, a)

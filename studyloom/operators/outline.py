@@ -3,20 +3,24 @@
 Headings and markers are found by patterns over whole texts and set off by control characters, at which the texts are split;
 so each step is linear in the text and needs no shuffle until the parts of a text are put together again. Arrays are exploded by the outer form, as for
 the other one Spark adds a filter that, pushed down, computes all that leads to the array twice. The control characters that serve as
-marks are dropped from the texts first.
+marks are dropped from the texts first. Patterns that need a rare character are tried only on texts that have it, as looking for a
+character is much cheaper than a pattern; such functions refer to their text several times and take it as a column or a lambda's variable.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+import string
+from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import or_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import bigrams, distinct_jaccard, let
+from ..functions.columns import let
 from ..plans.registry import Registry
 from ..sources.tables import scan
 
@@ -25,7 +29,11 @@ QUERIES, SQL, query = REGISTRY.queries, REGISTRY.sql, REGISTRY.query
 
 BEGIN, END = "\u0001", "\u0002"
 _WHITE = r"[\s\p{Z}﻿]"
-_LINE_WHITE = r"[^\S\n]"
+#: The characters that _WHITE stands for.
+_BLANKS = "\t\n\x0b\x0c\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+_LINE_WHITE = r"[ \t\x0B\f\r]"
+#: A class of characters beyond Latin is a chain of comparisons; before it ASCII letters are ruled out by a table of bits.
+_NO_LETTER = f"[^{string.ascii_letters}]"
 
 #: The titles of sections.
 TITLES = (
@@ -37,23 +45,32 @@ _NUMERAL = "一二三四五六七八九十"
 
 def stripped(c: Column) -> Column:
     """Without blanks of any kind at both ends."""
-    return F.regexp_replace(c, f"^{_WHITE}+|{_WHITE}+$", "")
+    return F.trim(c, F.lit(_BLANKS))
+
+
+def _without(c: Column, sign: str) -> Column:
+    return F.replace(c, F.lit(sign), F.lit(""))
+
+
+def _has(c: Column, signs: Sequence[str]) -> Column:
+    """Whether one of the ``signs`` is in a text."""
+    return reduce(or_, (F.contains(c, F.lit(sign)) for sign in signs))
 
 
 def _plain(c: Column) -> Column:
-    return F.translate(F.coalesce(c, F.lit("")), BEGIN + END, "")
+    return _without(_without(F.coalesce(c, F.lit("")), BEGIN), END)
 
 
 def _lines(c: Column) -> Column:
     """Lines without blanks at their ends; empty ones go."""
-    trimmed = F.regexp_replace(c, f"(?m)^{_LINE_WHITE}+|{_LINE_WHITE}+$", "")
-    return F.regexp_replace(trimmed, r"\n{2,}", "\n")
+    return F.regexp_replace(F.trim(c, F.lit(" \t\x0b\x0c\r")), rf"(?=[ \t\n\x0B\f\r]){_LINE_WHITE}*\n\s*", "\n")
 
 
-def _parts(c: Column) -> Column:
-    """What follows each mark, as structs (no, head, rest); what stands before the first mark is number 0 without a head."""
+def _parts(c: Column, *beside: Column) -> Column:
+    """What follows each mark, as structs (no, head, rest); what stands before the first mark is number 0 without a head. Columns ``beside``
+    come along with number 0."""
     head = lambda x: F.when(F.contains(x, F.lit(END)), F.substring_index(x, END, 1)).otherwise("")
-    return F.transform(F.split(c, BEGIN), lambda x, i: F.struct(i.alias("no"), head(x).alias("head"), F.substring_index(x, END, -1).alias("rest")))
+    return F.transform(F.split(c, BEGIN), lambda x, i: F.struct(i.alias("no"), head(x).alias("head"), F.substring_index(x, END, -1).alias("rest"), *(F.when(i == 0, b).alias("beside") for b in beside)))
 
 
 def titled_sections(docs: DataFrame, id_col: str, text_col: str, titles: Sequence[str] = TITLES, numbered: bool = True, keep_colon: bool = True, least: int = 50) -> DataFrame:
@@ -75,7 +92,7 @@ def titled_sections(docs: DataFrame, id_col: str, text_col: str, titles: Sequenc
 
 
 #: What marks a point, and the levels of the marks (others: 4).
-MARKERS = (r"【[^】\n]{1,30}】", r"[一二三四五六七八九十百]+[、.．]", r"[（(][一二三四五六七八九十百]+[）)]", r"[（(]\d{1,2}[）)]", r"\d{1,2}[.．、](?!\d)", r"[①②③④⑤⑥⑦⑧⑨⑩⑪⑫⑬⑭⑮⑯⑰⑱⑲⑳]", r"\d{1,2}[）)]")
+MARKERS = (r"【[^】\n]{1,30}】", r"[一二三四五六七八九十百]+[、.．]", r"[（(][一二三四五六七八九十百]+[）)]", r"[（(]\d{1,2}[）)]", r"\d{1,2}[.．、](?!\d)", r"[①-⑳]", r"\d{1,2}[）)]")
 LEVELS = ((r"^【|^[一二三四五六七八九十百]+[、.．]$", 1), (r"^[（(][一二三四五六七八九十百]+[）)]$|^\d{1,2}[.．、]$", 2), (r"^[（(]\d{1,2}[）)]$|^\d{1,2}[）)]$", 3))
 #: Words with which a body begins after a title.
 BODY_STARTERS = (
@@ -115,73 +132,92 @@ def _filled(sentences: pa.Array, limit: pa.Array) -> pa.Array:
     return pa.array(out, pa.list_(pa.string()))
 
 
+#: What ends a sentence.
+SENTENCE_ENDS = "。！？；"
+
+
 def _sentences(c: Column) -> Column:
-    return F.transform(F.split(c, r"(?<=[。！？；])\s*"), stripped)
+    """Sentences of a text without blanks at its ends."""
+    return F.when(_has(c, SENTENCE_ENDS), F.transform(F.split(c, rf"(?<=[{SENTENCE_ENDS}])\s*"), stripped)).otherwise(F.array(c))
 
 
 def long_body(body: Column, most: int = BODY) -> Column:
     """A body in pieces of up to ``most`` characters where its sentences allow it; none for an empty one."""
     short = F.when(body == "", F.array().cast("array<string>")).otherwise(F.array(body))
-    return F.when(F.length(body) <= most, short).otherwise(_filled(F.when(F.length(body) > most, _sentences(body)), F.lit(most)))
+    several = (F.length(body) > most) & _has(body, SENTENCE_ENDS)
+    pieces = F.array_remove(F.transform(F.regexp_extract_all(body, F.lit(f"(?s).{{1,{most}}}"), F.lit(0)), stripped), "")
+    return F.when(F.length(body) <= most, short).when(several, _filled(F.when(several, _sentences(body)), F.lit(most))).otherwise(pieces)
 
 
 def _titled(rows: DataFrame, rest: str) -> DataFrame:
     """``rows`` with title and body of a point's first line ``rest``: a short clause before a colon, what stands before a word that
     begins a body, a short line as a whole, a first word, a first clause; else all is body.
 
-    Each step is a column of its own, so that later ones read it and don't compute it again."""
+    Each step is a column of its own, so that later ones read it and don't compute it again; patterns see no more of a line than they need."""
     out = rows.withColumn("value", F.regexp_replace(stripped(F.col(rest)), r"^[：:]\s*", ""))
-    shapes = {
-        "clause": r"(?s)^([^：:]{1,42})[：:](.*)$",
-        "starter": rf"(?s)^(.{{1,36}}?)\s+((?:{'|'.join(BODY_STARTERS)}).*)$",
-        "word": r"(?s)^(\S{1,18})(\s.*)$",
-        "comma": r"(?s)^([^，。；]{2,36})[，。；](.*)$",
+    shapes = {  # what makes the title, where it is looked for, and the length of the sign after it
+        "clause": (r"^[^：:]{1,42}(?=[：:])", F.substring("value", 1, 43), 1),
+        "starter": (rf"(?s)^.{{1,36}}?(?=\s+(?:{'|'.join(BODY_STARTERS)}))", F.col("value"), 0),
+        "word": (r"^\S{1,18}(?=\s)", F.substring("value", 1, 19), 0),
+        "comma": (r"^[^，。；]{2,36}(?=[，。；])", F.substring("value", 1, 37), 1),
     }
-    out = out.withColumns({f"{name}{k}": stripped(F.regexp_extract("value", pattern, k)) for name, pattern in shapes.items() for k in (1, 2)})
+    out = out.withColumns({name: F.regexp_extract(where, pattern, 0) for name, (pattern, where, _) in shapes.items()})
+    out = out.withColumns({f"{name}1": stripped(F.col(name)) for name in shapes})
     held = (F.col("clause1") != "") & ~F.rlike("clause1", F.lit("[，。！？；]")) & ((F.length("clause1") <= 24) | ~F.rlike("clause1", F.lit(r"\s")))
     whole = (F.length("value") <= 42) & ~F.rlike("value", F.lit("[，。！？；：:]"))
-    out = out.withColumn("shape", F.when(held, "clause").when(F.col("starter2") != "", "starter").when(whole, "whole").when(F.col("word1") != "", "word").when(F.col("comma1") != "", "comma").otherwise("none"))
+    out = out.withColumn("shape", F.when(held, "clause").when(F.col("starter") != "", "starter").when(whole, "whole").when(F.col("word1") != "", "word").when(F.col("comma1") != "", "comma").otherwise("none"))
     title, body = F.when(F.col("shape") == "whole", F.col("value")), F.when(F.col("shape") == "none", F.col("value"))
-    for name in shapes:
-        title, body = title.when(F.col("shape") == name, F.col(f"{name}1")), body.when(F.col("shape") == name, F.col(f"{name}2"))
+    for name, (_, _, sign) in shapes.items():
+        title, body = title.when(F.col("shape") == name, F.col(f"{name}1")), body.when(F.col("shape") == name, stripped(F.substr("value", F.length(name) + 1 + sign)))
     out = out.withColumns({"title": title.otherwise(""), "body": body.otherwise("")})
-    return out.drop("value", "shape", *(f"{name}{k}" for name in shapes for k in (1, 2)))
+    return out.drop("value", "shape", *shapes, *(f"{name}1" for name in shapes))
 
 
-def content_points(docs: DataFrame, keys: Sequence[str], text_col: str, most: int = BODY) -> DataFrame:
+def content_points(docs: DataFrame, keys: Sequence[str], text_col: str, most: int = BODY, beside: str | None = None) -> DataFrame:
     """(keys, point_no, part_no, marker, title, body, level): the points of each text in order.
 
     A point begins with one of the MARKERS at the start of a line or after a blank or the end of a sentence. What stands before the first point is
-    level 0. Bodies of over ``most`` characters become several parts, of which the first has the marker."""
-    text = F.regexp_replace(_plain(F.col(text_col)), "\r", "")
-    for pattern, by in (*PAGE_HEADS, (r"[ \t]{2,}", " "), (r"\n{3,}", "\n\n")):
-        text = F.regexp_replace(text, pattern, by)
+    level 0. Bodies of over ``most`` characters become several parts, of which the first has the marker. A column ``beside`` comes along with the first
+    part of each text, which then stands there even if it is empty."""
+    extra = [F.col(beside).alias("beside")] if beside else []
+    rows = docs.select(F.struct(*keys).alias("of"), *extra, _without(_plain(F.col(text_col)), "\r").alias("text"))
+    text = F.col("text")
+    heads = text
+    for pattern, by in PAGE_HEADS:
+        heads = F.regexp_replace(heads, pattern, by)
+    rows = rows.withColumn("text", F.when(_has(text, "第"), heads).otherwise(text))
+    rows = rows.withColumn("text", F.when(_has(text, ("  ", "\t")), F.regexp_replace(text, r"[ \t]{2,}", " ")).otherwise(text))
+    rows = rows.withColumn("text", F.when(_has(text, ("\n\n\n",)), F.regexp_replace(text, r"\n{3,}", "\n\n")).otherwise(text))
     mark = "|".join(MARKERS)
-    text = F.regexp_replace(stripped(text), rf"(?m)(^|[\s。！？；：:])({mark})\s*", "$1\n$2 ")
-    marked = F.regexp_replace(_lines(text), f"(?m)^({mark}){_LINE_WHITE}*", f"{BEGIN}$1{END}")
+    marked = F.regexp_replace(stripped(text), rf"(?m)(?={_NO_LETTER})(^|[\s。！？；：:])(?={_NO_LETTER})({mark})\s*", "$1\n$2 ")
+    marked = F.regexp_replace(_lines(marked), f"(?m)^(?={_NO_LETTER})({mark}){_LINE_WHITE}*", f"{BEGIN}$1{END}")
     # more than blanks and one colon, or a named mark; judged before blanks go, as the filter would strip the text once more
     told = F.rlike(F.col("p.rest"), F.lit(f"[^\\s\\p{{Z}}﻿：:]|[：:]{_WHITE}*[：:]")) | F.rlike(F.col("p.head"), F.lit(r"^【.*[^\s\p{Z}].*】$"))
-    rows = docs.select(F.struct(*keys).alias("of"), F.explode_outer(_parts(marked)).alias("p")).where(told).select("of", F.col("p.no").alias("point_no"), F.col("p.head").alias("marker"), stripped(F.col("p.rest")).alias("rest"))
+    rows = rows.select("of", F.explode_outer(_parts(marked, *map(F.col, ["beside"] * len(extra)))).alias("p")).where((F.col("p.no") == 0) | told if beside else told)
+    with_it = F.col("p.beside") if beside else F.lit(None).cast("string")
+    rows = rows.select("of", F.col("p.no").alias("point_no"), F.col("p.head").alias("marker"), stripped(F.col("p.rest")).alias("rest"), with_it.alias("beside"))
     is_named, inside = F.substring("marker", 1, 1) == "【", F.substr("marker", F.lit(2), F.length("marker") - 2)
     first = F.substring_index("rest", "\n", 1)
     rows = rows.withColumns({"first": first, "more": F.when(F.contains("rest", F.lit("\n")), F.substr("rest", F.length(first) + 2)).otherwise("")})
     rows = _titled(rows, "first")
     intro = F.col("point_no") == 0
     head = F.when(is_named, F.regexp_replace("first", r"^[：:]\s*", "")).when(intro, F.col("first")).otherwise(F.col("body"))
-    rows = rows.select("of", "point_no", "marker", F.when(is_named, stripped(inside)).when(intro, "").otherwise(F.col("title")).alias("title"), stripped(F.concat(head, F.lit("\n"), "more")).alias("body"))
+    rows = rows.select("of", "point_no", "marker", "beside", F.when(is_named, stripped(inside)).when(intro, "").otherwise(F.col("title")).alias("title"), stripped(F.concat(head, F.lit("\n"), "more")).alias("body"))
     level = F.when(F.col("point_no") == 0, 0)
     for pattern, n in LEVELS:
         level = level.when(F.rlike("marker", F.lit(pattern)), n)
     pieces = long_body(F.col("body"), most)
     many = F.size("pieces")
     rows = rows.withColumn("pieces", pieces).withColumn("pieces", F.when(many > 0, F.col("pieces")).otherwise(F.array(F.lit(""))))
-    each = rows.select("of", "point_no", "marker", "title", level.otherwise(4).alias("level"), many.alias("many"), F.posexplode_outer("pieces").alias("part_no", "body"))
+    parts = F.transform("pieces", lambda b, i: F.struct(b.alias("body"), F.when(i == 0, F.col("beside")).alias("beside")))
+    each = rows.select("of", "point_no", "marker", "title", level.otherwise(4).alias("level"), many.alias("many"), F.posexplode_outer(parts).alias("part_no", "p"))
     nth = F.lpad((F.col("part_no") + 1).cast("string"), 2, "0")
     later = F.concat(F.lit(" · "), (F.col("part_no") + 1).cast("string"))
     named = lambda c: F.when(F.col("part_no") == 0, c).otherwise(F.concat(c, later))
     title = F.when((F.col("many") <= 1) | (F.col("point_no") == 0), F.col("title")).when(F.col("title") != "", named(F.col("title"))).otherwise(F.concat(F.lit(ITEM + " "), nth))
     intro = F.when(F.col("point_no") == 0, named(F.lit(INTRO)))
-    return each.select("of.*", "point_no", "part_no", F.when(F.col("part_no") == 0, F.col("marker")).otherwise("").alias("marker"), F.coalesce(intro, title).alias("title"), "body", "level")
+    out = each.select("of.*", "point_no", "part_no", F.when(F.col("part_no") == 0, F.col("marker")).otherwise("").alias("marker"), F.coalesce(intro, title).alias("title"), "p.body", "level", "p.beside")
+    return out if beside else out.drop("beside")
 
 
 def points_of(docs: DataFrame, id_col: str, text_col: str, most: int = BODY) -> DataFrame:
@@ -201,7 +237,7 @@ CANONICAL = (
 )
 CORE = "核心概念"
 #: Headings of topics, those that are too general, and words that no topic has.
-TOPIC = rf"(?:^|\s)([{_NUMERAL}]+)[、.．]\s*([^。；\n]{{2,42}}?中毒)(?=\s|。|$)"
+TOPIC = rf"(?={_NO_LETTER})(?:^|\s)(?={_NO_LETTER})([{_NUMERAL}]+)[、.．]\s*([^。；\n]{{2,42}}?中毒)(?=\s|。|$)"
 GENERAL = ("急性中毒", "慢性中毒", "生产中毒", "使用中毒", "生活中毒", "职业中毒", "食物中毒")
 NO_TOPIC = "诊断|治疗|病因|临床|检查|机制|预防|分级|分型"
 NUMBERS = ("一", "二", "三", "四", "五", "六", "七", "八", "九", "十", "十一", "十二")
@@ -209,12 +245,15 @@ NUMBERS = ("一", "二", "三", "四", "五", "六", "七", "八", "九", "十",
 IMPORTANT = ("是指", "主要", "表现", "诊断", "首选", "特效", "治疗", "机制", "抑制", "导致", "应", "需", "可", "常见", "分为", "死亡", "预后", "呼吸衰竭", "意识障碍", "解毒", "禁忌", "注意", "毒性")
 LOW_VALUE = ("世纪", "截至", "我国于", "年开始", "年生产", "开发", "图9-", "表9-", "如图", "见表", "作者", "研究发现", "近年来", "结构式", "取代基", "烷基")
 EMPTY_WORDS = r"(?:诊断)?依据如下[。；：:]?$|(?:主要)?表现如下[。；：:]?$|(?:常见)?原因如下[。；：:]?$|(?:具体)?分类如下[。；：:]?$|^详见表"
-FIGURES = r"\d|%|mg|mmHg|ChE|AChE|CT|MRI"
+FIGURES = r"(?=[0123456789%mCM])(?:[\d%]|mg|mmHg|ChE|CT|MRI)"
 HISTORY = r"(?:18|19|20)\d{2}\s*年|20\s*世纪|截至|进入中国|停止生产|禁止生产|禁止销售"
-#: What is no part of a digest's text, and what stands for it.
+#: Characters without which there is no HISTORY, and no EMPTY_WORDS.
+HISTORY_SIGNS, EMPTY_SIGNS = "年世截进停禁", ("如下", "详见表")
+#: What is no part of a digest's text, and what stands for it, by the character without which there is none.
 DIGEST_NOISE = (
-    ("\r", ""), (r"\n?\s*第[一二三四五六七八九十百零〇\d]+章\s+.{1,30}?\s+\d{1,4}\s*", " "), (r"\n?\s*\d{1,4}\s+第[一二三四五六七八九十百零〇\d]+篇\s+[一-鿿]{2,18}\s*", " "),
-    (r"第[一二三四五六七八九十百零〇\d]+节\s*[|｜]\s*[一-鿿]{2,24}", " "), (r"图\s*\d+(?:-\d+)+[^\n。]{0,28}", " "), (r"（[A-Za-z][^）\n]{0,80}）", ""), (f"{_WHITE}+", " "),
+    ("第", ((r"\n?\s*第[一二三四五六七八九十百零〇\d]+章\s+.{1,30}?\s+\d{1,4}\s*", " "), (r"\n?\s*\d{1,4}\s+第[一二三四五六七八九十百零〇\d]+篇\s+[一-鿿]{2,18}\s*", " "), (r"第[一二三四五六七八九十百零〇\d]+节\s*[|｜]\s*[一-鿿]{2,24}", " "))),
+    ("图", ((r"图\s*\d+(?:-\d+)+[^\n。]{0,28}", " "),)),
+    ("（", ((r"（[A-Za-z][^）\n]{0,80}）", ""),)),
 )
 #: A digest's longest point, where it may be cut, its shortest point, and when two are one.
 LONGEST, CUT, SHORTEST, ALIKE = 78, 48, 6, 0.68
@@ -266,35 +305,85 @@ def topics(text: Column) -> Column:
 
 def compared(text: Column) -> Column:
     """A text as it is compared with others."""
-    return F.regexp_replace(F.regexp_replace(F.lower(text), rf"{INTRO}|{ITEM}\d*", ""), r"""[\s，。；：、“”‘’（）()【】,.!?;:'"-]""", "")
+    low = F.lower(text)
+    return F.regexp_replace(F.when(_has(text, (INTRO, ITEM)), F.regexp_replace(low, rf"{INTRO}|{ITEM}\d*", "")).otherwise(low), rf"""[{_NO_LETTER}&&[\s，。；：、“”‘’（）()【】,.!?;:'"-]]+""", "")
 
 
-def alike(a: Column, b: Column) -> Column:
-    """0 to 1, of structs (plain, pairs) of two compared texts: the ratio of lengths if one holds the other, else the Jaccard
-    similarity of pairs of characters; 0 if one is empty."""
-    x, y = a["plain"], b["plain"]
-    inside = F.contains(x, y) | F.contains(y, x)
-    return F.when((x == "") | (y == ""), 0.0).when(inside, F.least(F.length(x), F.length(y)) / F.greatest(F.length(x), F.length(y))).otherwise(distinct_jaccard(a["pairs"], b["pairs"]))
+def _unlike(plain: Sequence[str], k: int) -> list[int]:
+    """Places of the first ``k`` of compared texts that are not alike an earlier one. Alike is the ratio of lengths if one holds the other,
+    else the Jaccard similarity of pairs of characters; empty ones are like none."""
+    kept: list[tuple[int, str, set[str]]] = []
+    for place, x in enumerate(plain):
+        if len(kept) >= k:
+            break
+        pairs = {x[i : i + 2] for i in range(len(x) - 1)}
+
+        def like(y: str, others: set[str], x: str = x, pairs: set[str] = pairs) -> float:
+            if x and y and (x in y or y in x):
+                return min(len(x), len(y)) / max(len(x), len(y))
+            both = len(pairs & others)
+            return both / (len(pairs) + len(others) - both) if both else 0.0
+
+        if all(like(y, others) < ALIKE for _, y, others in kept):
+            kept.append((place, x, pairs))
+    return [place for place, _, _ in kept]
+
+
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def _first_unlike(plain: pa.Array, k: pa.Array) -> pa.Array:
+    return pa.array([_unlike(p, n) for p, n in zip(plain.to_pylist(), k.to_pylist(), strict=True)], pa.list_(pa.int32()))
 
 
 def digest_text(text: Column) -> Column:
-    for pattern, by in DIGEST_NOISE:
-        text = F.regexp_replace(text, pattern, by)
-    return stripped(text)
+    out = _without(text, "\r")
+    for sign, patterns in DIGEST_NOISE:
+        cleaned = out
+        for pattern, by in patterns:
+            cleaned = F.regexp_replace(cleaned, pattern, by)
+        out = F.when(_has(text, sign), cleaned).otherwise(out)
+    # single blanks stay as they are
+    return F.trim(F.regexp_replace(out, f"(?={_NO_LETTER})(?:{_WHITE}{{2,}}|(?! ){_WHITE})", " "))
+
+
+def _digest_again(text: Column) -> Column:
+    """``digest_text`` of what was part of one before, between new lines."""
+    return F.when(_has(text, ("\n", *(sign for sign, _ in DIGEST_NOISE))), digest_text(text)).otherwise(text)
+
+
+def _useful(text: Column) -> Column:
+    """A digest's text without clauses of mere history; not more of it than what the next steps may need for LONGEST characters, as they
+    make no more than two characters one."""
+    clauses = F.when(_has(text, "，；"), F.transform(F.split(text, "[，；]"), stripped)).otherwise(F.array(text))
+    useful = F.when(_has(text, HISTORY_SIGNS), F.filter(clauses, lambda c: ~F.rlike(c, F.lit(HISTORY)))).otherwise(clauses)
+    parted = _has(text, "，；" + HISTORY_SIGNS)
+    return F.substring(F.when(parted, F.array_join(F.array_remove(useful, ""), "，")).otherwise(text), 1, 2 * LONGEST + 16)
+
+
+def _noted(text: Column) -> Column:
+    noted = F.regexp_replace(F.regexp_replace(text, r"^(?:需要|值得)注意的是[，,]?", "注意："), "。[：:]", "：")
+    return stripped(F.when(_has(text, ("注意的是", "。")), noted).otherwise(text))
+
+
+def _cut(text: Column) -> Column:
+    """At most LONGEST characters; a longer text is cut at the last separator from CUT on."""
+    head = F.substring(text, 1, LONGEST)
+    kept = F.regexp_replace(F.regexp_replace(head, rf"(?s)^(.{{{CUT},}})[；，、].*$", "$1"), r"[，；、\s]+$", "")
+    return F.when(F.length(text) <= LONGEST, text).otherwise(F.concat(kept, F.lit("…")))
+
+
+#: The steps that shorten a text; each refers to its text several times.
+SHORTENING = (_useful, lambda text: F.regexp_replace(text, r"([一-鿿])\s+(?=[一-鿿])", "$1"), _noted, _cut)
+
+
+def _shortened(text: Column) -> Column:
+    return reduce(let, (_digest_again, *SHORTENING), text)
 
 
-def shortened(rows: DataFrame, column: str) -> DataFrame:
-    """``rows`` with a text without clauses of mere history, up to LONGEST characters; a longer one is cut at the last separator from CUT on."""
-    rows = rows.withColumn("clauses", F.split(digest_text(F.col(column)), "[，；]"))
-    useful = F.filter(F.transform("clauses", stripped), lambda c: (c != "") & ~F.rlike(c, F.lit(HISTORY)))
-    value = F.regexp_replace(F.array_join(useful, "，"), r"(?<=[一-鿿])\s+(?=[一-鿿])", "")
-    for pattern, by in ((r"^需要注意的是[，,]?", "注意："), (r"^值得注意的是[，,]?", "注意："), ("。[：:]", "：")):
-        value = F.regexp_replace(value, pattern, by)
-    rows = rows.withColumn("value", stripped(value))
-    head = F.substring("value", 1, LONGEST)
-    rows = rows.withColumn("cut", F.regexp_extract(head, rf"(?s)^(.{{{CUT},}})[；，、]", 1))
-    kept = F.regexp_replace(F.when(F.col("cut") != "", F.col("cut")).otherwise(head), r"[，；、\s]+$", "")
-    return rows.withColumn(column, F.when(F.length("value") <= LONGEST, F.col("value")).otherwise(F.concat(kept, F.lit("…")))).drop("clauses", "value", "cut")
+def shortened(rows: DataFrame, column: str, clean: Callable[[Column], Column] = digest_text) -> DataFrame:
+    """``rows`` with a text as a digest has it, without clauses of mere history, up to LONGEST characters."""
+    for step in (clean, *SHORTENING):
+        rows = rows.withColumn(column, step(F.col(column)))
+    return rows
 
 
 def worth(text: Column, titled: Column) -> Column:
@@ -302,43 +391,45 @@ def worth(text: Column, titled: Column) -> Column:
     terms = lambda words, w: F.size(F.filter(F.array(*map(F.lit, words)), lambda t: F.contains(text, t))) * F.lit(float(w))
     yes = lambda c, w: F.when(c, float(w)).otherwise(0.0)
     n = F.length(text)
-    return yes(titled, 3) + terms(IMPORTANT, 1) + terms(LOW_VALUE, -3) + yes(F.rlike(text, F.lit(FIGURES)), 0.5) + yes(n.between(18, 120), 1) + yes(n < 10, -2) + yes(F.rlike(stripped(text), F.lit(EMPTY_WORDS)), -8)
+    return yes(titled, 3) + terms(IMPORTANT, 1) + terms(LOW_VALUE, -3) + yes(F.rlike(text, F.lit(FIGURES)), 0.5) + yes(n.between(18, 120), 1) + yes(n < 10, -2) + yes(_has(text, EMPTY_SIGNS) & F.rlike(stripped(text), F.lit(EMPTY_WORDS)), -8)
 
 
-def digests(rows: DataFrame, keys: Sequence[str], text_col: str, k: str = "k") -> DataFrame:
-    """(keys, digest): up to ``k`` (a column) points of each text. Candidates are its points, each with its first whole sentence, and
+def digests(rows: DataFrame, keys: Sequence[str], text_col: str, k: str = "k", others: Sequence[str] = ()) -> DataFrame:
+    """(keys, others, digest): up to ``k`` (a column) points of each text. Candidates are its points, each with its first whole sentence, and
     where these are fewer than two its sentences; the best 2 k by worth, in their order, without those alike an earlier one.
 
-    Keys must be unique. A text without a point has an empty digest."""
-    cleaned = rows.select(F.struct(*keys).alias("of"), F.col(k).alias("k"), digest_text(F.coalesce(text_col, F.lit(""))).alias("clean"))
-    points = content_points(cleaned, ["of", "k"], "clean")
+    Keys must be unique. A text without a point has an empty digest. A text goes along with its first point, as do the columns ``others``, so that its
+    sentences are looked at only where points are few, and pairs of characters are made of the best candidates only."""
+    raw = rows.select(F.struct(*keys, F.col(k).alias("_k")).alias("of"), F.struct(*others).alias("others") if others else F.lit(0).alias("others"), F.coalesce(text_col, F.lit("")).alias("clean"))
+    cleaned = raw.withColumn("clean", digest_text(F.col("clean"))).withColumn("beside", F.struct("clean", "others"))
+    points = content_points(cleaned, ["of"], "clean", beside="beside")
     bare = F.col("title")
     for pattern in (rf"^{INTRO}(?:\s*·\s*\d+)?$", rf"^{ITEM}\s*\d+$", r"\s*·\s*\d+$"):
         bare = F.regexp_replace(bare, pattern, "")
-    points = points.withColumns({"head": stripped(bare), "plain": digest_text(F.col("body"))})
-    first = F.get(F.filter(_sentences(F.col("plain")), lambda s: (F.length(s) >= 8) & ~F.rlike(s, F.lit(r"^(图|表)\s*\d"))), F.lit(0))
-    points = shortened(points.withColumn("said", F.coalesce(first, "plain")), "said")
+    points = points.withColumns({"head": stripped(bare), "plain": _digest_again(F.col("body"))})
+    figure = lambda s: (F.startswith(s, F.lit("图")) | F.startswith(s, F.lit("表"))) & F.rlike(s, F.lit(r"^(图|表)\s*\d"))
+    first = F.get(F.filter(_sentences(F.col("plain")), lambda s: (F.length(s) >= 8) & ~figure(s)), F.lit(0))
+    points = shortened(points.withColumn("said", F.coalesce(first, "plain")), "said", _digest_again)
     both = F.when(F.startswith(compared(F.col("said")), compared(F.col("head"))), F.col("said")).otherwise(F.concat("head", F.lit("："), "said"))
     points = points.withColumn("text", F.when((F.col("head") != "") & (F.col("said") != ""), both).when(F.col("head") != "", F.col("head")).otherwise(F.col("said")))
     bonus = F.when(F.col("level") == 0, 3.0).otherwise(0.0)
-    points = points.select("of", "k", F.lit(0).alias("kind"), F.struct(F.col("point_no").alias("a"), F.col("part_no").alias("b")).alias("place"), "text", (worth(F.col("text"), F.col("head") != "") + bonus).alias("worth"))
-    units = cleaned.select("of", "k", F.posexplode_outer(_sentences(F.col("clean"))).alias("i", "unit"))
-    units = units.select("of", "k", F.lit(1).alias("kind"), F.struct(F.col("i").alias("a"), F.lit(0).alias("b")).alias("place"), F.col("unit").alias("text"), worth(F.col("unit"), F.lit(False)).alias("worth"))
     # no filter of rows: Spark would push it down and compute all that leads to it twice
-    every = shortened(points.unionByName(units), "text")
-    fits = (F.col("worth") > 0) & (F.length("text") >= F.when(F.col("kind") == 0, SHORTEST).otherwise(8))
-    every = shortened(every.withColumn("fits", fits), "text").withColumn("plain", compared(F.col("text")))
-    one = F.struct("kind", "place", "worth", "text", "plain", bigrams(F.col("plain")).alias("pairs"))
-    listed = every.groupBy("of", "k").agg(F.array_sort(F.collect_list(F.when(F.col("fits"), one))).alias("c"))
-    listed = listed.withColumns({"own": F.filter("c", lambda x: x["kind"] == 0), "units": F.filter("c", lambda x: x["kind"] == 1)})
+    points = shortened(points.withColumn("worth", worth(F.col("text"), F.col("head") != "") + bonus), "text", _digest_again)
+    fits = (F.col("worth") > 0) & (F.length("text") >= SHORTEST)
+    own = F.array_sort(F.collect_list(F.when(fits, F.struct("point_no", "part_no", "worth", "text"))))
+    listed = points.groupBy("of").agg(own.alias("own"), F.first("beside", ignorenulls=True).alias("beside")).select("of", "own", "beside.*")
     # points by their place among the points, sentences by their number
-    numbered = lambda x, i: F.struct((-x["worth"]).alias("less"), i.alias("i"), x["kind"].alias("kind"), x["text"].alias("text"), x["plain"].alias("plain"), x["pairs"].alias("pairs"))
-    counted = F.concat(F.transform("own", numbered), F.when(F.size("own") <= 1, F.transform("units", lambda x: numbered(x, x["place"]["a"]))).otherwise(F.filter(F.transform("own", numbered), lambda x: F.lit(False))))
-    listed = listed.withColumn("best", F.slice(F.array_sort(counted), F.lit(1), 2 * F.col("k")))
-    listed = listed.withColumn("best", F.array_sort(F.transform("best", lambda x, r: F.struct(x["i"].alias("i"), r.alias("r"), x["text"].alias("text"), x["plain"].alias("plain"), x["pairs"].alias("pairs")))))
-    none = F.filter("best", lambda x: F.lit(False))
-    fresh = F.aggregate("best", none, lambda kept, x: F.when((F.size(kept) < F.col("k")) & (F.length(x["text"]) >= SHORTEST) & F.forall(kept, lambda y: alike(y, x) < ALIKE), F.array_append(kept, x)).otherwise(kept))
-    return listed.withColumn("fresh", fresh).select("of.*", F.col("fresh.text").alias("digest"))
+    ranked = lambda kind, worth, i, text: F.struct((-worth).alias("less"), i.alias("i"), F.lit(kind).alias("kind"), text.alias("text"))
+    units = F.transform(_sentences(F.col("clean")), lambda u, i: ranked(1, worth(u, F.lit(False)), i, _shortened(u)))
+    fitting = F.filter(units, lambda x: (x["less"] < 0) & (F.length(x["text"]) >= 8))
+    counted = F.transform("own", lambda x, i: ranked(0, x["worth"], i, x["text"]))
+    listed = listed.withColumn("c", F.when(F.size("own") <= 1, F.concat(counted, fitting)).otherwise(counted))
+    listed = listed.withColumn("best", F.slice(F.array_sort("c"), F.lit(1), 2 * F.col("of._k")))
+    # shortened once more, as a text may lose more by that
+    last = lambda x, r: let(_shortened(x["text"]), lambda t: F.struct(x["i"].alias("i"), r.alias("r"), t.alias("text"), compared(t).alias("plain")))
+    listed = listed.withColumn("best", F.filter(F.array_sort(F.transform("best", last)), lambda x: F.length(x["text"]) >= SHORTEST))
+    listed = listed.withColumn("fresh", _first_unlike(F.col("best.plain"), F.col("of._k")))
+    return listed.select("of.*", *(["others.*"] if others else []), F.transform("fresh", lambda i: F.get(F.col("best.text"), i)).alias("digest")).drop("_k")
 
 
 def _without_tables(title: Column, content: Column) -> Column:
@@ -358,25 +449,30 @@ def outlines(docs: DataFrame, id_col: str, text_col: str, sections_col: str | No
     of (title, content)) or else of its bracketed ones. Within a group sections of one canonical title merge in the order in which they come,
     repeated contents once; sections without a digest are left out, and groups without sections. Ids must be unique."""
     given = F.col(sections_col) if sections_col else F.lit(None).cast("array<struct<title:string,content:string>>")
-    base = docs.select(id_col, F.coalesce(text_col, F.lit("")).alias("text"), given.alias("given")).withColumn("topics", topics(F.col("text")))
+    # by text, so that the work is spread however few files there are, and a text's sections meet without another shuffle
+    base = docs.select(id_col, F.coalesce(text_col, F.lit("")).alias("text"), given.alias("given")).repartition(id_col).withColumn("topics", topics(F.col("text")))
     single = F.array(F.struct(F.lit(0).alias("no"), F.lit("").alias("title"), F.col("text").alias("content")))
     many = F.size("topics") > 0
-    groups = base.select(id_col, "given", many.alias("many"), F.explode_outer(F.when(many, F.filter("topics", lambda t: t["no"] > 0)).otherwise(single)).alias("g"))
+    # of topics number 0 is the overview, a section of its own without a title
+    groups = base.select(id_col, "given", many.alias("many"), F.explode_outer(F.when(many, F.col("topics")).otherwise(single)).alias("g"))
+    overview = F.col("many") & (F.col("group_no") == 0)
+    groups = groups.select(id_col, "given", "many", F.col("g.no").alias("group_no"), F.col("g.title").alias("group_title"), F.col("g.content").alias("content"))
     listed = F.transform("given", lambda s, i: F.struct(i.alias("no"), canonical_title(F.coalesce(s["title"], F.lit(""))).alias("title"), stripped(F.coalesce(s["content"], F.lit(""))).alias("content")))
-    found = F.when(~F.col("many") & (F.size(F.coalesce("given", F.array())) > 0), listed).otherwise(bracket_sections(F.col("g.content")))
-    rows = groups.select(id_col, "many", F.col("g.no").alias("group_no"), F.col("g.title").alias("group_title"), F.explode_outer(found).alias("s")).where("s.title != '' and length(s.content) >= 8")
+    alone = F.array(F.struct(F.lit(0).alias("no"), F.lit("").alias("title"), F.col("content")))
+    found = F.when(overview, alone).when(~F.col("many") & (F.size(F.coalesce("given", F.array())) > 0), listed).otherwise(bracket_sections(F.col("content")))
+    rows = groups.select(id_col, "many", "group_no", "group_title", F.explode_outer(found).alias("s")).where(overview | ((F.col("s.title") != "") & (F.length("s.content") >= 8)))
     keys = [id_col, "group_no", "title"]
     rows = rows.select(id_col, "many", "group_no", "group_title", F.col("s.no").alias("no"), canonical_title(F.col("s.title")).alias("title"), F.col("s.content").alias("content"))
-    once = rows.groupBy(*keys, "many", "group_title", compared(F.col("content")).alias("same")).agg(F.min(F.struct("no", "content")).alias("x"))
+    once = rows.groupBy(*keys, "many", "group_title", F.sha2(compared(F.col("content")), 256).alias("same")).agg(F.min(F.struct("no", "content")).alias("x"))
     merged = once.groupBy(*keys, "many", "group_title").agg(F.min("x.no").alias("no"), F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["content"]), "\n").alias("content"))
-    merged = merged.withColumns({"k": F.when(F.col("title") == CORE, 2).otherwise(4), "told": _without_tables(F.col("title"), F.col("content"))})
-    whole = merged.join(digests(merged, keys, "told"), keys)
+    told = F.when(~overview & _has(F.col("content"), "表"), _without_tables(F.col("title"), _plain(F.col("content")))).otherwise(F.col("content"))
+    merged = merged.withColumns({"k": F.when(overview | (F.col("title") == CORE), 2).otherwise(4), "told": told})
+    whole = digests(merged, keys, "told", others=["many", "group_title", "no", "content"]).repartition(id_col)
     by_group = whole.groupBy(id_col, "many", "group_no", "group_title").agg(F.array_sort(F.collect_list(F.struct("no", "title", "content", "digest"))).alias("s"))
     sections = F.transform(F.filter("s", lambda x: F.size(x["digest"]) > 0), lambda x: F.struct(x["title"].alias("title"), x["content"].alias("content"), x["digest"].alias("digest")))
-    by_doc = by_group.groupBy(id_col, "many").agg(F.array_sort(F.collect_list(F.struct("group_no", F.col("group_title").alias("title"), sections.alias("sections")))).alias("g"))
-    heads = base.where(many).select(id_col, F.col("topics")[0]["content"].alias("told"), F.lit(2).alias("k"))
-    overview = digests(heads, [id_col], "told").withColumnRenamed("digest", "overview")
-    out = docs.select(id_col).join(by_doc, id_col, "left").join(overview, id_col, "left")
+    group = F.struct("group_no", F.col("group_title").alias("title"), sections.alias("sections"))
+    by_doc = by_group.groupBy(id_col, "many").agg(F.array_sort(F.collect_list(F.when(~overview, group))).alias("g"), F.first(F.when(overview, F.col("s")[0]["digest"]), ignorenulls=True).alias("overview"))
+    out = docs.select(id_col).join(by_doc, id_col, "left")
     kept = F.filter("g", lambda x: F.size(x["sections"]) > 0)
     groups = F.transform(kept, lambda x: F.struct(x["title"].alias("title"), x["sections"].alias("sections")))
     none = F.array().cast("array<struct<title:string,sections:array<struct<title:string,content:string,digest:array<string>>>>>")

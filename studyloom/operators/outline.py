@@ -154,12 +154,16 @@ def _titled(rows: DataFrame, rest: str) -> DataFrame:
     begins a body, a short line as a whole, a first word, a first clause; else all is body.
 
     Each step is a column of its own, so that later ones read it and don't compute it again; patterns see no more of a line than they need."""
-    out = rows.withColumn("value", F.regexp_replace(stripped(F.col(rest)), r"^[：:]\s*", ""))
+    value, begin = F.col("value"), F.col("begin")
+    out = rows.withColumn("value", stripped(F.col(rest)))
+    out = out.withColumn("value", F.when(F.startswith(value, F.lit("：")) | F.startswith(value, F.lit(":")), F.regexp_replace(value, r"^[：:]\s*", "")).otherwise(value))
+    out = out.withColumn("begin", F.substring("value", 1, 43))
     shapes = {  # what makes the title, where it is looked for, and the length of the sign after it
-        "clause": (r"^[^：:]{1,42}(?=[：:])", F.substring("value", 1, 43), 1),
-        "starter": (rf"(?s)^.{{1,36}}?(?=\s+(?:{'|'.join(BODY_STARTERS)}))", F.col("value"), 0),
-        "word": (r"^\S{1,18}(?=\s)", F.substring("value", 1, 19), 0),
-        "comma": (r"^[^，。；]{2,36}(?=[，。；])", F.substring("value", 1, 37), 1),
+        "clause": (r"^[^：:]{1,42}(?=[：:])", begin, 1),
+        # of blanks in a row there may be any number
+        "starter": (rf"(?s)^.{{1,36}}?(?=\s+(?:{'|'.join(BODY_STARTERS)}))", F.when(F.rlike(begin, F.lit(r"\s\s")), value).otherwise(begin), 0),
+        "word": (r"^\S{1,18}(?=\s)", begin, 0),
+        "comma": (r"^[^，。；]{2,36}(?=[，。；])", begin, 1),
     }
     out = out.withColumns({name: F.regexp_extract(where, pattern, 0) for name, (pattern, where, _) in shapes.items()})
     out = out.withColumns({f"{name}1": stripped(F.col(name)) for name in shapes})
@@ -168,9 +172,9 @@ def _titled(rows: DataFrame, rest: str) -> DataFrame:
     out = out.withColumn("shape", F.when(held, "clause").when(F.col("starter") != "", "starter").when(whole, "whole").when(F.col("word1") != "", "word").when(F.col("comma1") != "", "comma").otherwise("none"))
     title, body = F.when(F.col("shape") == "whole", F.col("value")), F.when(F.col("shape") == "none", F.col("value"))
     for name, (_, _, sign) in shapes.items():
-        title, body = title.when(F.col("shape") == name, F.col(f"{name}1")), body.when(F.col("shape") == name, stripped(F.substr("value", F.length(name) + 1 + sign)))
+        title, body = title.when(F.col("shape") == name, F.col(f"{name}1")), body.when(F.col("shape") == name, F.ltrim(F.substr("value", F.length(name) + 1 + sign), F.lit(_BLANKS)))
     out = out.withColumns({"title": title.otherwise(""), "body": body.otherwise("")})
-    return out.drop("value", "shape", *shapes, *(f"{name}1" for name in shapes))
+    return out.drop("value", "begin", "shape", *shapes, *(f"{name}1" for name in shapes))
 
 
 def content_points(docs: DataFrame, keys: Sequence[str], text_col: str, most: int = BODY, beside: str | None = None) -> DataFrame:
@@ -463,8 +467,12 @@ def outlines(docs: DataFrame, id_col: str, text_col: str, sections_col: str | No
     rows = groups.select(id_col, "many", "group_no", "group_title", F.explode_outer(found).alias("s")).where(overview | ((F.col("s.title") != "") & (F.length("s.content") >= 8)))
     keys = [id_col, "group_no", "title"]
     rows = rows.select(id_col, "many", "group_no", "group_title", F.col("s.no").alias("no"), canonical_title(F.col("s.title")).alias("title"), F.col("s.content").alias("content"))
-    once = rows.groupBy(*keys, "many", "group_title", F.sha2(compared(F.col("content")), 256).alias("same")).agg(F.min(F.struct("no", "content")).alias("x"))
-    merged = once.groupBy(*keys, "many", "group_title").agg(F.min("x.no").alias("no"), F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["content"]), "\n").alias("content"))
+    merged = rows.groupBy(*keys, "many", "group_title").agg(F.array_sort(F.collect_list(F.struct("no", "content"))).alias("x"))
+    several = F.size("x") > 1
+    merged = merged.withColumn("by", F.when(several, F.array_sort(F.transform("x", lambda x: F.struct(compared(x["content"]).alias("same"), x["no"].alias("no"), x["content"].alias("content"))))))
+    once = F.filter("by", lambda x, i: (i == 0) | (F.get("by", i - 1)["same"] != x["same"]))
+    merged = merged.withColumn("x", F.when(several, F.array_sort(F.transform(once, lambda x: F.struct(x["no"].alias("no"), x["content"].alias("content"))))).otherwise(F.col("x")))
+    merged = merged.select(*keys, "many", "group_title", F.col("x")[0]["no"].alias("no"), F.array_join(F.transform("x", lambda x: x["content"]), "\n").alias("content"))
     told = F.when(~overview & _has(F.col("content"), "表"), _without_tables(F.col("title"), _plain(F.col("content")))).otherwise(F.col("content"))
     merged = merged.withColumns({"k": F.when(overview | (F.col("title") == CORE), 2).otherwise(4), "told": told})
     whole = digests(merged, keys, "told", others=["many", "group_title", "no", "content"]).repartition(id_col)

@@ -333,9 +333,11 @@ def _unlike(plain: Sequence[str], k: int) -> list[int]:
     return [place for place, _, _ in kept]
 
 
-@F.arrow_udf(T.ArrayType(T.IntegerType()))
+@F.arrow_udf(T.ArrayType(T.ArrayType(T.IntegerType())))
 def _first_unlike(plain: pa.Array, k: pa.Array) -> pa.Array:
-    return pa.array([_unlike(p, n) for p, n in zip(plain.to_pylist(), k.to_pylist(), strict=True)], pa.list_(pa.int32()))
+    """``_unlike`` of each of a row's arrays."""
+    out = [None if p is None else [_unlike(x, n) for x, n in zip(p, ks, strict=True)] for p, ks in zip(plain.to_pylist(), k.to_pylist(), strict=True)]
+    return pa.array(out, pa.list_(pa.list_(pa.int32())))
 
 
 def digest_text(text: Column) -> Column:
@@ -398,15 +400,25 @@ def worth(text: Column, titled: Column) -> Column:
     return yes(titled, 3) + terms(IMPORTANT, 1) + terms(LOW_VALUE, -3) + yes(F.rlike(text, F.lit(FIGURES)), 0.5) + yes(n.between(18, 120), 1) + yes(n < 10, -2) + yes(_has(text, EMPTY_SIGNS) & F.rlike(stripped(text), F.lit(EMPTY_WORDS)), -8)
 
 
-def digests(rows: DataFrame, keys: Sequence[str], text_col: str, k: str = "k", others: Sequence[str] = ()) -> DataFrame:
-    """(keys, others, digest): up to ``k`` (a column) points of each text. Candidates are its points, each with its first whole sentence, and
+def digests(rows: DataFrame, keys: Sequence[str], text_col: str, k: str = "k") -> DataFrame:
+    """(keys, digest): up to ``k`` (a column) points of each text. Candidates are its points, each with its first whole sentence, and
     where these are fewer than two its sentences; the best 2 k by worth, in their order, without those alike an earlier one.
 
-    Keys must be unique. A text without a point has an empty digest. A text goes along with its first point, as do the columns ``others``, so that its
-    sentences are looked at only where points are few, and pairs of characters are made of the best candidates only."""
-    raw = rows.select(F.struct(*keys, F.col(k).alias("_k")).alias("of"), F.struct(*others).alias("others") if others else F.lit(0).alias("others"), F.coalesce(text_col, F.lit("")).alias("clean"))
-    cleaned = raw.withColumn("clean", digest_text(F.col("clean"))).withColumn("beside", F.struct("clean", "others"))
-    points = content_points(cleaned, ["of"], "clean", beside="beside")
+    Keys must be unique. A text without a point has an empty digest."""
+    best = _best(rows, keys, text_col, k).withColumn("fresh", _first_unlike(F.array("best.plain"), F.array("k"))[0])
+    return best.select("keys.*", F.transform("fresh", lambda i: F.get(F.col("best.text"), i)).alias("digest"))
+
+
+def _best(rows: DataFrame, keys: Sequence[str], text_col: str, k: str, others: Sequence[str] = (), by: str | None = None) -> DataFrame:
+    """(by, keys, k, text, others, best), ``keys`` and ``others`` as structs: the best candidates (text, plain) of each text in order, as ``digests`` has them.
+
+    A text goes along with its first point, as do the columns ``others``, so that its sentences are looked at only where points are few, and
+    nothing is joined. Rows are shuffled by the key ``by``, else by all."""
+    held = [F.col(key).alias(f"key{i}") for i, key in enumerate(keys)] + [F.col(k).cast("int").alias("_k")]
+    names = [f"key{i}" for i in range(len(keys))] + ["_k"]
+    raw = rows.select(*held, F.struct(*others).alias("others") if others else F.lit(0).alias("others"), F.coalesce(text_col, F.lit("")).alias("text"))
+    cleaned = raw.withColumns({"clean": digest_text(F.col("text")), "beside": F.struct("text", "others")})
+    points = content_points(cleaned, names, "clean", beside="beside")
     bare = F.col("title")
     for pattern in (rf"^{INTRO}(?:\s*·\s*\d+)?$", rf"^{ITEM}\s*\d+$", r"\s*·\s*\d+$"):
         bare = F.regexp_replace(bare, pattern, "")
@@ -421,19 +433,21 @@ def digests(rows: DataFrame, keys: Sequence[str], text_col: str, k: str = "k", o
     points = shortened(points.withColumn("worth", worth(F.col("text"), F.col("head") != "") + bonus), "text", _digest_again)
     fits = (F.col("worth") > 0) & (F.length("text") >= SHORTEST)
     own = F.array_sort(F.collect_list(F.when(fits, F.struct("point_no", "part_no", "worth", "text"))))
-    listed = points.groupBy("of").agg(own.alias("own"), F.first("beside", ignorenulls=True).alias("beside")).select("of", "own", "beside.*")
+    points = points.repartition(names[keys.index(by)]) if by else points
+    listed = points.groupBy(*names).agg(own.alias("own"), F.first("beside", ignorenulls=True).alias("beside")).select(*names, "own", "beside.*")
+    listed = listed.withColumn("clean", F.when(F.size("own") <= 1, digest_text(F.col("text"))))
     # points by their place among the points, sentences by their number
     ranked = lambda kind, worth, i, text: F.struct((-worth).alias("less"), i.alias("i"), F.lit(kind).alias("kind"), text.alias("text"))
     units = F.transform(_sentences(F.col("clean")), lambda u, i: ranked(1, worth(u, F.lit(False)), i, _shortened(u)))
     fitting = F.filter(units, lambda x: (x["less"] < 0) & (F.length(x["text"]) >= 8))
     counted = F.transform("own", lambda x, i: ranked(0, x["worth"], i, x["text"]))
     listed = listed.withColumn("c", F.when(F.size("own") <= 1, F.concat(counted, fitting)).otherwise(counted))
-    listed = listed.withColumn("best", F.slice(F.array_sort("c"), F.lit(1), 2 * F.col("of._k")))
+    listed = listed.withColumn("best", F.slice(F.array_sort("c"), F.lit(1), 2 * F.col("_k")))
     # shortened once more, as a text may lose more by that
     last = lambda x, r: let(_shortened(x["text"]), lambda t: F.struct(x["i"].alias("i"), r.alias("r"), t.alias("text"), compared(t).alias("plain")))
     listed = listed.withColumn("best", F.filter(F.array_sort(F.transform("best", last)), lambda x: F.length(x["text"]) >= SHORTEST))
-    listed = listed.withColumn("fresh", _first_unlike(F.col("best.plain"), F.col("of._k")))
-    return listed.select("of.*", *(["others.*"] if others else []), F.transform("fresh", lambda i: F.get(F.col("best.text"), i)).alias("digest")).drop("_k")
+    named = [F.col(f"key{i}").alias(key) for i, key in enumerate(keys)]
+    return listed.select(*([named[keys.index(by)]] if by else []), F.struct(*named).alias("keys"), F.col("_k").alias("k"), "text", "others", "best")
 
 
 def _without_tables(title: Column, content: Column) -> Column:
@@ -475,16 +489,23 @@ def outlines(docs: DataFrame, id_col: str, text_col: str, sections_col: str | No
     merged = merged.select(*keys, "many", "group_title", F.col("x")[0]["no"].alias("no"), F.array_join(F.transform("x", lambda x: x["content"]), "\n").alias("content"))
     told = F.when(~overview & _has(F.col("content"), "表"), _without_tables(F.col("title"), _plain(F.col("content")))).otherwise(F.col("content"))
     merged = merged.withColumns({"k": F.when(overview | (F.col("title") == CORE), 2).otherwise(4), "told": told})
-    whole = digests(merged, keys, "told", others=["many", "group_title", "no", "content"]).repartition(id_col)
-    by_group = whole.groupBy(id_col, "many", "group_no", "group_title").agg(F.array_sort(F.collect_list(F.struct("no", "title", "content", "digest"))).alias("s"))
-    sections = F.transform(F.filter("s", lambda x: F.size(x["digest"]) > 0), lambda x: F.struct(x["title"].alias("title"), x["content"].alias("content"), x["digest"].alias("digest")))
-    group = F.struct("group_no", F.col("group_title").alias("title"), sections.alias("sections"))
-    by_doc = by_group.groupBy(id_col, "many").agg(F.array_sort(F.collect_list(F.when(~overview, group))).alias("g"), F.first(F.when(overview, F.col("s")[0]["digest"]), ignorenulls=True).alias("overview"))
+    # most contents are told as a whole
+    merged = merged.withColumn("content", F.when(F.col("content") != F.col("told"), F.col("content")))
+    whole = _best(merged, keys, "told", "k", ["many", "group_title", "no", "content"], by=id_col)
+    section = F.struct("keys.group_no", "others.group_title", "others.no", "keys.title", F.coalesce("others.content", "text").alias("content"), "k", "best")
+    by_doc = whole.groupBy(id_col, F.col("others.many").alias("many")).agg(F.array_sort(F.collect_list(section)).alias("s"))
     out = docs.select(id_col).join(by_doc, id_col, "left")
-    kept = F.filter("g", lambda x: F.size(x["sections"]) > 0)
-    groups = F.transform(kept, lambda x: F.struct(x["title"].alias("title"), x["sections"].alias("sections")))
+    # last, as rows come back from it without their partitioning
+    out = out.withColumn("fresh", _first_unlike(F.transform("s", lambda x: x["best"]["plain"]), F.transform("s", lambda x: x["k"])))
+    digest = lambda x, i: F.transform(F.get("fresh", i), lambda j: F.get(x["best"], j)["text"])
+    out = out.withColumn("s", F.transform("s", lambda x, i: F.struct(*(x[c].alias(c) for c in ("group_no", "group_title", "title", "content")), digest(x, i).alias("digest"))))
+    told_of = F.filter("s", lambda x: F.col("many") & (x["group_no"] == 0))
+    out = out.withColumns({"overview": F.get(told_of, F.lit(0))["digest"], "kept": F.filter("s", lambda x: ~(F.col("many") & (x["group_no"] == 0)) & (F.size(x["digest"]) > 0))})
+    out = out.withColumn("g", F.array_distinct(F.transform("kept", lambda x: F.struct(x["group_no"].alias("no"), x["group_title"].alias("title")))))
+    sections = lambda g: F.transform(F.filter("kept", lambda x: x["group_no"] == g["no"]), lambda x: F.struct(x["title"].alias("title"), x["content"].alias("content"), x["digest"].alias("digest")))
+    groups = F.transform("g", lambda g: F.struct(g["title"].alias("title"), sections(g).alias("sections")))
     none = F.array().cast("array<struct<title:string,sections:array<struct<title:string,content:string,digest:array<string>>>>>")
-    return out.select(id_col, F.coalesce(F.col("many") & (F.size(kept) >= 2), F.lit(False)).alias("grouped"), F.coalesce("overview", F.array().cast("array<string>")).alias("overview"), F.coalesce(groups, none).alias("groups"))
+    return out.select(id_col, F.coalesce(F.col("many") & (F.size("g") >= 2), F.lit(False)).alias("grouped"), F.coalesce("overview", F.array().cast("array<string>")).alias("overview"), F.coalesce(groups, none).alias("groups"))
 
 
 #: Marks that the queries set before the lines of documents, by line number, so that the texts have structure.

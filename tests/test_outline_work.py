@@ -11,8 +11,8 @@ def test_texts_are_spread_and_parsed_once(spark):
     docs = spark.createDataFrame([(1, MORE)], "id int, text string").coalesce(1)
     plan = outline.outlines(docs, "id", "text")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Join ") == 1 and plan.count("REPARTITION_BY_COL") == 2 and "Union" not in plan
-    # no pairs of characters of each candidate
-    assert "array_intersect" not in plan and "array_distinct" not in plan
+    # texts are shuffled twice, and for the join their ids; no pairs of characters are made of each candidate
+    assert plan.count("Exchange hashpartitioning") == 3 and "array_intersect" not in plan
 
 
 def test_control_characters_cut_no_section(spark):
